@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 # What the user is told, per operation and outcome code.
 ANSWERS = {
     "intake": {
-        "OK": "✅ Erfolg: {name} hinzugefügt.",
+        "OK": "✅ Erfolg: {detail} hinzugefügt.",
         "MISSING_FIELD": "🚫 Fehler: Alle Felder müssen ausgefüllt sein!",
         "BAD_BARCODE": "🚫 Fehler: Ungültiger Barcode! Er muss 8-13 Ziffern enthalten.",
         "IN_OPEN_ORDER": "🚫 Fehler: Dieser Barcode ist in einer offenen Bestellung!",
@@ -40,12 +40,12 @@ ANSWERS = {
         "NOT_IN_DISPENSER": "🚫 Fehler: Ware {barcode} nicht im Automaten!",
     },
     "cart": {
-        "OK": "✅ {name} wurde dem Warenkorb hinzugefügt!",
+        "OK": "✅ {detail} wurde dem Warenkorb hinzugefügt!",
         "EMPTY_BARCODE": "🚫 Fehler: Barcode darf nicht leer sein!",
         "BAD_BARCODE": "🚫 Fehler: Ungültiger Barcode! Er muss 8-13 Ziffern enthalten.",
         "DUPLICATE": "🚫 Fehler: Barcode {barcode} ist bereits im Warenkorb!",
         "NOT_IN_DISPENSER": "🚫 Fehler: Medikament {barcode} ist nicht im Automaten!",
-        "EXPIRED": "⚠️ Fehler: {name} (Barcode: {barcode}) ist abgelaufen!",
+        "EXPIRED": "⚠️ Fehler: {detail} (Barcode: {barcode}) ist abgelaufen!",
     },
     "checkout": {
         "OK": "✅ Bestellung {detail} erfolgreich aufgegeben mit Medikamenten: {namen}",
@@ -57,7 +57,7 @@ ANSWERS = {
         "OK": "✅ Bestellung {bestellgruppe_id} storniert! Alle Medikamente wurden zurück ins Lager gelegt und als 'Storniert' markiert.",
         "MISSING_ARG": "🚫 Fehler: Bestellgruppen-ID und Kundennummer dürfen nicht leer sein!",
         "NOT_OPEN": "🚫 Fehler: Bestellung nicht gefunden oder bereits bearbeitet!",
-        "CONFLICT": "🚫 Fehler: Integritätsproblem beim Zurücklegen von {name} (Barcode: {barcode})!",
+        "CONFLICT": "🚫 Fehler: Integritätsproblem beim Zurücklegen von {name} (Barcode: {detail})!",
     },
     "registration": {
         "MISSING_FIELD": "⚠️ Bitte alle Felder ausfüllen!",
@@ -69,7 +69,7 @@ ANSWERS = {
 # What goes into the action log; an outcome that is not listed leaves no entry.
 # ``{antwort}`` stands for the answer above.
 LOG_TEXTS = {
-    "intake": {"OK": "📦 Medikament hinzugefügt: {name} (Barcode: {barcode})"},
+    "intake": {"OK": "📦 Medikament hinzugefügt: {detail} (Barcode: {barcode})"},
     "removal": {"OK": "✅ Ware {barcode} entfernt."},
     "fill": {
         "OK": "Automatenzugabe: {antwort}",
@@ -80,9 +80,9 @@ LOG_TEXTS = {
         "NOT_IN_DISPENSER": "Automatenentfernung: {antwort}",
     },
     "cart": {
-        "OK": "✅ Medikament {name} (Barcode: {barcode}) zum Warenkorb hinzugefügt",
+        "OK": "✅ Medikament {detail} (Barcode: {barcode}) zum Warenkorb hinzugefügt",
         "NOT_IN_DISPENSER": "🚫 Fehler: Medikament {barcode} ist nicht im Automaten und kann nicht in den Warenkorb gelegt werden!",
-        "EXPIRED": "⚠️ Fehler: {name} (Barcode: {barcode}) ist abgelaufen und kann nicht in den Warenkorb gelegt werden!",
+        "EXPIRED": "⚠️ Fehler: {detail} (Barcode: {barcode}) ist abgelaufen und kann nicht in den Warenkorb gelegt werden!",
     },
     "checkout": {"OK": "📦 Bestellung {detail} aufgegeben mit Medikamenten: {namen}"},
     "cancellation": {"OK": "📦 Bestellung {bestellgruppe_id} storniert, Medikamente zurück ins Lager: {namen}"},

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from pillflow.functions.messages import answer, log_text
 from pillflow.functions.scalars import AsOf, customer_or_unknown
+from pillflow.operators.carts import Checkout
+from pillflow.operators.orders import Cancellation
+from pillflow.plans.order_views import joined_names
+from pillflow.schemas import OK
 
 
 def answers(operation: str, outcomes: DataFrame) -> DataFrame:
@@ -22,3 +26,24 @@ def audit_log(operation: str, outcomes: DataFrame, at: AsOf, customer: str = "ku
         customer_or_unknown(who).alias("kundennummer"),
         log_text(operation, outcomes.columns).alias("aktion"))
     return rows.where(F.col("aktion").isNotNull())
+
+
+def _with_names(lines: DataFrame, operation: str, at: AsOf) -> DataFrame:
+    """One entry per order with the names of its goods; more than one if they are too many for one text."""
+    orders = joined_names(lines, ["bestellgruppe_id", "kundennummer"], by=("id",))
+    return audit_log(operation, orders.withColumns({"code": F.lit(OK), "detail": F.col("bestellgruppe_id")}), at)
+
+
+def checkout_log(checkout: Checkout, at: AsOf) -> DataFrame:
+    """Entries for the orders placed."""
+    return _with_names(checkout.new_orders, "checkout", at)
+
+
+def cancellation_log(cancellation: Cancellation, at: AsOf) -> DataFrame:
+    """Entries for the orders cancelled, with what went back into the store room."""
+    return _with_names(cancellation.returned_lines, "cancellation", at)
+
+
+def status_log(requests: DataFrame, at: AsOf) -> DataFrame:
+    """Entries for status requests, one each."""
+    return audit_log("status", requests.withColumn("code", F.lit(OK)), at)

@@ -133,14 +133,14 @@ class Checkout:
 
     @cached_property
     def _first_gap(self) -> DataFrame:
-        """Per cart the barcode of the first line that is not there when its turn comes."""
+        """Per cart the barcode, and the name if known, of the first line that is not there when its turn comes."""
         goods = self._goods.join(
             self.owners.select("barcode", F.col("cart_id").alias("owner")), "barcode", "left")
         gap = F.col("held").isNull() | (F.col("owner") < F.col("cart_id"))
-        place = F.struct((~F.coalesce(gap, F.lit(False))).alias("only_twice"), "line_no", "barcode")
+        place = F.struct((~F.coalesce(gap, F.lit(False))).alias("only_twice"), "line_no", "barcode", "name")
         missing = F.coalesce(gap, F.lit(False)) | (F.col("times") > 1)
         return goods.where(missing).groupBy("cart_id").agg(F.min(place).alias("gap")).select(
-            "cart_id", F.col("gap.barcode").alias("gap"))
+            "cart_id", F.col("gap.barcode").alias("gap"), F.col("gap.name").alias("name"))
 
     @cached_property
     def outcomes(self) -> DataFrame:
@@ -153,7 +153,8 @@ class Checkout:
             .otherwise(LINE_UNAVAILABLE)
         )
         detail = F.when(code == OK, F.col("bestellgruppe_id").cast("string")).when(code == LINE_UNAVAILABLE, F.col("gap"))
-        return judged.select("cart_id", "kundennummer", code.alias("code"), detail.alias("detail"))
+        return judged.select("cart_id", "kundennummer", code.alias("code"), detail.alias("detail"),
+                             F.when(code == LINE_UNAVAILABLE, F.col("name")).alias("name"))
 
     @cached_property
     def new_orders(self) -> DataFrame:

@@ -45,9 +45,10 @@ class Cancellation:
         """Requested orders with open lines, and whether something stands in the way."""
         elsewhere = self.stock_before.where(~F.col("ort").eqNullSafe(STORE)).select(
             "barcode", F.lit(True).alias("elsewhere"))
-        lines = self._open_lines.select(*_PAIR, "first_seq", "barcode").join(elsewhere, "barcode", "left")
-        return lines.groupBy(*_PAIR, "first_seq").agg(
-            F.coalesce(F.max("elsewhere"), F.lit(False)).alias("conflict"), F.count("*").alias("n_lines"))
+        lines = self._open_lines.join(elsewhere, "barcode", "left")
+        clash = F.min(F.when(F.col("elsewhere"), F.struct("id", "barcode", "name")))
+        return lines.groupBy(*_PAIR, "first_seq").agg(clash.alias("clash"), F.count("*").alias("n_lines")).withColumn(
+            "conflict", F.col("clash").isNotNull())
 
     @cached_property
     def cancelled(self) -> DataFrame:
@@ -63,8 +64,9 @@ class Cancellation:
             .when(F.col("seq") == F.col("first_seq"), OK)
             .otherwise(NOT_OPEN)
         )
-        detail = F.when(code == OK, F.col("n_lines").cast("string"))
-        return judged.select("seq", *_PAIR, code.alias("code"), detail.alias("detail"))
+        detail = F.when(code == OK, F.col("n_lines").cast("string")).otherwise(F.col("clash.barcode"))
+        return judged.select("seq", *_PAIR, code.alias("code"), F.when(code != NOT_OPEN, detail).alias("detail"),
+                             F.when(code == CONFLICT, F.col("clash.name")).alias("name"))
 
     @cached_property
     def returned_lines(self) -> DataFrame:

@@ -15,37 +15,35 @@ from pillflow.schemas import OPEN, STATUSES
 MAX_NAMES = 1_000_000  # names joined into one text
 
 
-def _listed() -> Column:
-    return F.expr("listagg(name, ', ') WITHIN GROUP (ORDER BY barcode, id)").alias("namen")
-
-
-def joined_names(lines: DataFrame, keys: list[str], extra: list[Column] = (), max_names: int = MAX_NAMES) -> DataFrame:
-    """Names of each group of order lines, joined in the order of barcode and id; NULL names are left out.
+def joined_names(lines: DataFrame, keys: list[str], extra: list[Column] = (), max_names: int = MAX_NAMES,
+                 by: tuple[str, ...] = ("barcode", "id")) -> DataFrame:
+    """Names of each group of order lines, joined in the order of ``by``; NULL names are left out.
 
     ``teil`` numbers the parts of a group: 1 unless it has more than ``max_names`` names, because a group
     without limit fits neither into one task nor into one text. Oversize groups are numbered across tasks and
     joined part by part, so nothing is lost.
     """
+    listed = F.expr(f"listagg(name, ', ') WITHIN GROUP (ORDER BY {', '.join(by)})").alias("namen")
     sizes = lines.groupBy(*keys).agg(F.count("name").alias("n"), *extra)
     big = sizes.where(F.col("n") > max_names).drop("n")
     if big.isEmpty():
-        return lines.groupBy(*keys).agg(_listed(), *extra).withColumn("teil", F.lit(1).cast("long"))
+        return lines.groupBy(*keys).agg(listed, *extra).withColumn("teil", F.lit(1).cast("long"))
 
     # At most one key per max_names rows is big, which bounds the broadcast.
     marks = big.select(*[F.col(k).alias(f"big_{k}") for k in keys],
                        *[F.col(c).alias(f"all_{c}") for c in big.columns if c not in keys], F.lit(True).alias("big"))
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"big_{k}")) for k in keys])
     marked = lines.join(F.broadcast(marks), same, "left")
-    small = marked.where("big is null").groupBy(*keys).agg(_listed(), *extra).withColumn("teil", F.lit(1).cast("long"))
+    small = marked.where("big is null").groupBy(*keys).agg(listed, *extra).withColumn("teil", F.lit(1).cast("long"))
 
-    ranked = rank_rows(marked.where("big and name is not null"), *keys, "barcode", "id")
+    ranked = rank_rows(marked.where("big and name is not null"), *keys, *by)
     starts = ranked.groupBy(*keys).agg((F.min("rang") - 1).alias("start"))
     starts = starts.select(*[F.col(k).alias(f"start_{k}") for k in keys], "start")
     begun = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"start_{k}")) for k in keys])
     part = (F.floor((F.col("rang") - F.col("start") - 1) / max_names) + 1).cast("long").alias("teil")
     split = ranked.join(F.broadcast(starts), begun)
     whole = [c for c in marks.columns if c.startswith("all_")]
-    large = split.groupBy(*keys, part, *whole).agg(_listed())
+    large = split.groupBy(*keys, part, *whole).agg(listed)
     renamed = [F.col(c).alias(c.removeprefix("all_")) for c in whole]
     return small.unionByName(large.select(*keys, "namen", *renamed, "teil"))
 

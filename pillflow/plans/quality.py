@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pillflow.functions import predicates as P
-from pillflow.schemas import ADMIN, OK
+from pillflow.schemas import ADMIN, DISPENSER, OK
 
 
 def faulty_rate(stock: DataFrame) -> DataFrame:
@@ -41,10 +41,10 @@ def repeated_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("anzahl")).where("anzahl > 1")
 
 
-def channel_clashes(stock: DataFrame) -> DataFrame:
-    """Medicine names held in more than one dispenser channel; filling takes there to be none."""
-    held = stock.where("ort = 'Automat' and kanal is not null").select("name", "kanal").distinct()
-    return held.groupBy("name").agg(F.count("*").alias("kanaele")).where("kanaele > 1")
+def channels_per_name(stock: DataFrame) -> DataFrame:
+    """How many dispenser channels hold a medicine name; filling keeps this at one."""
+    held = stock.where((F.col("ort") == DISPENSER) & F.col("kanal").isNotNull()).select("name", "kanal").distinct()
+    return held.groupBy("name").agg(F.count("*").alias("kanaele"))
 
 
 def admin_count(users: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pillflow.session import scratch_path
+
 AS_OF = "2000-01-01"
 AS_OF_TIME = "2000-01-01 08:30:00"
 
@@ -177,8 +179,24 @@ def domain_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql.format(ntz="TIMESTAMP_NTZ", **{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in BASE_TABLES}))
 
 
+_stored: dict[tuple, str] = {}  # (session, folder, state of the files, table) -> path of the written table
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Size and time of the driver's files, so that changed data is derived anew."""
+    jvm = spark.sparkContext._jvm
+    paths = [jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet") for table in BASE_TABLES]
+    files = paths[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [files.getFileStatus(path) for path in paths]
+    return tuple((status.getLen(), status.getModificationTime()) for status in found)
+
+
 class Domain:
-    """The tables over one folder of the driver's data: ``Domain(spark, sf_dir).stock`` and so on."""
+    """The tables over one folder of the driver's data: ``Domain(spark, sf_dir).stock`` and so on.
+
+    In use these tables lie in storage, so each is derived once per session, written to the shared folder and
+    read from there.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -187,4 +205,10 @@ class Domain:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in BODIES:
             raise AttributeError(name)
-        return domain_table(self.spark, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, _state(self.spark, self.sf_dir), name)
+        table = domain_table(self.spark, self.sf_dir, name)
+        if key not in _stored:
+            path = scratch_path(self.spark, f"domain-{name}")
+            table.write.parquet(path)
+            _stored[key] = path
+        return self.spark.read.schema(table.schema).parquet(_stored[key])
