@@ -6,8 +6,6 @@ Those that also occur negated are made sure never to be NULL.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,11 +89,9 @@ def action_matches(action: Column, pattern: str | None) -> Column:
     return _sure(action.rlike(f"(?iu){pattern}"))
 
 
-def on_day(moment_col: Column, wanted: AsOf) -> Column:
-    """Entries of one day, as a range so that it reaches the scan."""
-    start = F.lit(str(wanted)[:10]).cast("timestamp_ntz")
-    end = F.lit(str(dt.date.fromisoformat(str(wanted)[:10]) + dt.timedelta(days=1))).cast("timestamp_ntz")
-    return (moment_col >= start) & (moment_col < end)
+def dated(moment_text: Column, wanted: AsOf) -> Column:
+    """Entries whose time, as text, begins with a day."""
+    return moment_text.startswith(str(wanted)[:10])
 
 
 def within_clock(moment_col: Column, start: str, end: str) -> Column:

@@ -25,7 +25,7 @@ def moment(as_of: AsOf) -> Column:
 def parse_date(raw: Column) -> Column:
     """Year-month-day, month and day with or without leading zero; NULL if it is no date."""
     shaped = F.when(raw.rlike(r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"), raw)
-    return F.try_to_date(shaped, "yyyy-M-d")
+    return shaped.try_cast("date")
 
 
 def parse_moment(raw: Column) -> Column:
@@ -44,8 +44,8 @@ def one_year_after(as_of: AsOf) -> Column:
 
 
 def hours_between(start: Column, end: Column) -> Column:
-    """Whole seconds between two moments, in hours."""
-    seconds = F.timestamp_diff("SECOND", start, end)
+    """Time between two moments in hours, by the clock, whatever the session's time zone."""
+    seconds = (end - start).cast("interval second").cast("decimal(20,6)")
     return seconds.cast("double") / F.lit(3600.0)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pillflow.functions import predicates as P
 from pillflow.operators import lookups as L
-from pillflow.operators.ranking import free_numbers, rank_rows
+from pillflow.operators.ranking import free_numbers, number_slices, sorted_slices
 from pillflow.schemas import ADMIN, MISSING_FIELD, OK, TAKEN, USER
 
 FIRST_NUMBER = 10000000  # customer numbers have eight digits
@@ -36,14 +36,14 @@ class Registration:
 
     @cached_property
     def new_users(self) -> DataFrame:
-        ranked = rank_rows(self._firsts.where(~F.col("taken")), "first_seq")
+        in_order = sorted_slices(self._firsts.where(~F.col("taken")), "first_seq")
         given = self.users_before.select(F.col("kundennummer").try_cast("long").alias("nummer"))
-        numbers = free_numbers(given.where("nummer is not null"), ranked.count(), FIRST_NUMBER)
+        numbers = free_numbers(given.where("nummer is not null"), in_order.count(), FIRST_NUMBER)
         highest = self.users_before.agg(F.max("id")).first()[0] or 0
         role = F.coalesce("role", F.lit(USER))
         if not has_admin(self.users_before):
             role = F.when(F.col("rang") == 1, ADMIN).otherwise(role)
-        return ranked.join(numbers, "rang").select(
+        return number_slices(in_order).join(numbers, "rang").select(
             (F.col("rang") + highest).alias("id"), F.col("nummer").cast("string").alias("kundennummer"),
             "username", role.alias("role"))
 

@@ -15,7 +15,7 @@ from pillflow.operators import lookups as L
 from pillflow.operators.ranking import rank_rows
 from pillflow.schemas import (BAD_BARCODE, DISPENSER, DUPLICATE, EMPTY_BARCODE, EMPTY_CART, EXPIRED, LINE_UNAVAILABLE,
                               NO_CUSTOMER, NOT_IN_DISPENSER, OK, OPEN)
-from pillflow.session import checkpoint_dir
+from pillflow.session import keep
 
 log = logging.getLogger(__name__)
 
@@ -90,7 +90,7 @@ class Checkout:
         """One row per cart and barcode, summed up first so that neither a large cart nor a hot barcode is gathered."""
         lines = self.cart_lines.groupBy("cart_id", "barcode").agg(
             F.count("*").alias("times"), F.min("line_no").alias("line_no"))
-        return lines.join(self._held, "barcode", "left")
+        return keep(lines.join(self._held, "barcode", "left"))
 
     @cached_property
     def _carts(self) -> DataFrame:
@@ -103,18 +103,15 @@ class Checkout:
     @cached_property
     def rounds(self) -> list[DataFrame]:
         """Which cart gets which barcode, by round: ``cart_id``, ``barcode``, ``n`` (lines of the cart)."""
-        spark = self.carts.sparkSession
-        checkpoint_dir(spark)
         eligible = self._carts.where("has_customer and not hopeless").select("cart_id", "n")
-        undecided = self._goods.select("cart_id", "barcode").join(eligible, "cart_id").checkpoint()
+        undecided = keep(self._goods.select("cart_id", "barcode").join(eligible, "cart_id"))
         settled = []
         while not undecided.isEmpty():
             lowest = undecided.groupBy("barcode").agg(F.min_by("n", "cart_id").alias("n"), F.min("cart_id").alias("cart_id"))
             winners = lowest.groupBy("cart_id").agg(F.count("*").alias("won"), F.first("n").alias("n")).where("won = n")
-            taken = lowest.join(winners.select("cart_id"), "cart_id", "left_semi").select("cart_id", "barcode", "n")
-            taken = taken.checkpoint()
+            taken = keep(lowest.join(winners.select("cart_id"), "cart_id", "left_semi").select("cart_id", "barcode", "n"))
             done = undecided.join(taken.select("barcode"), "barcode", "left_semi").select("cart_id").distinct()
-            undecided = undecided.join(done, "cart_id", "left_anti").checkpoint()
+            undecided = keep(undecided.join(done, "cart_id", "left_anti"))
             settled.append(taken)
             log.info("checkout round %d done", len(settled))
         return settled or [undecided.select("cart_id", "barcode", "n")]

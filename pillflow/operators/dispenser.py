@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pillflow.functions import predicates as P
 from pillflow.functions.scalars import AsOf, channel_name
 from pillflow.operators import lookups as L
-from pillflow.operators.ranking import free_numbers, rank_rows
+from pillflow.operators.ranking import free_numbers, number_slices, sorted_slices
 from pillflow.schemas import (BAD_BARCODE, DISPENSER, EMPTY_BARCODE, EXPIRED, NOT_FOUND, NOT_IN_DISPENSER, OK, STORE)
+from pillflow.session import keep
 
 
 def _barcode_code():
@@ -39,27 +40,32 @@ class Fill:
         asked = L.first_per_barcode(self.requests, P.valid_barcode(F.col("barcode")))
         rows = self.stock_before.select("barcode", "name", "verfallsdatum")
         spoiled = F.coalesce(P.expired(F.col("verfallsdatum"), self.as_of), F.lit(False))
-        return asked.join(rows, "barcode").withColumn("spoiled", spoiled)
+        return keep(asked.join(rows, "barcode").select("barcode", "first_seq", "name", spoiled.alias("spoiled")))
+
+    @cached_property
+    def _held(self) -> DataFrame:
+        """Channels in use, one row per channel and name: a small part of the stock that is looked at thrice."""
+        return keep(L.held_channels(self.stock_before))
 
     @cached_property
     def channels(self) -> DataFrame:
         """Channel per name, or per barcode for goods without a name: ``einheit`` -> ``kanal``."""
-        known = L.channel_of_name(self.stock_before).select(F.struct(
-            "name", F.lit(None).cast("string").alias("barcode")).alias("einheit"), "kanal")
+        nameless = F.lit(None).cast("string").alias("barcode")
+        known = L.lowest_channels(self._held).select(F.struct("name", nameless).alias("einheit"), "kanal")
         return known.unionByName(self._new_channels)
 
     @cached_property
     def _new_channels(self) -> DataFrame:
         moved = self._asked.where(~F.col("spoiled"))
+        known = L.lowest_channels(self._held).select(F.col("name").alias("known"))
         wanted = (
             moved.groupBy(_unit().alias("einheit")).agg(F.min("first_seq").alias("first_seq"))
-            .join(L.channel_of_name(self.stock_before).select(F.col("name").alias("held")),
-                  F.col("einheit.name") == F.col("held"), "left_anti")
+            .join(known, F.col("einheit.name") == F.col("known"), "left_anti")
         )
-        ranked = rank_rows(wanted, "first_seq")
-        needed = ranked.count()
-        numbers = free_numbers(L.occupied_channel_numbers(self.stock_before), needed)
-        return ranked.join(numbers, "rang").select("einheit", channel_name(F.col("nummer")).alias("kanal"))
+        in_order = sorted_slices(wanted, "first_seq")
+        numbers = free_numbers(L.channel_numbers(self._held), in_order.count())
+        named = number_slices(in_order).join(numbers, "rang")
+        return named.select("einheit", channel_name(F.col("nummer")).alias("kanal"))
 
     @cached_property
     def _placed(self) -> DataFrame:

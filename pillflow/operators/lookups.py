@@ -25,22 +25,27 @@ def stock_row_of(requests: DataFrame, stock: DataFrame) -> DataFrame:
         "in_stock", F.coalesce("in_stock", F.lit(False)))
 
 
+def held_channels(stock: DataFrame) -> DataFrame:
+    """Each channel in use with the names in it."""
+    used = (F.col("ort") == DISPENSER) & (F.col("kanal") != "")
+    return stock.where(used).select("name", "kanal").distinct().withColumn("nummer", channel_number(F.col("kanal")))
+
+
+def lowest_channels(held: DataFrame) -> DataFrame:
+    """The channel of each name: the lowest, should there be several; one without number comes last."""
+    place = F.struct(F.col("nummer").isNull().alias("unnumbered"), "nummer", "kanal")
+    return held.where(F.col("name").isNotNull()).groupBy("name").agg(F.min(place).alias("lowest")).select(
+        "name", F.col("lowest.kanal").alias("kanal"))
+
+
 def channel_of_name(stock: DataFrame) -> DataFrame:
-    """The dispenser channel that holds a medicine name: the lowest, should there be several."""
-    number = channel_number(F.col("kanal"))
-    held = stock.where((F.col("ort") == DISPENSER) & (F.coalesce("kanal", F.lit("")) != "") & F.col("name").isNotNull())
-    return held.groupBy("name").agg(
-        F.min(F.struct(F.coalesce(number, F.lit((1 << 63) - 1)).alias("nummer"), "kanal")).alias("lowest")
-    ).select("name", F.col("lowest.kanal").alias("kanal"))
-
-
-def occupied_channel_numbers(stock: DataFrame) -> DataFrame:
-    return (
-        stock.where(F.col("ort") == DISPENSER)
-        .select(channel_number(F.col("kanal")).alias("nummer"))
-        .where("nummer is not null")
-        .distinct()
-    )
+    """The dispenser channel that holds a medicine name."""
+    return lowest_channels(held_channels(stock))
+
+
+def channel_numbers(held: DataFrame) -> DataFrame:
+    """Numbers of the channels in use."""
+    return held.where(F.col("nummer").isNotNull()).select("nummer").distinct()
 
 
 def user_by_name(users: DataFrame, username: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pillflow.functions import predicates as P
 from pillflow.functions.scalars import AsOf, one_year_after
 from pillflow.operators import lookups as L
 from pillflow.schemas import CANCELLED, CONFLICT, MISSING_ARG, NOT_OPEN, OK, STORE
+from pillflow.session import keep
 
 _PAIR = ["bestellgruppe_id", "kundennummer"]
 
@@ -38,7 +39,7 @@ class Cancellation:
     @cached_property
     def _open_lines(self) -> DataFrame:
         firsts = self.requests.where(self._usable).groupBy(*_PAIR).agg(F.min("seq").alias("first_seq"))
-        return L.open_lines_of(firsts, self.orders_before)
+        return keep(L.open_lines_of(firsts, self.orders_before))
 
     @cached_property
     def _verdicts(self) -> DataFrame:

@@ -10,20 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pillflow.session import checkpoint_dir
+from pillflow.session import keep
 
 _PLACE_BITS = 33  # fixed by monotonically_increasing_id: the lower bits are the place in the partition
 
 
 def sorted_slices(df: DataFrame, *order: str | Column) -> DataFrame:
     """``df`` cut into ordered slices: ``_slice`` rises with the order, ``_place`` counts from 0 in each slice."""
-    checkpoint_dir(df.sparkSession)
-    stored = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_id", F.monotonically_increasing_id())
-        .checkpoint()
-    )
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = keep(ordered.withColumn("_id", F.monotonically_increasing_id()))
     return stored.withColumns({
         "_slice": F.shiftright("_id", _PLACE_BITS),
         "_place": F.col("_id").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)),
@@ -32,7 +27,11 @@ def sorted_slices(df: DataFrame, *order: str | Column) -> DataFrame:
 
 def rank_rows(df: DataFrame, *order: str | Column, rank: str = "rang") -> DataFrame:
     """``df`` with the rank of each row, 1, 2, 3, ..., in the given total order."""
-    slices = sorted_slices(df, *order)
+    return number_slices(sorted_slices(df, *order), rank)
+
+
+def number_slices(slices: DataFrame, rank: str = "rang") -> DataFrame:
+    """Ranks for rows that are in slices already."""
     # One row per partition of the shuffle: small whatever the data, so the running sum and the broadcast are safe.
     sizes = slices.groupBy("_slice").agg((F.max("_place") + 1).alias("_size"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pillflow.functions import predicates as P
-from pillflow.functions.scalars import AsOf, hours_between
+from pillflow.functions.scalars import AsOf, day, hours_between
 from pillflow.operators.ranking import sorted_slices
 
 
@@ -23,12 +23,12 @@ def log_search(log: DataFrame, action: str | None = None) -> DataFrame:
 
 def log_review(log: DataFrame, on: AsOf, start: str = "00:00:00", end: str = "23:59:59") -> DataFrame:
     """Entries of one day between two clock times, both included."""
-    return log_list(log.where(P.on_day(F.col("ts"), on) & P.within_clock(F.col("ts"), start, end)))
+    return log_list(log.where(P.dated(F.col("zeitstempel"), on) & P.within_clock(F.col("ts"), start, end)))
 
 
 def log_review_stored(days: DataFrame, on: AsOf, start: str = "00:00:00", end: str = "23:59:59") -> DataFrame:
     """The same over the log as it is stored by day, where all other days are not even read."""
-    return log_review(days.where(F.col("tag") == F.lit(str(on)[:10]).cast("date")), on, start, end)
+    return log_list(days.where((F.col("tag") == day(on)) & P.within_clock(F.col("ts"), start, end)))
 
 
 def log_by_time(log: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pillflow.functions import predicates as P
 from pillflow.functions.scalars import AsOf, channel_name
 from pillflow.operators.expiry import refresh_warnings
-from pillflow.operators.lookups import occupied_channel_numbers
+from pillflow.operators.lookups import channel_numbers, held_channels
 from pillflow.operators.ranking import free_numbers
 from pillflow.schemas import DISPENSER
 
@@ -39,7 +39,7 @@ def occupied_channels(stock: DataFrame) -> DataFrame:
 
 def free_channels(stock: DataFrame, needed: int = 1) -> DataFrame:
     """The lowest channels nobody is in."""
-    numbers = free_numbers(occupied_channel_numbers(stock), needed)
+    numbers = free_numbers(channel_numbers(held_channels(stock)), needed)
     return numbers.select("rang", channel_name(F.col("nummer")).alias("kanal"))
 
 

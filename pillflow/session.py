@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "pillflow", **conf: str) -> SparkSession:
@@ -42,6 +42,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` computed now and kept in the shared folder: for what several results are built on.
+
+    Its plan is cut off, and a lost executor does not take it away.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path for a written table in the shared folder."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

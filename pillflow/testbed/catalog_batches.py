@@ -10,7 +10,7 @@ from pillflow.operators.carts import CartScans, Checkout
 from pillflow.operators.dispenser import Fill, Return
 from pillflow.operators.orders import Cancellation, set_order_status
 from pillflow.operators.stockroom import Intake, Removal
-from pillflow.plans import quality, stock_views
+from pillflow.plans import log_views, quality, stock_views
 from pillflow.session import scratch_path
 from pillflow.sources import action_log
 from pillflow.sources.snapshots import Snapshots
@@ -356,5 +356,9 @@ BATCHES = {
     "l1_log_ingest": (
         _streamed_log,
         "SELECT *, CAST(zeitstempel AS TIMESTAMP) AS ts, CAST(substring(zeitstempel, 1, 10) AS DATE) AS tag FROM action_log", ""),
+    "k5_log_review_by_day": (
+        lambda d: log_views.log_review_stored(_streamed_log(d), "2024-01-15", "06:00:00", "18:00:00"),
+        """SELECT zeitstempel AS "Zeitstempel", kundennummer AS "Benutzer", aktion AS "Aktion"
+           FROM action_log WHERE zeitstempel BETWEEN '2024-01-15 06:00:00' AND '2024-01-15 18:00:00'""", ""),
     "l2_intake_stream": (_streamed_intake, _INTAKE_STOCK, _INTAKE),
 }

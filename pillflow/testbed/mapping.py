@@ -179,7 +179,8 @@ def domain_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql.format(ntz="TIMESTAMP_NTZ", **{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in BASE_TABLES}))
 
 
-_stored: dict[tuple, str] = {}  # (session, folder, state of the files, table) -> path of the written table
+# (session, folder, state of the files, table) -> schema and path of the written table
+_stored: dict[tuple, tuple] = {}
 
 
 def _state(spark: SparkSession, sf_dir: str) -> tuple:
@@ -206,9 +207,10 @@ class Domain:
         if name.startswith("_") or name not in BODIES:
             raise AttributeError(name)
         key = (self.spark.sparkContext.applicationId, self.sf_dir, _state(self.spark, self.sf_dir), name)
-        table = domain_table(self.spark, self.sf_dir, name)
         if key not in _stored:
+            table = domain_table(self.spark, self.sf_dir, name)
             path = scratch_path(self.spark, f"domain-{name}")
             table.write.parquet(path)
-            _stored[key] = path
-        return self.spark.read.schema(table.schema).parquet(_stored[key])
+            _stored[key] = table.schema, path
+        schema, path = _stored[key]
+        return self.spark.read.schema(schema).parquet(path)
