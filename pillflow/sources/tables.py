@@ -9,13 +9,13 @@ from pillflow.schemas import DISPENSER, TABLES, with_defaults
 
 def read_table(spark: SparkSession, table: str, path: str) -> DataFrame:
     """Scan of ``stock``, ``warnings``, ``orders`` or ``users``."""
-    return with_defaults(spark.read.schema(TABLES[table]).parquet(path), table)
+    return spark.read.schema(TABLES[table]).parquet(path)
 
 
 def write_table(df: DataFrame, table: str, path: str) -> None:
-    """Write a table to a new folder."""
+    """Write a table to a new folder. Defaults are filled in here, so that reading can filter in the scan."""
     columns = [f.name for f in TABLES[table].fields]
-    df.select(*columns).to(TABLES[table]).write.mode("errorifexists").parquet(path)
+    with_defaults(df.select(*columns).to(TABLES[table]), table).write.mode("errorifexists").parquet(path)
 
 
 def empty_table(spark: SparkSession, table: str) -> DataFrame:
