@@ -90,7 +90,7 @@ class Checkout:
         """One row per cart and barcode, summed up first so that neither a large cart nor a hot barcode is gathered."""
         lines = self.cart_lines.groupBy("cart_id", "barcode").agg(
             F.count("*").alias("times"), F.min("line_no").alias("line_no"))
-        return keep(lines.join(self._held, "barcode", "left"))
+        return keep(L.hot_join(lines, self._held, ["barcode"]))
 
     @cached_property
     def _carts(self) -> DataFrame:
@@ -104,21 +104,21 @@ class Checkout:
     def rounds(self) -> list[DataFrame]:
         """Which cart gets which barcode, by round: ``cart_id``, ``barcode``, ``n`` (lines of the cart)."""
         eligible = self._carts.where("has_customer and not hopeless").select("cart_id", "n")
-        undecided = keep(self._goods.select("cart_id", "barcode").join(eligible, "cart_id"))
+        undecided = keep(L.hot_join(self._goods.select("cart_id", "barcode"), eligible, ["cart_id"], "inner"))
         settled = []
         while not undecided.isEmpty():
             lowest = undecided.groupBy("barcode").agg(F.min_by("n", "cart_id").alias("n"), F.min("cart_id").alias("cart_id"))
             winners = lowest.groupBy("cart_id").agg(F.count("*").alias("won"), F.first("n").alias("n")).where("won = n")
-            taken = keep(lowest.join(winners.select("cart_id"), "cart_id", "left_semi").select("cart_id", "barcode", "n"))
-            done = undecided.join(taken.select("barcode"), "barcode", "left_semi").select("cart_id").distinct()
-            undecided = keep(undecided.join(done, "cart_id", "left_anti"))
+            taken = keep(L.hot_join(lowest, winners.select("cart_id"), ["cart_id"], "left_semi"))
+            done = L.hot_join(undecided, taken.select("barcode"), ["barcode"], "left_semi").select("cart_id").distinct()
+            undecided = keep(L.hot_join(undecided, done, ["cart_id"], "left_anti"))
             settled.append(taken)
             log.info("checkout round %d done", len(settled))
         return settled or [undecided.select("cart_id", "barcode", "n")]
 
     @cached_property
     def owners(self) -> DataFrame:
-        return reduce(DataFrame.unionAll, self.rounds)
+        return reduce(DataFrame.unionByName, self.rounds)
 
     @cached_property
     def groups(self) -> DataFrame:
@@ -131,8 +131,7 @@ class Checkout:
     @cached_property
     def _first_gap(self) -> DataFrame:
         """Per cart the barcode, and the name if known, of the first line that is not there when its turn comes."""
-        goods = self._goods.join(
-            self.owners.select("barcode", F.col("cart_id").alias("owner")), "barcode", "left")
+        goods = L.hot_join(self._goods, self.owners.select("barcode", F.col("cart_id").alias("owner")), ["barcode"])
         gap = F.col("held").isNull() | (F.col("owner") < F.col("cart_id"))
         place = F.struct((~F.coalesce(gap, F.lit(False))).alias("only_twice"), "line_no", "barcode", "name")
         missing = F.coalesce(gap, F.lit(False)) | (F.col("times") > 1)
@@ -160,7 +159,7 @@ class Checkout:
         sold = self.owners.select("cart_id", "barcode").join(self.cart_lines, ["cart_id", "barcode"])
         ranked = rank_rows(sold.select("cart_id", "line_no", "barcode"), "cart_id", "line_no")
         customers = self.groups.join(self.carts.select("cart_id", "kundennummer"), "cart_id")
-        named = ranked.join(customers, "cart_id").join(self._held.select("barcode", "name"), "barcode")
+        named = L.hot_join(ranked, customers, ["cart_id"], "inner").join(self._held.select("barcode", "name"), "barcode")
         return named.select(
             (F.col("rang") + highest).alias("id"), "bestellgruppe_id", "kundennummer", "barcode", "name",
             moment(self.as_of).alias("bestelldatum"), F.lit(OPEN).alias("status"))

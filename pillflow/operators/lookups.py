@@ -55,7 +55,7 @@ def user_by_name(users: DataFrame, username: str) -> DataFrame:
 def taken_flags(requests: DataFrame, users: DataFrame) -> DataFrame:
     """User requests with ``taken``: the name is already registered."""
     names = users.select("username", F.lit(True).alias("taken")).distinct()
-    return requests.join(names, "username", "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
+    return hot_join(requests, names, ["username"]).withColumn("taken", F.coalesce("taken", F.lit(False)))
 
 
 def free_customer_numbers(numbers: DataFrame, users: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def free_customer_numbers(numbers: DataFrame, users: DataFrame) -> DataFrame:
 
 def open_lines_of(requests: DataFrame, orders: DataFrame) -> DataFrame:
     """Open order lines of the requested (order group, customer) pairs; requests must name each pair once."""
-    return orders.where(F.col("status") == OPEN).join(requests, ["bestellgruppe_id", "kundennummer"])
+    return hot_join(orders.where(F.col("status") == OPEN), requests, ["bestellgruppe_id", "kundennummer"], "inner")
 
 
 def first_per_barcode(requests: DataFrame, usable: Column) -> DataFrame:
@@ -73,18 +73,32 @@ def first_per_barcode(requests: DataFrame, usable: Column) -> DataFrame:
     return requests.where(usable).groupBy("barcode").agg(F.min("seq").alias("first_seq"))
 
 
+def _wrapped(key: Column, dtype: str) -> Column:
+    """A value that stands for the key and is not the key."""
+    return F.concat(F.lit("="), key) if dtype == "string" else F.bitwise_not(key.cast("long"))
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Equi-join for a left side in which single keys may be hot; the right side has each key once.
+
+    Adaptive execution splits a hot partition only where both sides come straight from a shuffle made for the
+    join. A right side that has been grouped by the key already would be joined as it is, and the hot key stay
+    in one task. So the keys are wrapped: the right side, which is the small one, is shuffled once more.
+    """
+    types = dict(left.dtypes)
+    wrapped = {f"_k{i}": _wrapped(F.col(k), types[k]) for i, k in enumerate(keys)}
+    facts = right.select(*[c.alias(k) for k, c in wrapped.items()], *[c for c in right.columns if c not in keys])
+    return left.withColumns(wrapped).join(facts, list(wrapped), how).drop(*wrapped)
+
+
 def with_facts(requests: DataFrame, facts: DataFrame, keys: list[str], usable: Column, unique: str = "seq") -> DataFrame:
-    """Requests joined to facts that hold each key once.
+    """Requests with the facts on their key, as in ``hot_join``.
 
-    A request that needs no facts joins under a key of its own, so bad scans do not pile up in one task. The
-    sides keep no order that later steps rely on, which leaves adaptive execution free to split a hot key.
+    A request that fails its own checks needs no facts. It joins under a key of its own, so that bad scans are
+    spread and do not pile up in one task.
     """
     own = F.concat(F.lit("#"), F.col(unique).cast("string"))
-    marks = [F.when(usable, F.col(k).cast("string")).otherwise(own) for k in keys]
-    asked = requests.withColumns({f"_k{i}": m for i, m in enumerate(marks)})
-    known = facts.select(
-        *[F.col(k).cast("string").alias(f"_k{i}") for i, k in enumerate(keys)],
-        *[c for c in facts.columns if c not in keys],
-    )
-    joins = [f"_k{i}" for i in range(len(keys))]
-    return asked.join(known, joins, "left").drop(*joins)
+    wrapped = {f"_k{i}": F.concat(F.lit("="), F.col(k).cast("string")) for i, k in enumerate(keys)}
+    asked = requests.withColumns({k: F.when(usable, c).otherwise(own) for k, c in wrapped.items()})
+    known = facts.select(*[c.alias(k) for k, c in wrapped.items()], *[c for c in facts.columns if c not in keys])
+    return asked.join(known, list(wrapped), "left").drop(*wrapped)

@@ -46,7 +46,7 @@ class Cancellation:
         """Requested orders with open lines, and whether something stands in the way."""
         elsewhere = self.stock_before.where(~F.col("ort").eqNullSafe(STORE)).select(
             "barcode", F.lit(True).alias("elsewhere"))
-        lines = self._open_lines.join(elsewhere, "barcode", "left")
+        lines = L.hot_join(self._open_lines, elsewhere, ["barcode"])
         clash = F.min(F.when(F.col("elsewhere"), F.struct("id", "barcode", "name")))
         return lines.groupBy(*_PAIR, "first_seq").agg(clash.alias("clash"), F.count("*").alias("n_lines")).withColumn(
             "conflict", F.col("clash").isNotNull())
@@ -71,7 +71,7 @@ class Cancellation:
 
     @cached_property
     def returned_lines(self) -> DataFrame:
-        return self._open_lines.join(self.cancelled.drop("first_seq"), _PAIR, "left_semi")
+        return L.hot_join(self._open_lines, self.cancelled.drop("first_seq"), _PAIR, "left_semi")
 
     @cached_property
     def stock(self) -> DataFrame:
@@ -92,7 +92,7 @@ class Cancellation:
     def orders(self) -> DataFrame:
         """All lines of a cancelled order, whatever their status was."""
         marks = self.cancelled.select(*_PAIR, F.lit(CANCELLED).alias("neu"))
-        return self.orders_before.join(marks, _PAIR, "left").select(
+        return L.hot_join(self.orders_before, marks, _PAIR).select(
             "id", *_PAIR, "barcode", "name", "bestelldatum", F.coalesce("neu", "status").alias("status"))
 
 
@@ -100,6 +100,6 @@ def set_order_status(orders: DataFrame, requests: DataFrame) -> DataFrame:
     """Orders after the status requests: the last one per order group counts, with no check."""
     last = requests.groupBy("bestellgruppe_id").agg(F.max(F.struct("seq", "status")).alias("last"))
     marks = last.select("bestellgruppe_id", F.lit(True).alias("set"), F.col("last.status").alias("neu"))
-    return orders.join(marks, "bestellgruppe_id", "left").select(
+    return L.hot_join(orders, marks, ["bestellgruppe_id"]).select(
         "id", "bestellgruppe_id", "kundennummer", "barcode", "name", "bestelldatum",
         F.when(F.col("set"), F.col("neu")).otherwise(F.col("status")).alias("status"))
