@@ -27,7 +27,8 @@ class CartScans:
     """Judge what is scanned into carts: in the dispenser, not expired, not yet in the same cart.
 
     Whether goods may be had depends on the barcode alone, so the first scan of good goods in a cart is in and
-    the later ones are duplicates, while goods that may not be had get the same answer every time.
+    the later ones are duplicates, while goods that may not be had get the same answer every time. Goods
+    without an expiry date count as expired.
     """
 
     stock: DataFrame
@@ -41,7 +42,7 @@ class CartScans:
         firsts = self.scans.where(usable).groupBy("cart_id", "barcode").agg(F.min("line_no").alias("first_line"))
         held = self.stock.where(F.col("ort") == DISPENSER).select(
             "barcode", "name", "verfallsdatum",
-            F.coalesce(P.expired(F.col("verfallsdatum"), self.as_of), F.lit(False)).alias("spoiled"))
+            F.coalesce(P.expired(F.col("verfallsdatum"), self.as_of), F.lit(True)).alias("spoiled"))
         facts = firsts.join(held, "barcode", "left")
         own = self.scans.withColumn("_scan", F.concat_ws(":", "cart_id", "line_no"))
         judged = L.with_facts(own, facts, ["cart_id", "barcode"], usable, unique="_scan")

@@ -36,10 +36,10 @@ class Fill:
 
     @cached_property
     def _asked(self) -> DataFrame:
-        """Each barcode asked for that is in stock, with whether it is still good."""
+        """Each barcode asked for that is in stock, with whether it is still good; without a date it is not."""
         asked = L.first_per_barcode(self.requests, P.valid_barcode(F.col("barcode")))
         rows = self.stock_before.select("barcode", "name", "verfallsdatum")
-        spoiled = F.coalesce(P.expired(F.col("verfallsdatum"), self.as_of), F.lit(False))
+        spoiled = F.coalesce(P.expired(F.col("verfallsdatum"), self.as_of), F.lit(True))
         return keep(asked.join(rows, "barcode").select("barcode", "first_seq", "name", spoiled.alias("spoiled")))
 
     @cached_property

@@ -15,15 +15,16 @@ from pyspark.sql import functions as F
 from pillflow.schemas import TABLES
 from pillflow.sources.tables import empty_table, read_table, write_table
 
-_ENTRY = "version long, table string, path string, stream string, batch_id long"
+_ENTRY = "version long, table string, path string, buckets int, stream string, batch_id long"
 
 
 class Snapshots:
-    """Tables under one root folder."""
+    """Tables under one root folder; with ``buckets``, those with a unique barcode are written in that many."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 0):
         self.spark = spark
         self.root = root
+        self.buckets = buckets
 
     def _published(self) -> DataFrame:
         try:
@@ -45,13 +46,13 @@ class Snapshots:
         """Write tables to new folders, not yet visible."""
         paths = {table: f"{self.root}/data/{table}/{uuid.uuid4().hex}" for table in tables}
         for table, df in tables.items():
-            write_table(df, table, paths[table])
+            write_table(df, table, paths[table], self.buckets)
         return paths
 
     def publish(self, paths: dict[str, str], stream: str = "", batch_id: int = -1) -> int:
         """Make staged tables the current ones, all at once."""
         version = (self.version() or 0) + 1
-        rows = [(version, table, path, stream, batch_id) for table, path in paths.items()]
+        rows = [(version, table, path, self.buckets, stream, batch_id) for table, path in paths.items()]
         self.spark.createDataFrame(rows, _ENTRY).coalesce(1).write.mode("append").json(f"{self.root}/published")
         return version
 
@@ -64,7 +65,8 @@ class Snapshots:
 
     def read(self, table: str) -> DataFrame:
         """Current state of a table."""
-        newest = self._published().where(F.col("table") == table).agg(F.max_by("path", "version")).first()[0]
+        newest = self._published().where(F.col("table") == table).agg(
+            F.max_by(F.struct("path", "buckets"), "version")).first()[0]
         if newest is None:
             return empty_table(self.spark, table)
-        return read_table(self.spark, table, newest)
+        return read_table(self.spark, table, newest.path, newest.buckets)

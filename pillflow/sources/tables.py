@@ -2,20 +2,46 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pillflow.schemas import DISPENSER, TABLES, with_defaults
 
 
-def read_table(spark: SparkSession, table: str, path: str) -> DataFrame:
-    """Scan of ``stock``, ``warnings``, ``orders`` or ``users``."""
-    return spark.read.schema(TABLES[table]).parquet(path)
+# Tables that may be stored in buckets. Each key occurs once, so the buckets are of one size; a bucket is read by
+# one task, which is why tables with keys that may be hot are not here.
+BUCKET_KEYS = {"stock": "barcode", "warnings": "barcode"}
+
+
+def read_table(spark: SparkSession, table: str, path: str, buckets: int = 0) -> DataFrame:
+    """Scan of ``stock``, ``warnings``, ``orders`` or ``users``; buckets as they were written."""
+    schema = TABLES[table]
+    if not (buckets and table in BUCKET_KEYS):
+        return spark.read.schema(schema).parquet(path)
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+    name = f"pillflow_{table}_{hashlib.sha256(path.encode()).hexdigest()[:32]}"
+    key = BUCKET_KEYS[table]
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+              f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
 
+def write_table(df: DataFrame, table: str, path: str, buckets: int = 0) -> None:
+    """Write a table to a new folder. Defaults are filled in here, so that reading can filter in the scan.
 
-def write_table(df: DataFrame, table: str, path: str) -> None:
-    """Write a table to a new folder. Defaults are filled in here, so that reading can filter in the scan."""
+    In buckets, the table need not be shuffled when requests are joined to it.
+    """
     columns = [f.name for f in TABLES[table].fields]
-    with_defaults(df.select(*columns).to(TABLES[table]), table).write.mode("errorifexists").parquet(path)
+    rows = with_defaults(df.select(*columns).to(TABLES[table]), table)
+    if not (buckets and table in BUCKET_KEYS):
+        rows.write.mode("errorifexists").parquet(path)
+        return
+    key, name = BUCKET_KEYS[table], f"pillflow_new_{uuid.uuid4().hex}"
+    writer = rows.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
+    writer.option("path", path).saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")  # the entry in the catalog only; the files stay
 
 
 def empty_table(spark: SparkSession, table: str) -> DataFrame:

@@ -195,6 +195,14 @@ def _snapshot_roundtrip(d: Domain):
     return tables.read("stock")
 
 
+def _bucketed_removal(d: Domain):
+    """Removal from a stock that is stored in buckets."""
+    tables = Snapshots(d.spark, scratch_path(d.spark, "snapshots"), buckets=16)
+    tables.commit({"stock": d.stock})
+    tables.commit({"stock": Removal(tables.read("stock"), d.barcode_req).stock})
+    return tables.read("stock")
+
+
 def _appended_log(d: Domain):
     path = scratch_path(d.spark, "log")
     action_log.append_log(d.action_log, path)
@@ -310,6 +318,7 @@ BATCHES = {
         f"""SELECT * FROM action_log UNION ALL
             SELECT {_LOGGED}, '✅ Ware ' || barcode || ' entfernt.' FROM removal_outcomes WHERE code = 'OK'""", _REMOVAL),
     "a9_snapshot_commit": (_snapshot_roundtrip, _REMOVED_STOCK, _REMOVAL),
+    "a9_bucketed_snapshot": (_bucketed_removal, _REMOVED_STOCK, _REMOVAL),
     "c9_answers": (
         lambda d: audit.answers("removal", removal(d).outcomes),
         """SELECT *, CASE code WHEN 'OK' THEN '✅ Erfolg: Ware ' || barcode || ' entfernt.'

@@ -12,7 +12,7 @@ from pillflow.session import build_session  # noqa: E402
 def spark(tmp_path_factory):
     session = build_session("tests", **{
         "spark.master": "local[8]",
-        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.shuffle.partitions": "2",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "4g",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),

@@ -63,7 +63,7 @@ class Shop:
         if barcode not in self.stock:
             return "NOT_FOUND", None
         row = self.stock[barcode]
-        if row[2] < self.today:
+        if row[2] is None or row[2] < self.today:
             return "EXPIRED", None
         dispenser = [r for r in self.stock.values() if r[3] == "Automat" and r[4]]
         same = sorted(int(r[4][6:]) for r in dispenser if r[0] == row[0])
@@ -100,7 +100,7 @@ class Shop:
         row = self.stock.get(barcode)
         if row is None or row[3] != "Automat":
             return "NOT_IN_DISPENSER"
-        if row[2] < self.today:
+        if row[2] is None or row[2] < self.today:
             return "EXPIRED"
         cart.add(barcode)
         return "OK"
@@ -165,7 +165,7 @@ class Shop:
         for barcode in [b for b in self.warnings if b not in self.stock]:
             del self.warnings[barcode]
         for barcode, (name, _, day, place, _) in self.stock.items():
-            if day < self.today:
+            if day is not None and day < self.today:
                 if barcode in self.warnings:
                     self.warnings[barcode][2:] = [place, "Medikament abgelaufen"]
                 else:

@@ -1,4 +1,6 @@
-"""Every registered query against its SQL counterpart in DuckDB."""
+"""Every registered query: its plan, and its result against its SQL counterpart in DuckDB."""
+
+import re
 
 import duckdb
 import pytest
@@ -17,9 +19,18 @@ def duck():
     return connection
 
 
+def check_plan(df):
+    """No Python, no cross join; a window over everything only on one row per slice."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"EvalPython|InPandas|InArrow|CartesianProduct|BroadcastNestedLoopJoin", text)
+    for gathered in re.finditer(r"Window \[[^\n]*\n[^\n]*Sort \[(\w+)#[^\n]*\n[^\n]*Exchange SinglePartition", text):
+        assert gathered.group(1) == "_slice"
+
+
 @pytest.mark.parametrize("name", sorted(entry_file.queries()))
 def test_same_result(spark, duck, name):
     df = entry_file.queries()[name](spark, SMALL)
+    check_plan(df)
     columns = sorted(df.columns)
     found = sorted(repr(tuple(r[c] for c in columns)) for r in df.collect())
     if name not in entry_file.oracle_sql():

@@ -205,3 +205,31 @@ def test_extension(spark):
     assert stock.transform(lambda df: df.where("name = 'a'")).transform(stock_views.article_totals).count() == 1
 
 
+
+
+def test_all_operations_on_snapshots(spark, tmp_path):
+    """A day at the counter, each step a micro-batch."""
+    store = Snapshots(spark, str(tmp_path / "store"), buckets=2)
+    store.create_if_absent()
+    barcodes = [f"1000000{i}" for i in range(6)]
+    seq = spark.createDataFrame(list(enumerate(barcodes)), S.BARCODE_REQUESTS)
+    cart = [(1, 1, barcodes[0], "K"), (1, 2, barcodes[1], "K"), (2, 1, barcodes[1], "K"), (3, None, None, "")]
+    steps = [
+        (request_batches.intake(TODAY), spark.createDataFrame([(i, b, "a", "2001-01-01", None) for i, b in enumerate(barcodes)], S.INTAKE_REQUESTS)),
+        (request_batches.fill(TODAY), seq.where("seq < 4")),
+        (request_batches.give_back(), seq.where("seq = 3")),
+        (request_batches.removal(), seq.where("seq = 5")),
+        (request_batches.checkout(NOON), spark.createDataFrame(cart, "cart_id long, line_no long, barcode string, kundennummer string")),
+        (request_batches.status_change(), spark.createDataFrame([(1, 100001, "Genehmigt")], S.STATUS_REQUESTS)),
+        (request_batches.cancellation(TODAY), spark.createDataFrame([(1, 100000, "K")], S.CANCEL_REQUESTS)),
+    ]
+    for i, (operation, requests) in enumerate(steps):
+        stream = request_batches.RequestStream(f"step {i}", store, operation, str(tmp_path / f"outcomes{i}"))
+        stream.apply(requests, 0)
+    assert values(store.read("stock").select("barcode", "menge", "ort", "kanal")) == [
+        (barcodes[0], 1, "Lager", None), (barcodes[1], 1, "Lager", None), (barcodes[2], 1, "Automat", "Kanal 1"),
+        (barcodes[3], 1, "Lager", None), (barcodes[4], 1, "Lager", None)]
+    assert values(store.read("orders").select("bestellgruppe_id", "status").distinct()) == [(100000, "Storniert")]
+    checkout = spark.read.parquet(str(tmp_path / "outcomes4"))
+    assert values(checkout.select("cart_id", "code", "detail")) == [
+        (1, "OK", "100000"), (2, "LINE_UNAVAILABLE", barcodes[1]), (3, "NO_CUSTOMER", None)]
