@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
+from itertools import groupby
+from operator import itemgetter
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +68,24 @@ class CartScans:
             "cart_id", "line_no", "barcode", F.col("detail").alias("name"), "verfallsdatum")
 
 
+def _settle_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The lines of the carts that get all their goods; lines come sorted by cart."""
+    taken: set[str] = set()
+    won: list[tuple] = []
+    lines = (row for batch in batches for row in batch.itertuples(index=False, name=None))
+    for _, cart in groupby(lines, key=itemgetter(0)):
+        goods = list(cart)
+        barcodes = {barcode for _, barcode, _ in goods}
+        if taken.isdisjoint(barcodes):
+            taken |= barcodes
+            won.extend(goods)
+        if len(won) >= 10_000:
+            yield pd.DataFrame(won, columns=["cart_id", "barcode", "n"])
+            won = []
+    if won:
+        yield pd.DataFrame(won, columns=["cart_id", "barcode", "n"])
+
+
 @dataclass(frozen=True)
 class Checkout:
     """Turn carts into orders, all or nothing per cart, earlier carts first.
@@ -72,8 +94,9 @@ class Checkout:
     before it, and theirs on the carts before them. Carts without customer or lines, or with a line that is not
     in the dispenser, never take anything. The others are settled in rounds: a cart that is the lowest for
     every one of its barcodes gets them, the carts that share a barcode with it do not, and both leave. The
-    lowest cart of all is settled in every round, so the rounds end; carts in random order need few of them,
-    whereas a chain in which each cart waits for the one before needs one per link.
+    lowest cart of all is settled in every round, so the rounds end. Carts in random order need few of them, but
+    a chain in which each cart waits for the one before needs one per link: when ``patience`` rounds have not
+    been enough and no more than ``few_lines`` cart lines are left, those are settled in order by one task.
     """
 
     stock_before: DataFrame
@@ -81,6 +104,8 @@ class Checkout:
     carts: DataFrame
     cart_lines: DataFrame
     as_of: AsOf
+    patience: int = 8
+    few_lines: int = 500_000
 
     @cached_property
     def _held(self) -> DataFrame:
@@ -108,6 +133,10 @@ class Checkout:
         undecided = keep(L.hot_join(self._goods.select("cart_id", "barcode"), eligible, ["cart_id"], "inner"))
         settled = []
         while not undecided.isEmpty():
+            if len(settled) >= self.patience and undecided.count() <= self.few_lines:
+                in_order = undecided.repartition(1).sortWithinPartitions("cart_id")
+                settled.append(keep(in_order.mapInPandas(_settle_in_order, in_order.schema)))
+                break
             lowest = undecided.groupBy("barcode").agg(F.min_by("n", "cart_id").alias("n"), F.min("cart_id").alias("cart_id"))
             winners = lowest.groupBy("cart_id").agg(F.count("*").alias("won"), F.first("n").alias("n")).where("won = n")
             taken = keep(L.hot_join(lowest, winners.select("cart_id"), ["cart_id"], "left_semi"))

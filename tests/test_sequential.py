@@ -133,10 +133,10 @@ def test_cart_scans(spark, seed):
     assert {c: {b for x, b in rows(result.cart_lines, "cart_id", "barcode") if x == c} for c in carts} == carts
 
 
-def check_out(spark, shop, carts, lines):
+def check_out(spark, shop, carts, lines, **settings):
     before = frames(spark, shop)
     result = Checkout(before["stock"], before["orders"], spark.createDataFrame(carts, S.CARTS),
-                      spark.createDataFrame(lines, S.CART_LINES), NOW)
+                      spark.createDataFrame(lines, S.CART_LINES), NOW, **settings)
     expected = [(c, *shop.check_out(k, [b for x, _, b in sorted(lines) if x == c])) for c, k in sorted(carts)]
     assert rows(result.outcomes, "cart_id", "code", "detail") == sorted(expected, key=repr)
     same_stock(result.stock, shop)
@@ -166,6 +166,26 @@ def test_checkout_chain(spark):
     assert len(result.rounds) == 4
 
 
+@pytest.mark.parametrize("few_lines", [5, 1000])
+def test_checkout_long_chain(spark, few_lines):
+    """When the rounds make no headway, a small rest is settled at once, a large one goes on in rounds."""
+    shop = Shop(TODAY, NOW)
+    for i in range(32):
+        shop.stock[str(20000000 + i)] = ["x", 1, TODAY, "Automat", "Kanal 1"]
+    lines = [(c, n, str(20000000 + c + n)) for c in range(30) for n in range(2 + c % 2 * (c > 20)) if c + n < 32]
+    result = check_out(spark, shop, [(c, "K") for c in range(30)], lines, patience=3, few_lines=few_lines)
+    assert len(result.rounds) == 4 if few_lines == 1000 else len(result.rounds) > 8
+
+
+@pytest.mark.parametrize("seed", SEEDS)
+def test_checkout_in_one_task(spark, seed):
+    rng, shop = a_shop(seed)
+    for i in range(60):
+        shop.stock[str(20000000 + i)] = ["x", 1, TODAY, "Automat", "Kanal 50"]
+    lines = [(c, n, str(20000000 + rng.randrange(60))) for c in range(65) for n in range(rng.choice([1, 2, 3]))]
+    check_out(spark, shop, [(c, "K4") for c in range(70)], lines, patience=0)
+
+
 def test_checkout_of_nothing(spark):
     shop = Shop(TODAY, NOW)
     result = check_out(spark, shop, [(1, "K"), (2, "")], [(1, 1, "12345678")])
