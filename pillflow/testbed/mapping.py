@@ -144,18 +144,21 @@ BODIES = {
         SELECT s_name FROM {supplier}""",
 }
 
+_REFERENCE = re.compile(rf"\b(FROM|JOIN)\s+({'|'.join(BODIES)})\b")
+
+
 def _needed(sql: str) -> list[str]:
     """The expressions a text builds on, each after those it needs itself."""
     found: list[str] = []
 
     def visit(text: str) -> None:
-        for name in BODIES:
-            if name not in found and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
+        for _, name in _REFERENCE.findall(text):
+            if name not in found:
                 visit(BODIES[name])
                 found.append(name)
 
     visit(sql)
-    return [name for name in BODIES if name in found]
+    return found
 
 
 def with_clause(sql: str, extra: str = "", recursive: bool = False) -> str:
@@ -173,12 +176,6 @@ def for_duckdb(sql: str) -> str:
     return sql.format(ntz="TIMESTAMP", **{t: t for t in BASE_TABLES})
 
 
-def domain_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the tables above as a Spark DataFrame."""
-    sql = with_clause(f"SELECT * FROM {name}")
-    return spark.sql(sql.format(ntz="TIMESTAMP_NTZ", **{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in BASE_TABLES}))
-
-
 # (session, folder, state of the files, table) -> schema and path of the written table
 _stored: dict[tuple, tuple] = {}
 
@@ -195,22 +192,28 @@ def _state(spark: SparkSession, sf_dir: str) -> tuple:
 class Domain:
     """The tables over one folder of the driver's data: ``Domain(spark, sf_dir).stock`` and so on.
 
-    In use these tables lie in storage, so each is derived once per session, written to the shared folder and
-    read from there.
+    In use these tables lie in storage, so each is derived once per session, from those it builds on, written to
+    the shared folder and read from there.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._origin = (spark.sparkContext.applicationId, self.sf_dir, _state(spark, self.sf_dir))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in BODIES:
             raise AttributeError(name)
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, _state(self.spark, self.sf_dir), name)
+        schema, path = self._written(name)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def _written(self, name: str) -> tuple:
+        key = (*self._origin, name)
         if key not in _stored:
-            table = domain_table(self.spark, self.sf_dir, name)
+            sql = _REFERENCE.sub(lambda m: f"{m[1]} parquet.`{self._written(m[2])[1]}`", BODIES[name])
+            table = self.spark.sql(sql.format(
+                ntz="TIMESTAMP_NTZ", **{t: f"parquet.`{self.sf_dir}/{t}.parquet`" for t in BASE_TABLES}))
             path = scratch_path(self.spark, f"domain-{name}")
             table.write.parquet(path)
             _stored[key] = table.schema, path
-        schema, path = _stored[key]
-        return self.spark.read.schema(schema).parquet(path)
+        return _stored[key]
