@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pillflow.llm import mixture, packing, piece_bpe, rans
+from pillflow.llm import mixture, packing, piece_bpe, rans, suffixes
 from pillflow.llm.common import read
 
 SEQUENCE_TOKENS = 4096
 SHARDS = 24
+REPEATED_BYTES = 400
 
 
 def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.starts_of(rans.read_container(spark, table, blocks), blocks)
 
 
+def op4_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(read(spark, sf_dir, "documents"), REPEATED_BYTES)
+
+
 def op7_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = piece_bpe.serialise(piece_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
     return piece_bpe.digest_round_trip(read(spark, sf_dir, "documents"), model, public_tokenizers.PATTERN)
@@ -43,7 +48,7 @@ def op10_mixture_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_rans_tokens, op7_piece_bpe, op8_swap_packing, op10_mixture_shards)
+    f.__name__: f for f in (op2_rans_tokens, op4_induced_suffixes, op7_piece_bpe, op8_swap_packing, op10_mixture_shards)
 }
 
 #: SQL for DuckDB where it can express the operator.
