@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pillflow.llm import mixture, packing, piece_bpe, rans, suffixes
-from pillflow.llm.common import read
+from pillflow.llm import langid, mixture, packing, piece_bpe, rans, suffixes
+from pillflow.llm.common import crc32_of, read
 
 SEQUENCE_TOKENS = 4096
 SHARDS = 24
@@ -22,6 +22,13 @@ def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.starts_of(rans.read_container(spark, table, blocks), blocks)
 
 
+def op3_bloom_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(crc32_of("doc_id"), F.lit(5)) == 0
+    documents = read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(held_out, F.lit(True)))
+    model = langid.learn(documents.where("not held_out").select("text", "lang"))
+    return langid.identify(documents.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op4_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(read(spark, sf_dir, "documents"), REPEATED_BYTES)
 
@@ -48,7 +55,7 @@ def op10_mixture_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_rans_tokens, op4_induced_suffixes, op7_piece_bpe, op8_swap_packing, op10_mixture_shards)
+    f.__name__: f for f in (op2_rans_tokens, op3_bloom_languages, op4_induced_suffixes, op7_piece_bpe, op8_swap_packing, op10_mixture_shards)
 }
 
 #: SQL for DuckDB where it can express the operator.
