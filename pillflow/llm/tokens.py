@@ -14,10 +14,11 @@ import numpy as np
 from pillflow.llm.common import worker_cache
 
 #: Pieces a worker remembers; beyond that it forgets them all and starts again.
-REMEMBERED = 700_000
+REMEMBERED = 1_000_000
 _JOINED = 1000
 _ENDS = ",.;:!?"
-_WHOLE = "\0"  # stands for a text that is encoded as a whole
+#: Characters that a text may not hold if it is to be cut: marks used here, and white space but blank and line break.
+_ODD = [chr(c) for c in (0, 1, *range(9, 10), *range(11, 14), *range(28, 32), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)]
 
 
 class PieceCache:
@@ -35,15 +36,6 @@ class PieceCache:
     def learn(self, pieces: set[str]) -> None:
         raise NotImplementedError
 
-    def is_safe(self, piece: str) -> bool:
-        """Whether the piece is encoded the same alone as in its text."""
-        if piece == _WHOLE:
-            return False
-        if self.blanks_dropped or piece == "\n":
-            return True
-        inner = piece[1:] if piece[:1] == " " else piece
-        return bool(inner) and not inner[0].isspace() and not inner[-1].isspace()
-
     def all_ids(self, texts: list[str]) -> list[bytes]:
         result, i = [], 0
         while i < len(texts):  # about a megabyte at a time, so that the pieces at hand stay few
@@ -56,41 +48,40 @@ class PieceCache:
         return result
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        get = self.known.get
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = [self._pieces(t) for t in texts]
-        found = [list(map(get, pieces)) for pieces in cut]
-        gaps, fresh = [], set()
-        for pieces, ids in zip(cut, found):
-            at, gap = -1, []
-            try:
-                while True:
-                    at = ids.index(None, at + 1)
-                    gap.append(at)
-                    fresh.add(pieces[at])
-            except ValueError:
-                gaps.append(gap)
-        fresh = fresh.difference(self.known)
-        unsafe_pieces = {p for p in fresh if not self.is_safe(p)}
-        self.known.update(dict.fromkeys(unsafe_pieces))
-        self.learn(fresh - unsafe_pieces)
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        if not known:
+            known.update({"\n": self._plain("\n"), "": None, " ": None})
+            if self.blanks_dropped:
+                known.update({"": b"", " ": b""})
+        get = known.get
+        every = "".join(texts)
+        odd = [t for t in _ODD if t in every]
+        cut, fresh = [], set()
+        for text in texts:
+            if odd and any(t in text for t in odd):
+                cut.append(([None], [0], ["\0"]))
+                continue
+            pieces = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+            if pieces[-1] == "" and (len(pieces) == 1 or pieces[-2] == "\n"):
+                pieces.pop()
+            ids = list(map(get, pieces))
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            missing = [pieces[i] for i in gaps]
+            fresh.update(missing)
+            cut.append((ids, gaps, missing))
+        self.learn(fresh - {"", " "})
         out = []
-        for text, pieces, ids, gap in zip(texts, cut, found, gaps):
-            for at in gap:
-                ids[at] = get(pieces[at])
-            unsafe = any(ids[at] is None for at in gap)
-            out.append(np.array(self.whole(text), "<u4").tobytes() if unsafe else b"".join(ids))
+        for text, (ids, gaps, missing) in zip(texts, cut):
+            for i, piece in zip(gaps, missing):
+                ids[i] = get(piece)
+            # What is still open is a blank next to white space, or an odd character: the text goes as a whole.
+            out.append(self._plain(text) if gaps and None in [ids[i] for i in gaps] else b"".join(ids))
         return out
 
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        if "\0" in text:
-            return [_WHOLE]
-        pieces = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        if pieces[-1] == "" and (len(pieces) == 1 or pieces[-2] == "\n"):
-            pieces.pop()
-        return pieces
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.whole(text), "<u4").tobytes()
 
 
 class PieceEncoder(PieceCache):
@@ -111,7 +102,6 @@ class PieceEncoder(PieceCache):
             kept.update(tokenizer=tokenizer, known={})
         super().__init__(kept["known"], blanks_dropped)
         self.tokenizer, self.separator = kept["tokenizer"], separator
-        self.mark = separator.strip(" ")
         (self.separator_id,) = self.whole(separator)
         self.ends = {c: np.array(self.whole(c), "<u4").tobytes() for c in _ENDS}
 
@@ -119,22 +109,16 @@ class PieceEncoder(PieceCache):
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def learn(self, pieces: set[str]) -> None:
-        alone, joined, ended, folded = [], [], [], []
-        for piece in pieces:
-            if not piece or self.mark in piece:
-                alone.append(piece)
-            elif piece[-1] in _ENDS and piece[-2:-1].isalpha():
-                ended.append(piece)  # a letter and a mark are never in one pre-token
-            elif self.blanks_dropped and piece.isascii() and piece != piece.strip(" ").lower():
-                folded.append(piece)
-            else:
-                joined.append(piece)
-        folded += {piece[:-1] for piece in ended if self.blanks_dropped and piece.isascii()}.difference(self.known)
-        more = {piece[:-1] for piece in ended}.difference(folded)
-        more.update(piece.strip(" ").lower() for piece in folded)
-        joined += more.difference(self.known, joined)
-        for piece in alone:
-            self.known[piece] = np.array(self.whole(piece), "<u4").tobytes()
+        # A letter and a mark after it are never in one pre-token.
+        ended = [p for p in pieces if p[-1] in _ENDS and p[-2:-1].isalpha()]
+        words = pieces.difference(ended)
+        words.update([p[:-1] for p in ended])
+        folded = []
+        if self.blanks_dropped:
+            folded = [p for p in words if p.isascii() and p != p.strip(" ").lower()]
+            words.difference_update(folded)
+            words.update([p.strip(" ").lower() for p in folded])
+        joined = list(words.difference(self.known))
         for i in range(0, len(joined), _JOINED):
             some = joined[i:i + _JOINED]
             ids = np.array(self.whole(self.separator.join(some)), "<u4")
