@@ -8,12 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pillflow.llm import langid, mixture, packing, piece_bpe, rans, suffixes
+from pillflow.llm import langid, mixture, packing, piece_bpe, rans, suffixes, toxicity
 from pillflow.llm.common import crc32_of, read
 
 SEQUENCE_TOKENS = 4096
 SHARDS = 24
 REPEATED_BYTES = 400
+TOXIC_FROM = 0.3
+
+
+def op1_label_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    labels = read(spark, sf_dir, "labels").where(F.pmod(crc32_of("doc_id"), F.lit(4)) != 2)
+    model = toxicity.learn(documents.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+    held_out = F.coalesce(F.pmod(crc32_of("doc_id"), F.lit(4)) == 2, F.lit(False)).alias("held_out")
+    scored = toxicity.score(documents.select("doc_id", held_out, "text"), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
 def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +65,8 @@ def op10_mixture_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_rans_tokens, op3_bloom_languages, op4_induced_suffixes, op7_piece_bpe, op8_swap_packing, op10_mixture_shards)
+    f.__name__: f for f in (
+        op1_label_model, op2_rans_tokens, op3_bloom_languages, op4_induced_suffixes, op7_piece_bpe, op8_swap_packing, op10_mixture_shards)
 }
 
 #: SQL for DuckDB where it can express the operator.
