@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pillflow.llm import langid, mixture, packing, piece_bpe, rans, suffixes, toxicity
+from pillflow.llm import langid, mixture, near, packing, piece_bpe, rans, suffixes, toxicity
 from pillflow.llm.common import crc32_of, read
 
 SEQUENCE_TOKENS = 4096
@@ -43,6 +43,13 @@ def op4_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(read(spark, sf_dir, "documents"), REPEATED_BYTES)
 
 
+def op5_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    classes = near.near_duplicates(documents)
+    alone = documents.where("doc_id is null or text is null").select("doc_id", F.col("doc_id").alias("class_id"))
+    return classes.unionByName(alone)
+
+
 def op7_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = piece_bpe.serialise(piece_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
     return piece_bpe.digest_round_trip(read(spark, sf_dir, "documents"), model, public_tokenizers.PATTERN)
@@ -66,7 +73,7 @@ def op10_mixture_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_label_model, op2_rans_tokens, op3_bloom_languages, op4_induced_suffixes, op7_piece_bpe, op8_swap_packing, op10_mixture_shards)
+        op1_label_model, op2_rans_tokens, op3_bloom_languages, op4_induced_suffixes, op5_weighted_minhash, op7_piece_bpe, op8_swap_packing, op10_mixture_shards)
 }
 
 #: SQL for DuckDB where it can express the operator.

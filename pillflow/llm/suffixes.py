@@ -50,8 +50,7 @@ class Hashes:
         self.letters = _letters(seed)
         self.up = self.down = np.ones(1, np.uint64)
 
-    def of(self, data: np.ndarray, length: int) -> np.ndarray:
-        """One hash for each start; ``data`` holds bytes and is at least ``length`` long."""
+    def _sums(self, data: np.ndarray) -> np.ndarray:
         n = len(data)
         if len(self.up) < n:
             size = 1 << n.bit_length()
@@ -60,12 +59,25 @@ class Hashes:
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
         np.cumsum(self.letters[data] * self.up[:n], out=sums[1:])
-        h = (sums[length:] - sums[:n + 1 - length]) * self.down[:n + 1 - length]
+        return sums
+
+    @staticmethod
+    def _mixed(h: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
         return h
 
+    def of(self, data: np.ndarray, length: int) -> np.ndarray:
+        """One hash for each start; ``data`` holds bytes and is at least ``length`` long."""
+        sums, count = self._sums(data), len(data) + 1 - length
+        return self._mixed((sums[length:] - sums[:count]) * self.down[:count])
+
+    def between(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the given substrings."""
+        sums = self._sums(data)
+        return self._mixed((sums[ends] - sums[starts]) * self.down[starts])
+
 
 def anchor_runs(data: np.ndarray, hashes: Hashes, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, first window, last window) of each run of windows with one anchor."""

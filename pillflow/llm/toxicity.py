@@ -65,6 +65,11 @@ _PATTERNS = 4
 BEGINNINGS = (4, 5, 6, 7, 8, 10, 12)
 
 
+def is_word_byte(data: np.ndarray) -> np.ndarray:
+    """Letters and digits of lower-cased ASCII, and all bytes of other characters."""
+    return _WORD[data]
+
+
 def _first_bytes(k: int) -> np.uint64:
     return np.uint64(((1 << 8 * k) - 1) << (64 - 8 * k))
 
