@@ -155,8 +155,8 @@ def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
-def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
-    """``documents`` with ``lang_pred`` and ``score``, from ``text`` alone."""
+def identify(documents: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``documents`` with language and score in the columns ``names``, from ``text`` alone."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by PER_LANGUAGE and the languages
 
     def predict(texts: pd.Series) -> pd.DataFrame:
@@ -180,4 +180,4 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
         return predict(texts)
 
     return documents.withColumn("_found", predicted("text")).withColumns({
-        "lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+        names[0]: F.col("_found.lang_pred"), names[1]: F.col("_found.score")}).drop("_found")

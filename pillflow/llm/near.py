@@ -241,4 +241,4 @@ def keep_one_each(documents: DataFrame) -> DataFrame:
     kept = near_duplicates(documents).where("doc_id = class_id").select("doc_id").distinct()
     alone = documents.where("doc_id is null or text is null")
     rest = documents.where("doc_id is not null and text is not null").join(kept, "doc_id", "left_semi")
-    return rest.dropDuplicates(["doc_id"]).unionByName(alone)
+    return rest.dropDuplicates(["doc_id"]).select(documents.columns).unionByName(alone)

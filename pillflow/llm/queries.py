@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pillflow.llm import langid, mixture, near, packing, piece_bpe, rans, suffixes, toxicity
+from pillflow.llm import collide, kdtree, langid, mixture, near, packing, piece_bpe, rans, suffixes, toxicity, vectors
 from pillflow.llm.common import crc32_of, read
 
 SEQUENCE_TOKENS = 4096
@@ -50,6 +50,12 @@ def op5_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.unionByName(alone)
 
 
+def op6_kd_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.transform("vec", lambda x: F.floor(x * 256).cast("double")).alias("vec")
+    rows = vectors.usable_vectors(read(spark, sf_dir, "embeddings")).select("vec_id", whole)
+    return kdtree.top_products(rows, rows.where(F.pmod("vec_id", F.lit(50)) == 0), k=5)
+
+
 def op7_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = piece_bpe.serialise(piece_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
     return piece_bpe.digest_round_trip(read(spark, sf_dir, "documents"), model, public_tokenizers.PATTERN)
@@ -61,6 +67,11 @@ def op8_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, SEQUENCE_TOKENS)
 
 
+def op9_collision_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors.usable_vectors(read(spark, sf_dir, "embeddings")).where(F.exists("vec", lambda x: x != 0))
+    return collide.nearest(rows, rows.where(F.pmod("vec_id", F.lit(100)) == 0), k=10)
+
+
 def op10_mixture_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = read(spark, sf_dir, "documents").select(
@@ -73,7 +84,7 @@ def op10_mixture_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_label_model, op2_rans_tokens, op3_bloom_languages, op4_induced_suffixes, op5_weighted_minhash, op7_piece_bpe, op8_swap_packing, op10_mixture_shards)
+        op1_label_model, op2_rans_tokens, op3_bloom_languages, op4_induced_suffixes, op5_weighted_minhash, op6_kd_trees, op7_piece_bpe, op8_swap_packing, op9_collision_lines, op10_mixture_shards)
 }
 
 #: SQL for DuckDB where it can express the operator.

@@ -488,8 +488,8 @@ def strip_repeats(documents: DataFrame, span: int = 400) -> DataFrame:
 
     kept = changed.select("doc_id", "tid", "kept").mapInPandas(decode, "doc_id long, _tid binary, _kept string")
     named = documents.withColumn("_tid", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
-    text = F.coalesce("_kept", "text")
-    joined = named.join(kept, ["doc_id", "_tid"], "left").withColumns({
-        "n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast("long"), "text": text,
-    })
-    return joined.select(documents.columns)
+    joined = named.join(kept, ["doc_id", "_tid"], "left")
+    if "n_chars" in documents.columns:
+        joined = joined.withColumn(
+            "n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast("long"))
+    return joined.withColumn("text", F.coalesce("_kept", "text")).select(documents.columns)

@@ -352,8 +352,8 @@ def learn(documents: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Toxic
     return ToxicityModel(*lists, *train_logistic(x, posterior))
 
 
-def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``documents`` with ``score``, from ``text`` alone."""
+def score(documents: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
+    """``documents`` with a score in the column ``name``, from ``text`` alone."""
     k = len(model.forms)
 
     @F.pandas_udf("double")
@@ -365,4 +365,4 @@ def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
             out.append(model.bias + w[found].sum() + w[k:-3] @ votes + w[-3:] @ figures)
         return pd.Series(1 / (1 + np.exp(-np.clip(np.array(out, float), -30, 30))))
 
-    return documents.withColumn("score", scored("text"))
+    return documents.withColumn(name, scored("text"))
