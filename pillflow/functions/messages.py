@@ -97,7 +97,7 @@ _HOLE = re.compile(r"\{(\w+)\}")
 
 
 def fill_in(template: str, columns: list[str], **given: Column) -> Column:
-    """The template with its holes replaced by columns; a column that is missing or NULL leaves a blank."""
+    """The template with its holes replaced by columns; NULL leaves a blank, a column that is not there is an error."""
     pieces = []
     for i, piece in enumerate(_HOLE.split(template)):
         if i % 2 == 0:
@@ -107,7 +107,7 @@ def fill_in(template: str, columns: list[str], **given: Column) -> Column:
         elif piece in columns:
             pieces.append(F.coalesce(F.col(piece).cast("string"), F.lit("")))
         else:
-            pieces.append(F.lit(""))
+            raise ValueError(f"no column for {{{piece}}} among {columns}")
     return F.concat(*pieces)
 
 
@@ -125,5 +125,6 @@ def answer(operation: str, columns: list[str]) -> Column:
 
 def log_text(operation: str, columns: list[str]) -> Column:
     """Text for the action log, NULL where nothing is logged."""
-    return _by_code(LOG_TEXTS[operation], columns, antwort=answer(operation, columns)
-                    if operation in ANSWERS else F.lit(""))
+    texts = LOG_TEXTS[operation]
+    told = any("{antwort}" in text for text in texts.values())
+    return _by_code(texts, columns, **({"antwort": answer(operation, columns)} if told else {}))

@@ -38,9 +38,9 @@ def time_of_day(moment_col: Column) -> Column:
     return F.substring(moment_col.cast("string"), 12, 8)
 
 
-def one_year_after(as_of: AsOf) -> Column:
+def one_year_after(as_of: AsOf | Column) -> Column:
     """Twelve months on; 29 February becomes 28 February."""
-    return F.add_months(day(as_of), 12)
+    return F.add_months(as_of if isinstance(as_of, Column) else day(as_of), 12)
 
 
 def hours_between(start: Column, end: Column) -> Column:

@@ -10,22 +10,25 @@ from pyspark.sql import functions as F
 
 from pillflow.functions import predicates as P
 from pillflow.operators import lookups as L
-from pillflow.operators.ranking import free_numbers, number_slices, sorted_slices
+from pillflow.operators.ranking import rank_rows
 from pillflow.schemas import ADMIN, MISSING_FIELD, OK, TAKEN, USER
 
 FIRST_NUMBER = 10000000  # customer numbers have eight digits
 
 
-def has_admin(users: DataFrame) -> bool:
-    return bool(users.agg(F.max(F.col("role") == ADMIN)).first()[0])
-
-
 @dataclass(frozen=True)
 class Registration:
-    """Register users: the first request per name wins, and the first user of all becomes administrator."""
+    """Register users: the first request per name wins, and the first user of all becomes administrator.
+
+    ``last_number`` and ``last_id`` are the highest ever given, where that is known: a user who has been removed and
+    never ordered anything leaves no other trace.
+    """
 
     users_before: DataFrame
     requests: DataFrame
+    orders_before: DataFrame | None = None
+    last_number: int = 0
+    last_id: int = 0
 
     @cached_property
     def _firsts(self) -> DataFrame:
@@ -36,15 +39,21 @@ class Registration:
 
     @cached_property
     def new_users(self) -> DataFrame:
-        in_order = sorted_slices(self._firsts.where(~F.col("taken")), "first_seq")
-        given = self.users_before.select(F.col("kundennummer").try_cast("long").alias("nummer"))
-        numbers = free_numbers(given.where("nummer is not null"), in_order.count(), FIRST_NUMBER)
-        highest = self.users_before.agg(F.max("id")).first()[0] or 0
+        """Numbered on from the highest number and id ever given, so that nobody gets what was another's.
+
+        A customer who has been removed may still be named in orders, which therefore count as well.
+        """
+        number = F.max(F.col("kundennummer").try_cast("long"))
+        users = self.users_before.agg(number.alias("number"), F.max("id").alias("id"), F.count_if(F.col("role") == ADMIN).alias("admins")).first()
+        ordered = self.orders_before.agg(number).first()[0] if self.orders_before is not None else None
+        last_number = max(users.number or 0, ordered or 0, self.last_number, FIRST_NUMBER - 1)
+        last_id = max(users.id or 0, self.last_id)
         role = F.coalesce("role", F.lit(USER))
-        if not has_admin(self.users_before):
+        if not users.admins:
             role = F.when(F.col("rang") == 1, ADMIN).otherwise(role)
-        return number_slices(in_order).join(numbers, "rang").select(
-            (F.col("rang") + highest).alias("id"), F.col("nummer").cast("string").alias("kundennummer"),
+        in_order = rank_rows(self._firsts.where(~F.col("taken")), "first_seq")
+        return in_order.select(
+            (F.col("rang") + last_id).alias("id"), (F.col("rang") + last_number).cast("string").alias("kundennummer"),
             "username", role.alias("role"))
 
     @cached_property

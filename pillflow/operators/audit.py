@@ -29,11 +29,18 @@ def audit_log(operation: str, outcomes: DataFrame, at: AsOf, customer: str = "ku
 
 
 def _with_names(lines: DataFrame, operation: str, at: AsOf) -> DataFrame:
-    """One entry per order with the names of its goods; more than one if they are too many for one text."""
+    """One entry per order with the names of its goods."""
     orders = joined_names(lines, ["bestellgruppe_id", "kundennummer"], by=("id",))
     return audit_log(operation, orders.withColumns({"code": F.lit(OK), "detail": F.col("bestellgruppe_id")}), at)
 
 
+def checkout_answers(checkout: Checkout) -> DataFrame:
+    """Outcomes of a checkout with the text for the user, who is told the names of the goods ordered."""
+    names = joined_names(checkout.new_orders, ["bestellgruppe_id"], by=("id",))
+    named = names.select(F.col("bestellgruppe_id").cast("string").alias("detail"), F.lit(OK).alias("code"), "namen")
+    return answers("checkout", checkout.outcomes.join(named, ["code", "detail"], "left"))
+
+
 def checkout_log(checkout: Checkout, at: AsOf) -> DataFrame:
     """Entries for the orders placed."""
     return _with_names(checkout.new_orders, "checkout", at)

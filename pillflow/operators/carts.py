@@ -3,13 +3,9 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
-from itertools import groupby
-from operator import itemgetter
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,22 +64,29 @@ class CartScans:
             "cart_id", "line_no", "barcode", F.col("detail").alias("name"), "verfallsdatum")
 
 
-def _settle_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The lines of the carts that get all their goods; lines come sorted by cart."""
-    taken: set[str] = set()
-    won: list[tuple] = []
-    lines = (row for batch in batches for row in batch.itertuples(index=False, name=None))
-    for _, cart in groupby(lines, key=itemgetter(0)):
-        goods = list(cart)
-        barcodes = {barcode for _, barcode, _ in goods}
-        if taken.isdisjoint(barcodes):
-            taken |= barcodes
-            won.extend(goods)
-        if len(won) >= 10_000:
-            yield pd.DataFrame(won, columns=["cart_id", "barcode", "n"])
-            won = []
-    if won:
-        yield pd.DataFrame(won, columns=["cart_id", "barcode", "n"])
+def _fates(undecided: DataFrame) -> DataFrame:
+    """Each cart with the cart at the end of its links, whether that one is settled, and the parity of the way there."""
+    lowest = undecided.groupBy("barcode").agg(F.min("cart_id").alias("first"))
+    placed = L.hot_join(undecided, lowest, ["barcode"], "inner")
+    second = placed.where("cart_id > first").groupBy("barcode").agg(F.min("cart_id").alias("second"))
+    placed = L.hot_join(placed, second, ["barcode"])
+    behind = F.col("cart_id") > F.col("first")
+    carts = placed.groupBy("cart_id").agg(
+        F.count_if(behind).alias("behind"), F.count_if(F.col("cart_id") == F.col("second")).alias("next"),
+        F.min(F.when(behind, F.col("first"))).alias("rival"))
+    linked = (F.col("behind") == 1) & (F.col("next") == 1)
+    links = keep(carts.select(
+        "cart_id", F.when(linked, F.col("rival")).otherwise(F.col("cart_id")).alias("end"),
+        linked.cast("int").alias("parity"), (F.col("behind") == 0).alias("settled")))
+    while True:
+        ends = links.select(F.col("cart_id").alias("end"), F.col("end").alias("further"),
+                            F.col("parity").alias("more"), F.col("settled").alias("there"))
+        links = keep(L.hot_join(links, ends, ["end"], "inner").select(
+            "cart_id", F.col("further").alias("end"), F.col("parity").bitwiseXOR(F.col("more")).alias("parity"),
+            F.col("there").alias("settled"), (F.col("further") != F.col("end")).alias("moved")))
+        if links.where("moved").isEmpty():
+            return links.drop("moved")
+        links = links.drop("moved")
 
 
 @dataclass(frozen=True)
@@ -104,8 +107,6 @@ class Checkout:
     carts: DataFrame
     cart_lines: DataFrame
     as_of: AsOf
-    patience: int = 8
-    few_lines: int = 500_000
 
     @cached_property
     def _held(self) -> DataFrame:
@@ -114,9 +115,11 @@ class Checkout:
     @cached_property
     def _goods(self) -> DataFrame:
         """One row per cart and barcode, summed up first so that neither a large cart nor a hot barcode is gathered."""
+        scanned = F.min("name") if "name" in self.cart_lines.columns else F.lit(None).cast("string")
         lines = self.cart_lines.groupBy("cart_id", "barcode").agg(
-            F.count("*").alias("times"), F.min("line_no").alias("line_no"))
-        return keep(L.hot_join(lines, self._held, ["barcode"]))
+            F.count("*").alias("times"), F.min("line_no").alias("line_no"), scanned.alias("scanned"))
+        # A cart may name goods that are no longer in the dispenser.
+        return keep(L.hot_join(lines, self._held, ["barcode"]).withColumn("name", F.coalesce("scanned", "name")).drop("scanned"))
 
     @cached_property
     def _carts(self) -> DataFrame:
@@ -126,29 +129,35 @@ class Checkout:
             F.max((F.col("times") > 1) | F.col("held").isNull()).alias("hopeless"))
         return self.carts.join(facts, "cart_id", "left").withColumn("has_customer", P.filled(F.col("kundennummer")))
 
+    @cached_property
+    def _eligible_lines(self) -> DataFrame:
+        eligible = self._carts.where("has_customer and not hopeless").select("cart_id")
+        return keep(L.hot_join(self._goods.select("cart_id", "barcode"), eligible, ["cart_id"], "inner"))
+
     @cached_property
     def rounds(self) -> list[DataFrame]:
-        """Which cart gets which barcode, by round: ``cart_id``, ``barcode``, ``n`` (lines of the cart)."""
-        eligible = self._carts.where("has_customer and not hopeless").select("cart_id", "n")
-        undecided = keep(L.hot_join(self._goods.select("cart_id", "barcode"), eligible, ["cart_id"], "inner"))
-        settled = []
+        """The eligible carts that do not get their goods, by round: ``cart_id``."""
+        wanted = self._eligible_lines.groupBy("barcode").agg(F.count("*").alias("n")).where("n > 1").select("barcode")
+        undecided = keep(L.hot_join(self._eligible_lines, wanted, ["barcode"], "left_semi"))
+        lost = []
         while not undecided.isEmpty():
-            if len(settled) >= self.patience and undecided.count() <= self.few_lines:
-                in_order = undecided.repartition(1).sortWithinPartitions("cart_id")
-                settled.append(keep(in_order.mapInPandas(_settle_in_order, in_order.schema)))
-                break
-            lowest = undecided.groupBy("barcode").agg(F.min_by("n", "cart_id").alias("n"), F.min("cart_id").alias("cart_id"))
-            winners = lowest.groupBy("cart_id").agg(F.count("*").alias("won"), F.first("n").alias("n")).where("won = n")
-            taken = keep(L.hot_join(lowest, winners.select("cart_id"), ["cart_id"], "left_semi"))
-            done = L.hot_join(undecided, taken.select("barcode"), ["barcode"], "left_semi").select("cart_id").distinct()
+            fates = _fates(undecided)
+            won = fates.where("settled and parity = 0").select("cart_id")
+            taken = L.hot_join(undecided, won, ["cart_id"], "left_semi").select("barcode")
+            touched = L.hot_join(undecided, taken, ["barcode"], "left_semi").select("cart_id").distinct()
+            losers = keep(touched.join(won, "cart_id", "left_anti"))
+            done = won.unionByName(losers)
             undecided = keep(L.hot_join(undecided, done, ["cart_id"], "left_anti"))
-            settled.append(taken)
-            log.info("checkout round %d done", len(settled))
-        return settled or [undecided.select("cart_id", "barcode", "n")]
+            lost.append(losers)
+            log.info("checkout round %d done", len(lost))
+        return lost
 
     @cached_property
     def owners(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, self.rounds)
+        """Which cart gets which barcode."""
+        if not self.rounds:
+            return self._eligible_lines
+        return L.hot_join(self._eligible_lines, reduce(DataFrame.unionByName, self.rounds), ["cart_id"], "left_anti")
 
     @cached_property
     def groups(self) -> DataFrame:
@@ -186,7 +195,8 @@ class Checkout:
     def new_orders(self) -> DataFrame:
         """One order line per item, in the order of carts and lines."""
         highest = self.orders_before.agg(F.max("id")).first()[0] or 0
-        sold = self.owners.select("cart_id", "barcode").join(self.cart_lines, ["cart_id", "barcode"])
+        sold = self.owners.select("cart_id", "barcode").join(
+            self.cart_lines.select("cart_id", "line_no", "barcode"), ["cart_id", "barcode"])
         ranked = rank_rows(sold.select("cart_id", "line_no", "barcode"), "cart_id", "line_no")
         customers = self.groups.join(self.carts.select("cart_id", "kundennummer"), "cart_id")
         named = L.hot_join(ranked, customers, ["cart_id"], "inner").join(self._held.select("barcode", "name"), "barcode")

@@ -58,9 +58,10 @@ def taken_flags(requests: DataFrame, users: DataFrame) -> DataFrame:
     return hot_join(requests, names, ["username"]).withColumn("taken", F.coalesce("taken", F.lit(False)))
 
 
-def free_customer_numbers(numbers: DataFrame, users: DataFrame) -> DataFrame:
-    """Customer numbers not yet given to anybody."""
-    return numbers.join(users.select("kundennummer"), "kundennummer", "left_anti")
+def taken_numbers(customers: DataFrame, users: DataFrame) -> DataFrame:
+    """Customers, by ``kundennummer``, with ``taken``: the number belongs to a registered user."""
+    numbers = users.select("kundennummer", F.lit(True).alias("taken")).distinct()
+    return hot_join(customers, numbers, ["kundennummer"]).withColumn("taken", F.coalesce("taken", F.lit(False)))
 
 
 def open_lines_of(requests: DataFrame, orders: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pillflow.functions import predicates as P
 from pillflow.functions.scalars import AsOf, day, hours_between
-from pillflow.operators.ranking import sorted_slices
+from pillflow.operators.ranking import rank_rows, sorted_slices
 
 
 def log_list(log: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def log_review_stored(days: DataFrame, on: AsOf, start: str = "00:00:00", end: s
 
 
 def log_by_time(log: DataFrame) -> DataFrame:
-    return log.orderBy("ts", "kundennummer", "aktion")
+    """Entries with their place in the order of time, 1, 2, 3, ..., in ``rang``."""
+    return rank_rows(log, "ts", "kundennummer", "aktion")
 
 
 def mean_time_between_failures(log: DataFrame) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pillflow.functions import predicates as P
@@ -12,75 +10,57 @@ from pillflow.functions.scalars import order_label
 from pillflow.operators.ranking import rank_rows
 from pillflow.schemas import OPEN, STATUSES
 
-MAX_NAMES = 1_000_000  # names joined into one text
-
 
-def joined_names(lines: DataFrame, keys: list[str], extra: list[Column] = (), max_names: int = MAX_NAMES,
+def joined_names(lines: DataFrame, keys: list[str], lowest: dict[str, str] | None = None,
                  by: tuple[str, ...] = ("barcode", "id")) -> DataFrame:
-    """Names of each group of order lines, joined in the order of ``by``; NULL names are left out.
+    """``namen``: the names of each group of order lines, joined in the order of ``by``; NULL names are left out.
 
-    ``teil`` numbers the parts of a group: 1 unless it has more than ``max_names`` names, because a group
-    without limit fits neither into one task nor into one text. Oversize groups are numbered across tasks and
-    joined part by part, so nothing is lost.
+    ``lowest`` maps new columns to the columns whose lowest value they take. Lines are range partitioned by group
+    and order, so that a large group is cut into slices among tasks; the names of a slice are joined first, and then
+    the few texts of a group.
     """
-    listed = F.expr(f"listagg(name, ', ') WITHIN GROUP (ORDER BY {', '.join(by)})").alias("namen")
-    sizes = lines.groupBy(*keys).agg(F.count("name").alias("n"), *extra)
-    big = sizes.where(F.col("n") > max_names).drop("n")
-    if big.isEmpty():
-        return lines.groupBy(*keys).agg(listed, *extra).withColumn("teil", F.lit(1).cast("long"))
-
-    # At most one key per max_names rows is big, which bounds the broadcast.
-    marks = big.select(*[F.col(k).alias(f"big_{k}") for k in keys],
-                       *[F.col(c).alias(f"all_{c}") for c in big.columns if c not in keys], F.lit(True).alias("big"))
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"big_{k}")) for k in keys])
-    marked = lines.join(F.broadcast(marks), same, "left")
-    small = marked.where("big is null").groupBy(*keys).agg(listed, *extra).withColumn("teil", F.lit(1).cast("long"))
-
-    ranked = rank_rows(marked.where("big and name is not null"), *keys, *by)
-    starts = ranked.groupBy(*keys).agg((F.min("rang") - 1).alias("start"))
-    starts = starts.select(*[F.col(k).alias(f"start_{k}") for k in keys], "start")
-    begun = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"start_{k}")) for k in keys])
-    part = (F.floor((F.col("rang") - F.col("start") - 1) / max_names) + 1).cast("long").alias("teil")
-    split = ranked.join(F.broadcast(starts), begun)
-    whole = [c for c in marks.columns if c.startswith("all_")]
-    large = split.groupBy(*keys, part, *whole).agg(listed)
-    renamed = [F.col(c).alias(c.removeprefix("all_")) for c in whole]
-    return small.unionByName(large.select(*keys, "namen", *renamed, "teil"))
-
-
-def _once() -> list[Column]:
-    return [F.min("bestelldatum").alias("datum"), F.min("status").alias("stand")]
+    lowest = lowest or {}
+    joined = "listagg({what}, ', ') WITHIN GROUP (ORDER BY {order})"
+    sliced = lines.repartitionByRange(*keys, *by).withColumn("_slice", F.spark_partition_id())
+    pieces = sliced.groupBy(*keys, "_slice").agg(
+        F.expr(joined.format(what="name", order=", ".join(by))).alias("_piece"),
+        *[F.min(c).alias(new) for new, c in lowest.items()])
+    return pieces.groupBy(*keys).agg(
+        F.expr(joined.format(what="_piece", order="_slice")).alias("namen"), *[F.min(new).alias(new) for new in lowest])
+
+
+_ONCE = {"datum": "bestelldatum", "stand": "status"}
 
 
 def order_overview(orders: DataFrame, group_part: str | None = None, customer_part: str | None = None,
-                   status: tuple[str, ...] = STATUSES, max_names: int = MAX_NAMES) -> DataFrame:
+                   status: tuple[str, ...] = STATUSES) -> DataFrame:
     """All orders for the administrator, newest first."""
     lines = orders.where(P.status_in(F.col("status"), status) & P.digits_contain(F.col("bestellgruppe_id"), group_part)
                          & P.digits_contain(F.col("kundennummer"), customer_part))
-    grouped = joined_names(lines, ["bestellgruppe_id", "kundennummer"], _once(), max_names)
+    grouped = joined_names(lines, ["bestellgruppe_id", "kundennummer"], _ONCE)
     return grouped.select(
         F.col("bestellgruppe_id").alias("Bestell-ID"), F.col("kundennummer").alias("Kundennummer"),
-        F.col("namen").alias("Medikamente"), F.col("datum").alias("Bestelldatum"), F.col("stand").alias("Status"),
-        F.col("teil").alias("Teil")).orderBy(F.desc("Bestelldatum"), "Bestell-ID", "Kundennummer", "Teil")
+        F.col("namen").alias("Medikamente"), F.col("datum").alias("Bestelldatum"),
+        F.col("stand").alias("Status")).orderBy(F.desc("Bestelldatum"), "Bestell-ID", "Kundennummer")
 
 
-def customer_orders(orders: DataFrame, customer: str, status: str = OPEN, max_names: int = MAX_NAMES) -> DataFrame:
+def customer_orders(orders: DataFrame, customer: str, status: str = OPEN) -> DataFrame:
     """Orders of one customer with one status, newest first."""
     lines = orders.where(P.order_of(F.col("kundennummer"), F.col("status"), customer, status))
-    grouped = joined_names(lines, ["bestellgruppe_id"], _once(), max_names)
+    grouped = joined_names(lines, ["bestellgruppe_id"], _ONCE)
     return grouped.select(
         F.col("bestellgruppe_id").alias("Bestell-ID"), F.col("namen").alias("Medikamente"),
-        F.col("datum").alias("Bestelldatum"), F.col("stand").alias("Status"),
-        F.col("teil").alias("Teil")).orderBy(F.desc("Bestelldatum"), "Bestell-ID", "Teil")
+        F.col("datum").alias("Bestelldatum"), F.col("stand").alias("Status")).orderBy(F.desc("Bestelldatum"), "Bestell-ID")
 
 
-def order_labels(orders_shown: DataFrame) -> DataFrame:
-    """Selection texts of the open orders in a list of orders."""
-    return orders_shown.where(P.is_open(F.col("Status"))).select(
-        "Bestell-ID", order_label(F.col("Bestell-ID"), F.col("Medikamente")).alias("Auswahl"))
+def order_labels(orders: DataFrame, customer: str) -> DataFrame:
+    """Selection texts of a customer's open orders, from their open lines."""
+    lines = orders.where(P.order_of(F.col("kundennummer"), F.col("status"), customer, OPEN))
+    grouped = joined_names(lines, ["bestellgruppe_id"])
+    return grouped.select(F.col("bestellgruppe_id").alias("Bestell-ID"),
+                          order_label(F.col("bestellgruppe_id"), F.col("namen")).alias("Auswahl"))
 
 
-def recent_orders(orders: DataFrame, limit: int | None = None) -> DataFrame:
-    """Order lines, newest first; with a limit, only the top ones are kept in each task."""
-    newest = orders.orderBy(F.desc("bestelldatum"), "bestellgruppe_id", "id")
-    return newest.limit(limit) if limit else newest
+def newest_orders(orders: DataFrame) -> DataFrame:
+    """Order lines, newest first, with their place in that order, 1, 2, 3, ..., in ``rang``."""
+    return rank_rows(orders, F.desc("bestelldatum"), "bestellgruppe_id", "id")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,16 +18,11 @@ def faulty_rate(stock: DataFrame) -> DataFrame:
                        rate.alias("rate"))
 
 
-def outcome_rates(**outcomes: DataFrame) -> DataFrame:
-    """Success and error rate of each batch of operations, in percent."""
-    counted = [
-        df.agg(F.count("*").alias("anzahl"), F.sum(F.when(F.col("code") == OK, 1).otherwise(0)).alias("ok"))
-        .withColumn("vorgang", F.lit(name))
-        for name, df in outcomes.items()
-    ]
-    share = F.when(F.col("anzahl") > 0, F.col("ok").cast("double") / F.col("anzahl") * 100.0)
-    return reduce(DataFrame.unionByName, counted).select(
-        "vorgang", "anzahl", share.alias("erfolg"), (F.lit(100.0) - share).alias("fehler"))
+def outcome_rates(outcomes: DataFrame) -> DataFrame:
+    """Success and error rate, in percent, of each kind of operation in ``vorgang``, from outcomes with ``code``."""
+    counted = outcomes.groupBy("vorgang").agg(F.count("*").alias("anzahl"), F.count_if(F.col("code") == OK).alias("ok"))
+    share = F.col("ok").cast("double") / F.col("anzahl") * 100.0
+    return counted.select("vorgang", "anzahl", share.alias("erfolg"), (F.lit(100.0) - share).alias("fehler"))
 
 
 def outcome_counts(outcomes: DataFrame) -> DataFrame:

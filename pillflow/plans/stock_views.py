@@ -53,9 +53,9 @@ def stock_count(stock: DataFrame) -> DataFrame:
     return stock.agg(F.count("*").alias("anzahl"))
 
 
-def random_stock_row(stock: DataFrame, seed: int | None = None) -> DataFrame:
-    """One stock row by chance; a top-1, so nothing is sorted as a whole."""
-    return stock.orderBy(F.rand(seed) if seed is not None else F.rand()).limit(1)
+def random_stock_row(stock: DataFrame, seed: int) -> DataFrame:
+    """One stock row by chance, the same for the same seed; a top-1, so nothing is sorted as a whole."""
+    return stock.orderBy(F.md5(F.concat(F.lit(str(seed)), "barcode")), "barcode").limit(1)
 
 
 def warning_list(warnings: DataFrame, stock: DataFrame, as_of: AsOf, location: str | None = None) -> DataFrame:

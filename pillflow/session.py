@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,20 +24,13 @@ def build_session(app_name: str = "pillflow", **conf: str) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as named in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder.
-    """
+    """The folder all executors share: that of ``spark.checkpoint.dir``, or one below the warehouse if it is unset."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        configured = tempfile.mkdtemp(prefix="pillflow-")
-    context.setCheckpointDir(configured)
+    context.setCheckpointDir(configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/pillflow-checkpoints")
     return context._jsc.sc().getCheckpointDir().get()
 
 

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 from pillflow.functions.scalars import customer_or_unknown, parse_moment
 from pillflow.schemas import ACTION_LOG
 
-_FORMAT = {"quote": '"', "escape": '"', "encoding": "UTF-8"}
+# Blanks belong to the text. A field without anything is an empty text, as it is to other readers of the file.
+_FORMAT = {"quote": '"', "escape": '"', "encoding": "UTF-8", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _texts(log: DataFrame) -> DataFrame:
+    return log.withColumns({c: F.coalesce(c, F.lit("")) for c in ("kundennummer", "aktion")})
 
 
 def read_log(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -18,7 +23,7 @@ def read_log(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
     ``multi_line`` is for files whose texts hold line breaks; such files cannot be split among tasks.
     """
     try:
-        return spark.read.schema(ACTION_LOG).options(multiLine=multi_line, **_FORMAT).csv(path)
+        return _texts(spark.read.schema(ACTION_LOG).options(multiLine=multi_line, **_FORMAT).csv(path))
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], ACTION_LOG)
@@ -27,7 +32,7 @@ def read_log(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
 
 def stream_log(spark: SparkSession, path: str) -> DataFrame:
     """The same log as a stream of files."""
-    return spark.readStream.schema(ACTION_LOG).options(**_FORMAT).csv(path)
+    return _texts(spark.readStream.schema(ACTION_LOG).options(**_FORMAT).csv(path))
 
 
 def with_moments(log: DataFrame) -> DataFrame:
@@ -40,4 +45,4 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.select(
         "zeitstempel", customer_or_unknown(F.col("kundennummer")).alias("kundennummer"),
         F.regexp_replace("aktion", r"[\r\n]+", " ").alias("aktion"),
-    ).write.mode("append").options(quote='"', escape='"', emptyValue="").csv(path)
+    ).write.mode("append").options(**_FORMAT).csv(path)

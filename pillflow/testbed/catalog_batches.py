@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pillflow.operators import audit, expiry
@@ -48,12 +51,12 @@ def cancellation(d: Domain) -> Cancellation:
 
 
 def registration(d: Domain) -> Registration:
-    return Registration(d.users, d.user_req)
+    return Registration(d.users, d.user_req, d.bestellungen)
 
 
 def first_registration(d: Domain) -> Registration:
-    """Everybody registers anew, in a directory without users."""
-    return Registration(d.users.where("false"), d.user_req)
+    """Registration in a directory without administrator."""
+    return Registration(d.users.where("role <> 'admin'"), d.user_req, d.bestellungen)
 
 
 _DIGITS = "'[0-9]{{8,13}}'"
@@ -117,11 +120,11 @@ scan_outcomes AS (
              THEN 'DUPLICATE' ELSE first_code END AS code FROM scan_codes)"""
 
 # Each step decides the carts that are lowest for all of their barcodes and those that share one with them.
-_CHECKOUT = """held AS (SELECT barcode, name FROM stock WHERE ort = 'Automat'),
+_CHECKOUT = """in_dispenser AS (SELECT barcode, name FROM stock WHERE ort = 'Automat'),
 goods AS (
     SELECT cart_id, g.barcode, line_no, h.barcode IS NOT NULL AS there,
            count(*) OVER (PARTITION BY cart_id, g.barcode) AS times
-    FROM cart_lines g LEFT JOIN held h ON g.barcode = h.barcode),
+    FROM cart_lines g LEFT JOIN in_dispenser h ON g.barcode = h.barcode),
 able AS (
     SELECT g.cart_id FROM goods g JOIN carts c ON g.cart_id = c.cart_id WHERE coalesce(kundennummer, '') <> ''
     GROUP BY g.cart_id HAVING bool_and(there AND times = 1)),
@@ -147,7 +150,7 @@ new_orders AS (
            gruppe AS bestellgruppe_id, kundennummer, l.barcode, h.name,
            TIMESTAMP '2000-01-01 08:30:00' AS bestelldatum, 'Offen' AS status
     FROM owned o JOIN cart_lines l ON o.cart_id = l.cart_id AND o.barcode = l.barcode
-    JOIN sold_carts s ON s.cart_id = l.cart_id JOIN carts c ON c.cart_id = l.cart_id JOIN held h ON h.barcode = l.barcode)"""
+    JOIN sold_carts s ON s.cart_id = l.cart_id JOIN carts c ON c.cart_id = l.cart_id JOIN in_dispenser h ON h.barcode = l.barcode)"""
 
 _CANCEL = """asked AS (
     SELECT bestellgruppe_id, kundennummer, min(seq) AS first_seq FROM cancel_req
@@ -167,15 +170,28 @@ _REGISTER = """asked AS (SELECT *, row_number() OVER (PARTITION BY username ORDE
 new_users AS (
     SELECT seq, username, role, row_number() OVER (ORDER BY seq) AS rang FROM asked
     WHERE k = 1 AND username NOT IN (SELECT username FROM directory)),
-numbers AS (
-    SELECT n, row_number() OVER (ORDER BY n) AS rang
-    FROM (SELECT unnest(range(10000000, 10000000 + (SELECT count(*) FROM directory) + (SELECT count(*) FROM new_users))) AS n) x
-    WHERE n NOT IN (SELECT CAST(kundennummer AS BIGINT) FROM directory)),
 entered AS (
-    SELECT rang + coalesce((SELECT max(id) FROM directory), 0) AS id, CAST(n AS VARCHAR) AS kundennummer, username,
+    SELECT rang + coalesce((SELECT max(id) FROM directory), 0) AS id, username,
+           CAST(rang + greatest(9999999, (SELECT max(CAST(kundennummer AS BIGINT)) FROM directory),
+                                (SELECT max(CAST(kundennummer AS BIGINT)) FROM bestellungen)) AS VARCHAR) AS kundennummer,
            CASE WHEN rang = 1 AND NOT EXISTS (SELECT 1 FROM directory WHERE role = 'admin') THEN 'admin' ELSE coalesce(role, 'user') END AS role
-    FROM new_users JOIN numbers USING (rang))"""
+    FROM new_users)"""
 
+_CHECKED_OUT = """SELECT c.cart_id, c.kundennummer, CASE WHEN coalesce(c.kundennummer, '') = '' THEN 'NO_CUSTOMER'
+             WHEN c.cart_id NOT IN (SELECT cart_id FROM goods) THEN 'EMPTY_CART'
+             WHEN gruppe IS NOT NULL THEN 'OK' ELSE 'LINE_UNAVAILABLE' END AS code,
+           CASE WHEN coalesce(c.kundennummer, '') = '' THEN NULL WHEN gruppe IS NOT NULL THEN CAST(gruppe AS VARCHAR) ELSE gap END AS detail,
+           CASE WHEN coalesce(c.kundennummer, '') <> '' AND gruppe IS NULL THEN h.name END AS name
+           FROM carts c LEFT JOIN sold_carts s ON c.cart_id = s.cart_id LEFT JOIN gaps g ON c.cart_id = g.cart_id
+           LEFT JOIN in_dispenser h ON h.barcode = g.gap"""
+_CANCELLED = """SELECT r.seq, r.bestellgruppe_id, r.kundennummer,
+           CASE WHEN r.bestellgruppe_id = 0 OR coalesce(r.kundennummer, '') = '' THEN 'MISSING_ARG' WHEN v.n IS NULL THEN 'NOT_OPEN'
+                WHEN conflict THEN 'CONFLICT' WHEN r.seq = first_seq THEN 'OK' ELSE 'NOT_OPEN' END AS code,
+           CASE WHEN conflict THEN clash_barcode WHEN r.seq = first_seq THEN CAST(v.n AS VARCHAR) END AS detail,
+           CASE WHEN conflict THEN clash_name END AS name
+           FROM cancel_req r LEFT JOIN verdicts v ON r.bestellgruppe_id = v.bestellgruppe_id AND r.kundennummer = v.kundennummer"""
+_REGISTERED = """SELECT r.seq, r.username, CASE WHEN coalesce(r.username, '') = '' THEN 'MISSING_FIELD' WHEN n.seq IS NULL THEN 'TAKEN' ELSE 'OK' END AS code,
+           e.kundennummer AS detail FROM user_req r LEFT JOIN new_users n ON r.seq = n.seq LEFT JOIN entered e ON e.username = n.username"""
 _REMOVED_STOCK = "SELECT * FROM stock WHERE barcode NOT IN (SELECT barcode FROM removal_outcomes WHERE code = 'OK')"
 _INTAKE_STOCK = """SELECT * FROM stock UNION ALL
     SELECT barcode, detail, 1, CAST(verfallsdatum_raw AS DATE), 'Lager', NULL FROM intake_outcomes WHERE code = 'OK'"""
@@ -230,6 +246,17 @@ def _streamed_intake(d: Domain):
     return tables.read("stock")
 
 
+def _all_outcomes(d: Domain):
+    """The outcomes of all operations as they are kept: written once, tagged with the operation."""
+    judged = {
+        "intake": lambda: intake(d).outcomes, "removal": lambda: removal(d).outcomes, "fill": lambda: fill(d).outcomes,
+        "return": lambda: give_back(d).outcomes, "cart": lambda: scans(d).outcomes, "checkout": lambda: checkout(d).outcomes,
+        "cancellation": lambda: cancellation(d).outcomes,
+    }
+    return d.once("outcomes", lambda: reduce(DataFrame.unionByName, [
+        f().select(F.lit(name).alias("vorgang"), "code") for name, f in judged.items()]))
+
+
 def _cart_list(d: Domain):
     return stock_views.cart_list(scans(d).cart_lines)
 
@@ -261,25 +288,14 @@ BATCHES = {
            FROM scan_outcomes WHERE code = 'OK'""", _SCANS),
     "j6_checkout_outcomes": (
         lambda d: checkout(d).outcomes,
-        """SELECT c.cart_id, c.kundennummer, CASE WHEN coalesce(c.kundennummer, '') = '' THEN 'NO_CUSTOMER'
-             WHEN c.cart_id NOT IN (SELECT cart_id FROM goods) THEN 'EMPTY_CART'
-             WHEN gruppe IS NOT NULL THEN 'OK' ELSE 'LINE_UNAVAILABLE' END AS code,
-           CASE WHEN coalesce(c.kundennummer, '') = '' THEN NULL WHEN gruppe IS NOT NULL THEN CAST(gruppe AS VARCHAR) ELSE gap END AS detail,
-           CASE WHEN coalesce(c.kundennummer, '') <> '' AND gruppe IS NULL THEN h.name END AS name
-           FROM carts c LEFT JOIN sold_carts s ON c.cart_id = s.cart_id LEFT JOIN gaps g ON c.cart_id = g.cart_id
-           LEFT JOIN held h ON h.barcode = g.gap""", _CHECKOUT),
+        _CHECKED_OUT, _CHECKOUT),
     "j6_checkout_orders": (
         lambda d: checkout(d).orders, "SELECT * FROM bestellungen UNION ALL SELECT * FROM new_orders", _CHECKOUT),
     "j6_checkout_state": (
         lambda d: checkout(d).stock, "SELECT * FROM stock WHERE barcode NOT IN (SELECT barcode FROM owned)", _CHECKOUT),
     "j7_cancel_outcomes": (
         lambda d: cancellation(d).outcomes,
-        """SELECT r.seq, r.bestellgruppe_id, r.kundennummer,
-           CASE WHEN r.bestellgruppe_id = 0 OR coalesce(r.kundennummer, '') = '' THEN 'MISSING_ARG' WHEN v.n IS NULL THEN 'NOT_OPEN'
-                WHEN conflict THEN 'CONFLICT' WHEN r.seq = first_seq THEN 'OK' ELSE 'NOT_OPEN' END AS code,
-           CASE WHEN conflict THEN clash_barcode WHEN r.seq = first_seq THEN CAST(v.n AS VARCHAR) END AS detail,
-           CASE WHEN conflict THEN clash_name END AS name
-           FROM cancel_req r LEFT JOIN verdicts v ON r.bestellgruppe_id = v.bestellgruppe_id AND r.kundennummer = v.kundennummer""", _CANCEL),
+        _CANCELLED, _CANCEL),
     "j7_cancel_stock": (
         lambda d: cancellation(d).stock,
         """SELECT coalesce(s.barcode, b.barcode) AS barcode, CASE WHEN s.barcode IS NULL THEN b.name ELSE s.name END AS name,
@@ -299,15 +315,14 @@ BATCHES = {
         """SELECT b.* REPLACE (coalesce(r.status, b.status) AS status) FROM bestellungen b
            LEFT JOIN (SELECT bestellgruppe_id, arg_max(status, seq) AS status FROM status_req GROUP BY bestellgruppe_id) r
            ON b.bestellgruppe_id = r.bestellgruppe_id""", ""),
-    "j9_users": (lambda d: registration(d).users, "SELECT * FROM users UNION ALL SELECT * FROM entered",
+    "j9_users": (lambda d: registration(d).users, "SELECT * FROM users UNION ALL BY NAME SELECT * FROM entered",
                  "directory AS (SELECT * FROM users)," + _REGISTER),
     "j9_user_outcomes": (
         lambda d: registration(d).outcomes,
-        """SELECT r.seq, r.username, CASE WHEN coalesce(r.username, '') = '' THEN 'MISSING_FIELD' WHEN n.seq IS NULL THEN 'TAKEN' ELSE 'OK' END AS code,
-           e.kundennummer AS detail FROM user_req r LEFT JOIN new_users n ON r.seq = n.seq LEFT JOIN entered e ON e.username = n.username""",
+        _REGISTERED,
         "directory AS (SELECT * FROM users)," + _REGISTER),
-    "j9_first_users": (lambda d: first_registration(d).users, "SELECT * FROM entered",
-                       "directory AS (SELECT * FROM users WHERE false)," + _REGISTER),
+    "j9_first_users": (lambda d: first_registration(d).users, "SELECT * FROM directory UNION ALL BY NAME SELECT * FROM entered",
+                       "directory AS (SELECT * FROM users WHERE role <> 'admin')," + _REGISTER),
     "j10_users": (
         lambda d: remove_users(d.users, d.leaving),
         "SELECT * FROM users WHERE username NOT IN (SELECT username FROM leaving)", ""),
@@ -319,13 +334,86 @@ BATCHES = {
             SELECT {_LOGGED}, '✅ Ware ' || barcode || ' entfernt.' FROM removal_outcomes WHERE code = 'OK'""", _REMOVAL),
     "a9_snapshot_commit": (_snapshot_roundtrip, _REMOVED_STOCK, _REMOVAL),
     "a9_bucketed_snapshot": (_bucketed_removal, _REMOVED_STOCK, _REMOVAL),
-    "c9_answers": (
+    "c9_answers_removal": (
         lambda d: audit.answers("removal", removal(d).outcomes),
         """SELECT *, CASE code WHEN 'OK' THEN '✅ Erfolg: Ware ' || barcode || ' entfernt.'
              WHEN 'BAD_BARCODE' THEN '🚫 Fehler: Ungültiger oder leerer Barcode!'
              WHEN 'NOT_FOUND' THEN '🚫 Fehler: Barcode ' || barcode || ' nicht im Lager gefunden!'
              ELSE '🚫 Fehler: Ware ' || barcode || ' ist im Automaten und kann nicht gelöscht werden!' END AS antwort
            FROM removal_outcomes""", _REMOVAL),
+    "c9_answers_intake": (
+        lambda d: audit.answers("intake", intake(d).outcomes),
+        """SELECT seq, barcode, code, detail, CASE code WHEN 'OK' THEN '✅ Erfolg: ' || coalesce(detail, '') || ' hinzugefügt.'
+             WHEN 'MISSING_FIELD' THEN '🚫 Fehler: Alle Felder müssen ausgefüllt sein!'
+             WHEN 'BAD_BARCODE' THEN '🚫 Fehler: Ungültiger Barcode! Er muss 8-13 Ziffern enthalten.'
+             WHEN 'IN_OPEN_ORDER' THEN '🚫 Fehler: Dieser Barcode ist in einer offenen Bestellung!'
+             WHEN 'IN_STOCK' THEN '🚫 Fehler: Barcode ' || barcode || ' existiert bereits im Lager!'
+             ELSE '⚠️ Fehler: Verfallsdatum ungültig oder Ware ist abgelaufen!' END AS antwort FROM intake_outcomes""", _INTAKE),
+    "c9_answers_fill": (
+        lambda d: audit.answers("fill", fill(d).outcomes),
+        """SELECT seq, barcode, code, name, detail, CASE code
+             WHEN 'OK' THEN '✅ Erfolg: Ware ' || coalesce(name, '') || ' wurde in den Automaten verschoben (Kanal: ' || detail || ').'
+             WHEN 'EMPTY_BARCODE' THEN '🚫 Fehler: Barcode darf nicht leer sein!'
+             WHEN 'BAD_BARCODE' THEN '🚫 Fehler: Ungültiger Barcode! Er muss 8-13 Ziffern enthalten.'
+             WHEN 'NOT_FOUND' THEN '🚫 Fehler: Ware ' || barcode || ' nicht im Lagerbestand!'
+             ELSE '🚫 Fehler: ' || coalesce(name, '') || ' (Barcode: ' || barcode || ') ist abgelaufen und kann nicht in den Automaten verschoben werden!'
+             END AS antwort FROM fill_outcomes""", _FILL),
+    "c9_answers_return": (
+        lambda d: audit.answers("return", give_back(d).outcomes),
+        """SELECT seq, barcode, code, name, CASE WHEN code = 'OK' THEN kanal END AS detail, CASE code
+             WHEN 'OK' THEN '✅ Erfolg: Ware ' || barcode || ' aus Kanal ' || kanal || ' entfernt und zurück ins Lager gelegt.'
+             WHEN 'EMPTY_BARCODE' THEN '🚫 Fehler: Barcode darf nicht leer sein!'
+             WHEN 'BAD_BARCODE' THEN '🚫 Fehler: Ungültiger Barcode! Er muss 8-13 Ziffern enthalten.'
+             ELSE '🚫 Fehler: Ware ' || barcode || ' nicht im Automaten!' END AS antwort FROM return_outcomes""", _RETURN),
+    "c9_answers_cart": (
+        lambda d: audit.answers("cart", scans(d).outcomes),
+        """SELECT *, CASE code WHEN 'OK' THEN '✅ ' || coalesce(detail, '') || ' wurde dem Warenkorb hinzugefügt!'
+             WHEN 'EMPTY_BARCODE' THEN '🚫 Fehler: Barcode darf nicht leer sein!'
+             WHEN 'BAD_BARCODE' THEN '🚫 Fehler: Ungültiger Barcode! Er muss 8-13 Ziffern enthalten.'
+             WHEN 'DUPLICATE' THEN '🚫 Fehler: Barcode ' || barcode || ' ist bereits im Warenkorb!'
+             WHEN 'NOT_IN_DISPENSER' THEN '🚫 Fehler: Medikament ' || barcode || ' ist nicht im Automaten!'
+             ELSE '⚠️ Fehler: ' || coalesce(detail, '') || ' (Barcode: ' || barcode || ') ist abgelaufen!' END AS antwort FROM scan_outcomes""", _SCANS),
+    "c9_answers_checkout": (
+        lambda d: audit.checkout_answers(checkout(d)),
+        """SELECT o.*, n.namen, CASE code
+             WHEN 'OK' THEN '✅ Bestellung ' || o.detail || ' erfolgreich aufgegeben mit Medikamenten: ' || coalesce(n.namen, '')
+             WHEN 'NO_CUSTOMER' THEN '🚫 Fehler: Kundennummer darf nicht leer sein!'
+             WHEN 'EMPTY_CART' THEN '🚫 Fehler: Warenkorb ist leer!'
+             ELSE '🚫 Fehler: ' || coalesce(o.name, '') || ' (Barcode: ' || o.detail || ') ist nicht im Automaten und kann nicht bestellt werden!'
+             END AS antwort
+           FROM (""" + _CHECKED_OUT + """) o LEFT JOIN (
+             SELECT CAST(bestellgruppe_id AS VARCHAR) AS detail, string_agg(name, ', ' ORDER BY id) AS namen FROM new_orders GROUP BY bestellgruppe_id) n
+           ON o.code = 'OK' AND o.detail = n.detail""", _CHECKOUT),
+    "c9_answers_cancellation": (
+        lambda d: audit.answers("cancellation", cancellation(d).outcomes),
+        """SELECT *, CASE code
+             WHEN 'OK' THEN '✅ Bestellung ' || CAST(bestellgruppe_id AS VARCHAR) || ' storniert! Alle Medikamente wurden zurück ins Lager gelegt und als ''Storniert'' markiert.'
+             WHEN 'MISSING_ARG' THEN '🚫 Fehler: Bestellgruppen-ID und Kundennummer dürfen nicht leer sein!'
+             WHEN 'NOT_OPEN' THEN '🚫 Fehler: Bestellung nicht gefunden oder bereits bearbeitet!'
+             ELSE '🚫 Fehler: Integritätsproblem beim Zurücklegen von ' || coalesce(name, '') || ' (Barcode: ' || detail || ')!' END AS antwort
+           FROM (""" + _CANCELLED + ") o", _CANCEL),
+    "c9_answers_registration": (
+        lambda d: audit.answers("registration", registration(d).outcomes),
+        """SELECT *, CASE code WHEN 'OK' THEN '✅ Erfolgreich registriert! Ihre Kundennummer: ' || detail
+             WHEN 'MISSING_FIELD' THEN '⚠️ Bitte alle Felder ausfüllen!'
+             ELSE '🚫 Fehler: Benutzername bereits vergeben! Bitte wählen Sie einen anderen.' END AS antwort
+           FROM (""" + _REGISTERED + ") o", "directory AS (SELECT * FROM users)," + _REGISTER),
+    "j12_return_log": (
+        lambda d: audit.audit_log("return", give_back(d).outcomes, AS_OF_TIME),
+        f"""SELECT {_LOGGED}, CASE code
+              WHEN 'OK' THEN 'Automatenentfernung: ✅ Erfolg: Ware ' || barcode || ' aus Kanal ' || kanal || ' entfernt und zurück ins Lager gelegt.'
+              ELSE 'Automatenentfernung: 🚫 Fehler: Ware ' || barcode || ' nicht im Automaten!' END AS aktion
+            FROM return_outcomes WHERE code IN ('OK', 'NOT_IN_DISPENSER')""", _RETURN),
+    "j12_cart_log": (
+        lambda d: audit.audit_log("cart", scans(d).outcomes, AS_OF_TIME),
+        f"""SELECT {_LOGGED}, CASE code WHEN 'OK' THEN '✅ Medikament ' || coalesce(detail, '') || ' (Barcode: ' || barcode || ') zum Warenkorb hinzugefügt'
+              WHEN 'NOT_IN_DISPENSER' THEN '🚫 Fehler: Medikament ' || barcode || ' ist nicht im Automaten und kann nicht in den Warenkorb gelegt werden!'
+              ELSE '⚠️ Fehler: ' || coalesce(detail, '') || ' (Barcode: ' || barcode || ') ist abgelaufen und kann nicht in den Warenkorb gelegt werden!' END AS aktion
+            FROM scan_outcomes WHERE code IN ('OK', 'NOT_IN_DISPENSER', 'EXPIRED')""", _SCANS),
+    "j12_registration_log": (
+        lambda d: audit.audit_log("registration", registration(d).outcomes, AS_OF_TIME),
+        f"""SELECT {_LOGGED}, CASE code WHEN 'OK' THEN '✅ Registrierung erfolgreich' ELSE '🚫 Registrierung fehlgeschlagen' END AS aktion
+            FROM ({_REGISTERED}) o WHERE code IN ('OK', 'MISSING_FIELD')""", "directory AS (SELECT * FROM users)," + _REGISTER),
     "c9_log_text": (
         lambda d: audit.audit_log("intake", intake(d).outcomes, AS_OF_TIME),
         f"""SELECT {_LOGGED}, '📦 Medikament hinzugefügt: ' || detail || ' (Barcode: ' || barcode || ')' AS aktion
@@ -350,15 +438,13 @@ BATCHES = {
         f"""SELECT {_LOGGED}, '📦 Bestellstatus für ID ' || CAST(bestellgruppe_id AS VARCHAR) || ' wurde auf ''' || status || ''' gesetzt.' AS aktion
             FROM status_req""", ""),
     "e9_outcome_rates": (
-        lambda d: quality.outcome_rates(intake=intake(d).outcomes, removal=removal(d).outcomes, **{"return": give_back(d).outcomes},
-                                        cart=scans(d).outcomes, cancellation=cancellation(d).outcomes),
+        lambda d: quality.outcome_rates(_all_outcomes(d)),
         " UNION ALL ".join([
             _RATE.format(name="intake", table="intake_outcomes"), _RATE.format(name="removal", table="removal_outcomes"),
-            _RATE.format(name="return", table="return_outcomes"), _RATE.format(name="cart", table="scan_outcomes"),
-            _RATE.format(name="cancellation", table="cancel_outcomes")]),
-        ",\n".join([_INTAKE, _REMOVAL, _RETURN, _SCANS, _CANCEL, """cancel_outcomes AS (
-            SELECT CASE WHEN r.seq = first_seq AND NOT conflict THEN 'OK' ELSE 'other' END AS code
-            FROM cancel_req r LEFT JOIN verdicts v ON r.bestellgruppe_id = v.bestellgruppe_id AND r.kundennummer = v.kundennummer)"""])),
+            _RATE.format(name="fill", table="fill_outcomes"), _RATE.format(name="return", table="return_outcomes"),
+            _RATE.format(name="cart", table="scan_outcomes"), _RATE.format(name="checkout", table=f"({_CHECKED_OUT}) o"),
+            _RATE.format(name="cancellation", table=f"({_CANCELLED}) o")]),
+        ",\n".join([_INTAKE, _REMOVAL, _FILL, _RETURN, _SCANS, _CANCEL, _CHECKOUT])),
     "e9_outcome_counts": (
         lambda d: quality.outcome_counts(scans(d).outcomes), "SELECT code, count(*) AS anzahl FROM scan_outcomes GROUP BY code", _SCANS),
 

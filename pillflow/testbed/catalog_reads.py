@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pillflow.functions import predicates as P
@@ -48,9 +51,9 @@ _FLAG = "regexp_full_match(barcode, '[0-9]{{8,13}}')"
 
 _OVERVIEW = """SELECT bestellgruppe_id AS "Bestell-ID", kundennummer AS "Kundennummer",
     string_agg(name, ', ' ORDER BY barcode, id) AS "Medikamente", min(bestelldatum) AS "Bestelldatum",
-    min(status) AS "Status", CAST(1 AS BIGINT) AS "Teil" FROM bestellungen {where} GROUP BY bestellgruppe_id, kundennummer"""
+    min(status) AS "Status" FROM bestellungen {where} GROUP BY bestellgruppe_id, kundennummer"""
 _MINE = """SELECT bestellgruppe_id AS "Bestell-ID", string_agg(name, ', ' ORDER BY barcode, id) AS "Medikamente",
-    min(bestelldatum) AS "Bestelldatum", min(status) AS "Status", CAST(1 AS BIGINT) AS "Teil" FROM bestellungen
+    min(bestelldatum) AS "Bestelldatum", min(status) AS "Status" FROM bestellungen
     WHERE kundennummer = '10000042' AND status = '{status}' GROUP BY bestellgruppe_id"""
 
 _REFRESHED = """fresh AS (
@@ -61,13 +64,28 @@ _REFRESHED = """fresh AS (
     UNION ALL
     SELECT w.* FROM warnungen w WHERE w.barcode IN (SELECT barcode FROM stock WHERE NOT verfallsdatum < DATE '2000-01-01'))"""
 
+_KEYS = [("stock", "stock", "barcode"), ("warnungen", "warnungen", "barcode"), ("users", "users", "id"), ("users", "users", "kundennummer"),
+         ("users", "users", "username"), ("bestellungen", "bestellungen", "id")]
+_REPEATED_KEYS = " UNION ALL ".join(
+    f"SELECT '{shown}' AS tabelle, '{key}' AS spalte, CAST({key} AS VARCHAR) AS wert, count(*) AS anzahl FROM {table} GROUP BY {key} HAVING count(*) > 1"
+    for shown, table, key in _KEYS)
+
+
+def _repeated_keys(d: Domain):
+    """Values that occur more than once in a column that is a key."""
+    found = [quality.repeated_keys(getattr(d, table), key).select(
+        F.lit(shown).alias("tabelle"), F.lit(key).alias("spalte"), F.col(key).cast("string").alias("wert"), "anzahl")
+        for shown, table, key in _KEYS]
+    return reduce(DataFrame.unionByName, found)
+
+
 # name: (Spark query, SQL body, further expressions of the SQL)
 READS = {
     # Scans and the log source
-    "a1_stock_scan": (lambda d: _stored(d, "stock", d.stock), "SELECT * FROM stock", ""),
-    "a2_order_scan": (lambda d: _stored(d, "orders", d.bestellungen), "SELECT * FROM bestellungen", ""),
-    "a3_warning_scan": (lambda d: _stored(d, "warnings", d.warnungen), "SELECT * FROM warnungen", ""),
-    "a4_user_scan": (lambda d: _stored(d, "users", d.users), "SELECT * FROM users", ""),
+    "a1_stock_scan": (lambda d: tables.read_table(d.spark, "stock", d.path_of("stock")), "SELECT * FROM stock", ""),
+    "a2_order_scan": (lambda d: tables.read_table(d.spark, "orders", d.path_of("bestellungen")), "SELECT * FROM bestellungen", ""),
+    "a3_warning_scan": (lambda d: tables.read_table(d.spark, "warnings", d.path_of("warnungen")), "SELECT * FROM warnungen", ""),
+    "a4_user_scan": (lambda d: tables.read_table(d.spark, "users", d.path_of("users")), "SELECT * FROM users", ""),
     "a5_action_log": (lambda d: _stored_log(d, d.action_log), "SELECT * FROM action_log", ""),
     "a6_clean_log": (
         lambda d: action_log.with_moments(_stored_log(d, _garbled(d.action_log))),
@@ -144,9 +162,9 @@ READS = {
     "c5_user_list": (lambda d: user_views.user_list(d.users), f"SELECT {_SHOWN_USERS} FROM users", ""),
     "c6_log_list": (lambda d: log_views.log_list(_log(d)), f"SELECT {_SHOWN_LOG} FROM action_log", ""),
     "c8_order_labels": (
-        lambda d: order_views.order_labels(order_views.order_overview(d.bestellungen)),
+        lambda d: order_views.order_labels(d.bestellungen, CUSTOMER),
         """SELECT "Bestell-ID", 'Bestellung ' || CAST("Bestell-ID" AS VARCHAR) || ': ' || "Medikamente" AS "Auswahl" FROM ("""
-        + _OVERVIEW.format(where="") + """) o WHERE "Status" = 'Offen'""", ""),
+        + _MINE.format(status="Offen") + ") o", ""),
 
     # Lookups
     "d1_open_order_barcodes": (
@@ -168,11 +186,9 @@ READS = {
     "d8_taken_usernames": (
         lambda d: L.taken_flags(d.user_req, d.users),
         "SELECT *, username IN (SELECT username FROM users) AS taken FROM user_req", ""),
-    "d8_free_customer_numbers": (
-        lambda d: L.free_customer_numbers(d.carts.select("kundennummer").where("kundennummer <> ''").distinct()
-                                          .withColumn("kundennummer", (F.col("kundennummer").cast("long") + 750).cast("string")), d.users),
-        """SELECT DISTINCT CAST(CAST(kundennummer AS BIGINT) + 750 AS VARCHAR) AS kundennummer FROM carts
-           WHERE kundennummer <> '' AND CAST(CAST(kundennummer AS BIGINT) + 750 AS VARCHAR) NOT IN (SELECT kundennummer FROM users)""", ""),
+    "d8_taken_customer_numbers": (
+        lambda d: L.taken_numbers(d.cancel_req.select("seq", "kundennummer"), d.users),
+        "SELECT seq, kundennummer, coalesce(kundennummer IN (SELECT kundennummer FROM users), false) AS taken FROM cancel_req", ""),
     "d9_user_by_name": (
         lambda d: L.user_by_name(d.users, "Customer#000000007"),
         "SELECT kundennummer, role FROM users WHERE username = 'Customer#000000007'", ""),
@@ -210,13 +226,14 @@ READS = {
         f"""SELECT ts, kundennummer, aktion, CAST(date_diff('second', lag(ts) OVER (ORDER BY ts, kundennummer, aktion), ts) AS DOUBLE) / CAST(3600 AS DOUBLE) AS abstand_stunden
            FROM (SELECT *, CAST(zeitstempel AS TIMESTAMP) AS ts FROM action_log WHERE {_CRITICAL}) f""", ""),
     "g1_newest_orders": (
-        lambda d: order_views.recent_orders(d.bestellungen), "SELECT * FROM bestellungen", ""),
-    "g1_recent_orders": (
-        lambda d: order_views.recent_orders(d.bestellungen, 100),
-        "SELECT * FROM bestellungen ORDER BY bestelldatum DESC, bestellgruppe_id, id LIMIT 100", ""),
+        lambda d: order_views.newest_orders(d.bestellungen),
+        "SELECT *, row_number() OVER (ORDER BY bestelldatum DESC, bestellgruppe_id, id) AS rang FROM bestellungen", ""),
     "g2_log_by_time": (
-        lambda d: log_views.log_by_time(_log(d)), "SELECT *, CAST(zeitstempel AS TIMESTAMP) AS ts FROM action_log", ""),
-    "g3_random_row": (lambda d: stock_views.random_stock_row(d.stock, 7), None, ""),
+        lambda d: log_views.log_by_time(_log(d)),
+        """SELECT *, CAST(zeitstempel AS TIMESTAMP) AS ts, row_number() OVER (ORDER BY CAST(zeitstempel AS TIMESTAMP), kundennummer, aktion) AS rang
+           FROM action_log""", ""),
+    "g3_random_row": (
+        lambda d: stock_views.random_stock_row(d.stock, 7), "SELECT * FROM stock ORDER BY md5('7' || barcode), barcode LIMIT 1", ""),
     "h1_article_names": (lambda d: stock_views.article_names(d.stock), "SELECT DISTINCT name FROM stock", ""),
     "h2_channels": (
         lambda d: stock_views.occupied_channels(d.stock),
@@ -239,7 +256,7 @@ READS = {
         lambda d: _log(d).select("aktion", "kundennummer", S.time_of_day(F.col("ts")).alias("uhrzeit")),
         "SELECT aktion, kundennummer, substring(zeitstempel, 12) AS uhrzeit FROM action_log", ""),
     "i8_one_year_after": (
-        lambda d: d.stock.select("barcode", F.add_months("verfallsdatum", 12).alias("ein_jahr_spaeter")),
+        lambda d: d.stock.select("barcode", S.one_year_after(F.col("verfallsdatum")).alias("ein_jahr_spaeter")),
         "SELECT barcode, CAST(verfallsdatum + INTERVAL 12 MONTH AS DATE) AS ein_jahr_spaeter FROM stock", ""),
     "i12_channel_numbers": (
         lambda d: d.stock.select("barcode", S.channel_number(F.col("kanal")).alias("nummer")),
@@ -268,17 +285,9 @@ READS = {
         lambda d: user_views.user_list(d.users, "customer#"),
         f"SELECT {_SHOWN_USERS} FROM users WHERE contains(lower(username), 'customer#')", ""),
     "k8_article_totals": (
-        lambda d: stock_views.article_totals(d.stock, "Alle"),
-        """SELECT name AS "Name", CAST(sum(menge) AS BIGINT) AS "Menge" FROM stock GROUP BY name""", ""),
-    "q1_key_check": (
-        lambda d: quality.repeated_keys(d.stock, "barcode").select(F.lit("stock").alias("tabelle"), "anzahl")
-        .unionByName(quality.repeated_keys(d.warnungen, "barcode").select(F.lit("warnungen").alias("tabelle"), "anzahl"))
-        .unionByName(quality.repeated_keys(d.users, "username").select(F.lit("users").alias("tabelle"), "anzahl"))
-        .unionByName(quality.repeated_keys(d.bestellungen, "barcode").select(F.lit("bestellungen").alias("tabelle"), "anzahl")),
-        """SELECT 'bestellungen' AS tabelle, count(*) AS anzahl FROM bestellungen GROUP BY barcode HAVING count(*) > 1
-           UNION ALL SELECT 'stock', count(*) FROM stock GROUP BY barcode HAVING count(*) > 1
-           UNION ALL SELECT 'warnungen', count(*) FROM warnungen GROUP BY barcode HAVING count(*) > 1
-           UNION ALL SELECT 'users', count(*) FROM users GROUP BY username HAVING count(*) > 1""", ""),
+        lambda d: stock_views.article_totals(d.stock, stock_views.article_names(d.stock).agg(F.min("name")).first()[0]),
+        """SELECT name AS "Name", CAST(sum(menge) AS BIGINT) AS "Menge" FROM stock WHERE name = (SELECT min(name) FROM stock) GROUP BY name""", ""),
+    "q1_key_check": (_repeated_keys, _REPEATED_KEYS, ""),
     "q1_channels_per_name": (
         lambda d: quality.channels_per_name(d.stock),
         "SELECT name, count(DISTINCT kanal) AS kanaele FROM stock WHERE ort = 'Automat' AND kanal IS NOT NULL GROUP BY name", ""),

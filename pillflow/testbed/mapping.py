@@ -7,10 +7,12 @@ in braces differ: the base tables, and the type of a time without zone. Every ro
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pillflow.session import scratch_path
+from pillflow.sources.tables import write_table
 
 AS_OF = "2000-01-01"
 AS_OF_TIME = "2000-01-01 08:30:00"
@@ -176,6 +178,9 @@ def for_duckdb(sql: str) -> str:
     return sql.format(ntz="TIMESTAMP", **{t: t for t in BASE_TABLES})
 
 
+# Tables of the store, which are written as such.
+_STORED_AS = {"stock": "stock", "bestellungen": "orders", "warnungen": "warnings", "users": "users"}
+
 # (session, folder, state of the files, table) -> schema and path of the written table
 _stored: dict[tuple, tuple] = {}
 
@@ -207,13 +212,30 @@ class Domain:
         schema, path = self._written(name)
         return self.spark.read.schema(schema).parquet(path)
 
+    def path_of(self, name: str) -> str:
+        """Where a table lies."""
+        return self._written(name)[1]
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Something else derived once per session, written and read from there."""
+        schema, path = self._kept(name, build)
+        return self.spark.read.schema(schema).parquet(path)
+
     def _written(self, name: str) -> tuple:
-        key = (*self._origin, name)
-        if key not in _stored:
+        def derive() -> DataFrame:
             sql = _REFERENCE.sub(lambda m: f"{m[1]} parquet.`{self._written(m[2])[1]}`", BODIES[name])
-            table = self.spark.sql(sql.format(
+            return self.spark.sql(sql.format(
                 ntz="TIMESTAMP_NTZ", **{t: f"parquet.`{self.sf_dir}/{t}.parquet`" for t in BASE_TABLES}))
-            path = scratch_path(self.spark, f"domain-{name}")
-            table.write.parquet(path)
+
+        return self._kept(name, derive)
+
+    def _kept(self, name: str, build: Callable[[], DataFrame]) -> tuple:
+        key = (*self._origin, name)
+        if key not in _stored:
+            table, path = build(), scratch_path(self.spark, f"domain-{name}")
+            if name in _STORED_AS:
+                write_table(table, _STORED_AS[name], path)
+            else:
+                table.write.parquet(path)
             _stored[key] = table.schema, path
         return _stored[key]

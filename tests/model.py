@@ -154,10 +154,8 @@ class Shop:
             return "TAKEN", None
         if not any(u[2] == "admin" for u in self.users.values()):
             role = "admin"
-        given = {u[1] for u in self.users.values()}
-        number = 10000000
-        while str(number) in given:
-            number += 1
+        known = [u[1] for u in self.users.values()] + [o[2] for o in self.orders]
+        number = max([int(k) for k in known if k.isdigit()] + [9999999]) + 1
         self.users[username] = [max([u[0] for u in self.users.values()] + [0]) + 1, str(number), role or "user"]
         return "OK", str(number)
 

@@ -19,6 +19,7 @@ from pillflow.streaming import log_ingest, request_batches
 TODAY = dt.date(2000, 1, 1)
 LATER = dt.date(2001, 1, 1)
 NOON = dt.datetime(2000, 1, 1, 12)
+NOW_OR_LATER = [NOON, NOON + dt.timedelta(hours=1)]
 
 
 def stock_of(spark, *rows):
@@ -43,18 +44,20 @@ def test_free_numbers(spark):
     assert values(free_numbers(taken, 0)) == []
 
 
-def test_oversize_orders_come_in_parts(spark):
-    lines = [(i, 1 if i % 3 else None, "K", f"{i:08d}", f"n{i}", NOON, "Offen") for i in range(40)]
-    lines += [(100, 2, "K", "1", None, NOON, "Offen"), (101, 3, "K", "2", "solo", NOON, "Offen")]
-    orders = spark.createDataFrame(lines, S.ORDERS)
-    whole = {(r["Bestell-ID"], r["Teil"]): r["Medikamente"] for r in order_views.order_overview(orders).collect()}
-    parts = order_views.order_overview(orders, max_names=5).collect()
-    assert max(r["Teil"] for r in parts) == 6
-    for key in {r["Bestell-ID"] for r in parts}:
-        own = sorted((r for r in parts if r["Bestell-ID"] == key), key=lambda r: r["Teil"])
-        joined = None if own[0]["Medikamente"] is None else ", ".join(r["Medikamente"] for r in own)
-        assert joined == whole[(key, 1)]
-        assert {(r["Bestelldatum"], r["Status"], r["Kundennummer"]) for r in own} == {(NOON, "Offen", "K")}
+def test_names_of_large_orders(spark):
+    """An order spread over many slices is still one row, its names in order."""
+    lines = [(i, 1 if i % 3 else None, "K", f"{(i * 7919) % 5000:08d}", f"n{(i * 7919) % 5000}", NOW_OR_LATER[i % 2], "Offen") for i in range(5000)]
+    lines += [(10000, 2, "K", "1", None, NOON, "Offen"), (10001, 3, "K", "2", "solo", NOON, "Offen"), (10002, 3, "K", "3", "", NOON, "Genehmigt")]
+    orders = spark.createDataFrame(lines, S.ORDERS).repartition(5)
+    shown = {r["Bestell-ID"]: r for r in order_views.order_overview(orders).collect()}
+    assert len(shown) == 4
+    for group in (1, None):
+        own = sorted(line[3:5] for line in lines if line[1] == group)
+        assert shown[group]["Medikamente"] == ", ".join(name for _, name in own)
+        assert shown[group]["Bestelldatum"] == NOON
+    assert shown[2]["Medikamente"] is None and shown[3]["Medikamente"] == "solo, "
+    sliced = order_views.order_overview(orders)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(bestellgruppe_id" in sliced
 
 
 def test_totals_keep_goods_without_name(spark):
@@ -66,7 +69,7 @@ def test_rates(spark):
     empty = spark.createDataFrame([], S.STOCK)
     assert values(quality.faulty_rate(empty)) == [(0, None, 0.0)]
     outcomes = spark.createDataFrame([("OK",), ("OK",), ("EXPIRED",), ("OK",)], "code string")
-    assert values(quality.outcome_rates(fill=outcomes)) == [("fill", 4, 75.0, 25.0)]
+    assert values(quality.outcome_rates(outcomes.withColumn("vorgang", F.lit("fill")))) == [("fill", 4, 75.0, 25.0)]
     assert values(quality.repeated_keys(stock_of(spark, ("1", "a", None), ("1", "b", None)), "barcode")) == [("1", 2)]
 
 
@@ -100,11 +103,12 @@ def test_nameless_goods_take_channels_of_their_own(spark):
 def test_log_is_read_as_it_was_written(spark, tmp_path):
     path = str(tmp_path / "log")
     assert values(action_log.read_log(spark, path)) == []
-    rows = [("2024-01-01 10:00:00", "K1", 'sagt "Hallo", geht'), ("2024-01-01 10:00:01", None, "a\\b"), ("x", "K", "zwei\nZeilen")]
+    rows = [("2024-01-01 10:00:00", "K1", 'sagt "Hallo", geht'), ("2024-01-01 10:00:01", None, "a\\b"), ("x", "K", "zwei\nZeilen"),
+            ("y", " K ", "  a  b "), ("z", "", ""), ("z", "K", '"')]
     action_log.append_log(spark.createDataFrame(rows[:2], S.ACTION_LOG), path)
     action_log.append_log(spark.createDataFrame(rows[2:], S.ACTION_LOG), path)
     assert values(action_log.read_log(spark, path)) == sorted(
-        [rows[0], ("2024-01-01 10:00:01", "Unbekannt", "a\\b"), ("x", "K", "zwei Zeilen")], key=repr)
+        [rows[0], ("2024-01-01 10:00:01", "Unbekannt", "a\\b"), ("x", "K", "zwei Zeilen"), *rows[3:]], key=repr)
     assert action_log.with_moments(action_log.read_log(spark, path)).count() == 2
     plain = tmp_path / "plain.csv"
     plain.write_text('2024-01-01 10:00:00,K1,"sagt ""Hallo"", geht"\n', encoding="utf-8")
