@@ -212,6 +212,14 @@ class LabelModel:
         return np.log(self.prior / (1 - self.prior)) + votes @ yes + np.where(votes.any(axis=1), 0.0, self.silence)
 
 
+def _gap(i: int, cov: np.ndarray, usable: np.ndarray) -> float:
+    """How much more often voter ``i`` says yes to toxic texts, from triples of voters; correlated ones only raise it."""
+    m = len(cov)
+    found = [cov[i, j] * cov[i, k] / cov[j, k] for j in range(m) for k in range(j)
+             if usable[i, j] and usable[i, k] and usable[j, k]]
+    return min(0.98, float(np.sqrt(np.quantile(found, 0.25)))) if found else 0.0
+
+
 def fit_label_model(single: np.ndarray, pairs: np.ndarray, prior: float, silence: float) -> LabelModel:
     """From the mean of each vote, the mean of each product of two, the share of toxic texts, and what silence tells."""
     m = len(single)
@@ -219,19 +227,18 @@ def fit_label_model(single: np.ndarray, pairs: np.ndarray, prior: float, silence
     scale = prior * (1 - prior)
     spread = np.sqrt(np.maximum(single * (1 - single), 1e-12))
     strong = (cov / np.outer(spread, spread) > 0.02) & ~np.eye(m, dtype=bool)
-    gap = np.zeros(m)
-    for i in range(m):
-        found = [cov[i, j] * cov[i, k] / (cov[j, k] * scale)
-                 for j in range(m) for k in range(j) if strong[i, j] and strong[i, k] and strong[j, k]]
-        gap[i] = np.sqrt(np.median(found)) if found else 0.0
-    gap = np.minimum(gap, 0.98)
-    other = np.clip(single - prior * gap, 2e-3, 0.98)
-    toxic = np.clip(single + (1 - prior) * gap, 2e-3, 0.99)
-    toxic = np.where(gap > 0, np.maximum(toxic, other), other)  # a voter nothing is known of has no say
-    # What the classes leave unexplained: correlation of voters within a class.
-    within = prior * toxic * (1 - toxic) + (1 - prior) * other * (1 - other)
-    rest = (cov - scale * np.outer(gap, gap)) / np.sqrt(np.outer(within, within))
-    np.fill_diagonal(rest, 0)
+    independent = np.ones((m, m), bool)
+    for _ in range(3):
+        usable = strong & independent
+        gap = np.array([_gap(i, cov / scale, usable if usable[i].any() else strong) for i in range(m)])
+        other = np.clip(single - prior * gap, 2e-3, 0.98)
+        toxic = np.clip(single + (1 - prior) * gap, 2e-3, 0.99)
+        toxic = np.where(gap > 0, np.maximum(toxic, other), other)  # a voter nothing is known of has no say
+        # What the classes leave unexplained: correlation of voters within a class. Such pairs are left out next time.
+        within = prior * toxic * (1 - toxic) + (1 - prior) * other * (1 - other)
+        rest = (cov - scale * np.outer(gap, gap)) / np.sqrt(np.outer(within, within))
+        np.fill_diagonal(rest, 0)
+        independent = rest < 0.15
     weight = 1 / (1 + np.clip(np.where(rest > 0.05, rest, 0), 0, 1).sum(axis=1))
     return LabelModel(toxic, other, weight, prior, silence)
 
