@@ -19,13 +19,21 @@ def by_day(log: DataFrame) -> DataFrame:
 
 
 def ingest_log(log: DataFrame, target: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write a stream of log entries to ``target``, one folder per day; the file sink adds each entry once."""
+    """Write a stream of log entries to ``target``: a folder per micro-batch, and in it one per day.
+
+    Entries of a day are brought together before they are written, so that there are few files, and a large day is
+    cut again. A micro-batch that is handed over once more after a failure replaces its own folder. A target belongs
+    to one checkpoint.
+    """
+    def put(entries: DataFrame, batch_id: int) -> None:
+        gathered = entries.hint("rebalance", "tag")
+        gathered.write.mode("overwrite").partitionBy("tag").parquet(f"{target}/batch={batch_id}")
+
     return (
-        by_day(log).writeStream.format("parquet").partitionBy("tag")
-        .option("path", target).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+        by_day(log).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
 def read_ingested(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.schema(STORED_LOG).parquet(target)
+    return spark.read.schema(STORED_LOG).option("basePath", target).parquet(target).drop("batch")

@@ -13,6 +13,7 @@ from pillflow.operators.carts import Checkout
 from pillflow.operators.dispenser import Fill, Return
 from pillflow.operators.orders import Cancellation, set_order_status
 from pillflow.operators.stockroom import Intake, Removal
+from pillflow.session import keep
 from pillflow.sources.snapshots import Snapshots
 
 # What a batch of requests does: (snapshots, requests) -> (changed tables, outcomes or None).
@@ -86,7 +87,8 @@ class RequestStream:
     def apply(self, requests: DataFrame, batch_id: int) -> None:
         if self.tables.has_batch(self.name, batch_id):
             return
-        changed, outcomes = self.operation(self.tables, requests)
+        # Both outcomes and state are made from the requests, which are read and parsed once.
+        changed, outcomes = self.operation(self.tables, keep(requests))
         if outcomes is not None:
             outcomes.write.mode("overwrite").parquet(f"{self.outcomes_path}/batch={batch_id}")
         self.tables.commit(changed, self.name, batch_id)

@@ -192,6 +192,18 @@ _CANCELLED = """SELECT r.seq, r.bestellgruppe_id, r.kundennummer,
            FROM cancel_req r LEFT JOIN verdicts v ON r.bestellgruppe_id = v.bestellgruppe_id AND r.kundennummer = v.kundennummer"""
 _REGISTERED = """SELECT r.seq, r.username, CASE WHEN coalesce(r.username, '') = '' THEN 'MISSING_FIELD' WHEN n.seq IS NULL THEN 'TAKEN' ELSE 'OK' END AS code,
            e.kundennummer AS detail FROM user_req r LEFT JOIN new_users n ON r.seq = n.seq LEFT JOIN entered e ON e.username = n.username"""
+_FILLED_STOCK = """SELECT s.barcode, s.name, menge, verfallsdatum, CASE WHEN o.barcode IS NULL THEN ort ELSE 'Automat' END AS ort,
+           coalesce(o.detail, kanal) AS kanal
+           FROM stock s LEFT JOIN (SELECT DISTINCT barcode, detail FROM fill_outcomes WHERE code = 'OK') o ON s.barcode = o.barcode"""
+_RETURNED_STOCK = """SELECT s.barcode, s.name, menge, verfallsdatum, CASE WHEN o.barcode IS NULL THEN ort ELSE 'Lager' END AS ort,
+           CASE WHEN o.barcode IS NULL THEN s.kanal END AS kanal
+           FROM stock s LEFT JOIN (SELECT barcode FROM return_outcomes WHERE code = 'OK') o ON s.barcode = o.barcode"""
+_CANCELLED_ORDERS = """SELECT * REPLACE (CASE WHEN (bestellgruppe_id, kundennummer) IN
+             (SELECT (bestellgruppe_id, kundennummer) FROM verdicts WHERE NOT conflict) THEN 'Storniert' ELSE status END AS status)
+           FROM bestellungen"""
+_SET_ORDERS = """SELECT b.* REPLACE (coalesce(r.status, b.status) AS status) FROM bestellungen b
+           LEFT JOIN (SELECT bestellgruppe_id, arg_max(status, seq) AS status FROM status_req GROUP BY bestellgruppe_id) r
+           ON b.bestellgruppe_id = r.bestellgruppe_id"""
 _REMOVED_STOCK = "SELECT * FROM stock WHERE barcode NOT IN (SELECT barcode FROM removal_outcomes WHERE code = 'OK')"
 _INTAKE_STOCK = """SELECT * FROM stock UNION ALL
     SELECT barcode, detail, 1, CAST(verfallsdatum_raw AS DATE), 'Lager', NULL FROM intake_outcomes WHERE code = 'OK'"""
@@ -234,16 +246,20 @@ def _streamed_log(d: Domain):
     return log_ingest.read_ingested(d.spark, target)
 
 
-def _streamed_intake(d: Domain):
-    """Intake requests as a stream of files against snapshots."""
+def _streamed(d: Domain, operation: request_batches.Operation, requests: DataFrame, table: str):
+    """Requests as a stream of files against snapshots; the table as it is afterwards."""
     source, root, out, state = (scratch_path(d.spark, n) for n in ("requests", "snapshots", "outcomes", "state"))
-    requests = d.intake_req
     requests.write.parquet(source)
     tables = Snapshots(d.spark, root)
     tables.commit({"stock": d.stock, "orders": d.bestellungen})
-    stream = request_batches.RequestStream("intake", tables, request_batches.intake(AS_OF), out)
+    stream = request_batches.RequestStream("requests", tables, operation, out)
     stream.start(d.spark.readStream.schema(requests.schema).parquet(source), state).awaitTermination()
-    return tables.read("stock")
+    return tables.read(table)
+
+
+def _cart_requests(d: Domain):
+    """Carts and their lines in one table, as they come from the counter."""
+    return d.carts.join(d.cart_lines, "cart_id", "left").select("cart_id", "line_no", "barcode", "kundennummer")
 
 
 def _all_outcomes(d: Domain):
@@ -270,17 +286,13 @@ BATCHES = {
     "j3_fill_outcomes": (lambda d: fill(d).outcomes, "SELECT * FROM fill_outcomes", _FILL),
     "j3_fill_state": (
         lambda d: fill(d).stock,
-        """SELECT s.barcode, s.name, menge, verfallsdatum, CASE WHEN o.barcode IS NULL THEN ort ELSE 'Automat' END AS ort,
-           coalesce(o.detail, kanal) AS kanal
-           FROM stock s LEFT JOIN (SELECT DISTINCT barcode, detail FROM fill_outcomes WHERE code = 'OK') o ON s.barcode = o.barcode""", _FILL),
+        _FILLED_STOCK, _FILL),
     "j4_return_outcomes": (
         lambda d: give_back(d).outcomes,
         "SELECT seq, barcode, code, name, CASE WHEN code = 'OK' THEN kanal END AS detail FROM return_outcomes", _RETURN),
     "j4_return_state": (
         lambda d: give_back(d).stock,
-        """SELECT s.barcode, s.name, menge, verfallsdatum, CASE WHEN o.barcode IS NULL THEN ort ELSE 'Lager' END AS ort,
-           CASE WHEN o.barcode IS NULL THEN s.kanal END AS kanal
-           FROM stock s LEFT JOIN (SELECT barcode FROM return_outcomes WHERE code = 'OK') o ON s.barcode = o.barcode""", _RETURN),
+        _RETURNED_STOCK, _RETURN),
     "j5_cart_outcomes": (lambda d: scans(d).outcomes, "SELECT * FROM scan_outcomes", _SCANS),
     "c7_cart_list": (
         _cart_list,
@@ -304,17 +316,13 @@ BATCHES = {
            coalesce(ort, 'Lager') AS ort, kanal FROM stock s FULL JOIN back b ON s.barcode = b.barcode""", _CANCEL),
     "j7_cancel_orders": (
         lambda d: cancellation(d).orders,
-        """SELECT * REPLACE (CASE WHEN (bestellgruppe_id, kundennummer) IN
-             (SELECT (bestellgruppe_id, kundennummer) FROM verdicts WHERE NOT conflict) THEN 'Storniert' ELSE status END AS status)
-           FROM bestellungen""", _CANCEL),
+        _CANCELLED_ORDERS, _CANCEL),
     "d6_restock": (
         lambda d: cancellation(d).returned_lines.groupBy("barcode").agg(F.count("*").alias("anzahl")),
         "SELECT barcode, n AS anzahl FROM back", _CANCEL),
     "j8_status_state": (
         lambda d: set_order_status(d.bestellungen, d.status_req),
-        """SELECT b.* REPLACE (coalesce(r.status, b.status) AS status) FROM bestellungen b
-           LEFT JOIN (SELECT bestellgruppe_id, arg_max(status, seq) AS status FROM status_req GROUP BY bestellgruppe_id) r
-           ON b.bestellgruppe_id = r.bestellgruppe_id""", ""),
+        _SET_ORDERS, ""),
     "j9_users": (lambda d: registration(d).users, "SELECT * FROM users UNION ALL BY NAME SELECT * FROM entered",
                  "directory AS (SELECT * FROM users)," + _REGISTER),
     "j9_user_outcomes": (
@@ -455,5 +463,19 @@ BATCHES = {
         lambda d: log_views.log_review_stored(_streamed_log(d), "2024-01-15", "06:00:00", "18:00:00"),
         """SELECT zeitstempel AS "Zeitstempel", kundennummer AS "Benutzer", aktion AS "Aktion"
            FROM action_log WHERE zeitstempel BETWEEN '2024-01-15 06:00:00' AND '2024-01-15 18:00:00'""", ""),
-    "l2_intake_stream": (_streamed_intake, _INTAKE_STOCK, _INTAKE),
+    "l2_intake_stream": (
+        lambda d: _streamed(d, request_batches.intake(AS_OF), d.intake_req, "stock"), _INTAKE_STOCK, _INTAKE),
+    "l2_removal_stream": (
+        lambda d: _streamed(d, request_batches.removal(), d.barcode_req, "stock"), _REMOVED_STOCK, _REMOVAL),
+    "l2_fill_stream": (
+        lambda d: _streamed(d, request_batches.fill(AS_OF), d.barcode_req, "stock"), _FILLED_STOCK, _FILL),
+    "l2_return_stream": (
+        lambda d: _streamed(d, request_batches.give_back(), d.barcode_req, "stock"), _RETURNED_STOCK, _RETURN),
+    "l2_checkout_stream": (
+        lambda d: _streamed(d, request_batches.checkout(AS_OF_TIME), _cart_requests(d), "orders"),
+        "SELECT * FROM bestellungen UNION ALL SELECT * FROM new_orders", _CHECKOUT),
+    "l2_cancellation_stream": (
+        lambda d: _streamed(d, request_batches.cancellation(AS_OF), d.cancel_req, "orders"), _CANCELLED_ORDERS, _CANCEL),
+    "l2_status_stream": (
+        lambda d: _streamed(d, request_batches.status_change(), d.status_req, "orders"), _SET_ORDERS, ""),
 }
