@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from pillflow.llm.common import stored, texts_of
 
 BITS = 16
-LANES = 1024
-STRIDE = 1 << 16
+LANES = 2048
+STRIDE = 1 << 17
 #: Tokens after which a block is closed. A longer document has a block of its own, with more checkpoints.
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 _LOW = 1 << 16
 
 BLOCKS = ("slice int, block int, docs array<long>, lengths array<long>, n_tokens long, words binary, "

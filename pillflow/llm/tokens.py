@@ -93,15 +93,20 @@ class PieceEncoder(PieceCache):
 
     def __init__(self, path: str, separator: str, blanks_dropped: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         kept = worker_cache(f"pieces:{path}")
         if not kept:
             tokenizer = Tokenizer.from_file(path)
             tokenizer.encode_special_tokens = True
-            kept.update(tokenizer=tokenizer, known={})
+            words = Tokenizer.from_file(path)  # for words that need no cutting: bytes as letters, blanks between
+            words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            words.normalizer = normalizers.Sequence([])
+            kept.update(tokenizer=tokenizer, words=words, known={}, letters=byte_letters())
         super().__init__(kept["known"], blanks_dropped)
-        self.tokenizer, self.separator = kept["tokenizer"], separator
+        self.tokenizer, self.words, self.separator = kept["tokenizer"], kept["words"], separator
+        self.letters = kept["letters"]
+        self.mark = separator.strip(" ").translate(self.letters)
         (self.separator_id,) = self.whole(separator)
         self.ends = {c: np.array(self.whole(c), "<u4").tobytes() for c in _ENDS}
 
@@ -118,21 +123,41 @@ class PieceEncoder(PieceCache):
             folded = [p for p in words if p.isascii() and p != p.strip(" ").lower()]
             words.difference_update(folded)
             words.update([p.strip(" ").lower() for p in folded])
-        joined = list(words.difference(self.known))
-        for i in range(0, len(joined), _JOINED):
-            some = joined[i:i + _JOINED]
-            ids = np.array(self.whole(self.separator.join(some)), "<u4")
+        open_ = words.difference(self.known)
+        if self.blanks_dropped:
+            plain = [p for p in open_ if p.isascii() and p.isalpha()]
+        else:
+            plain = [p for p in open_ if (p[1:] if p[0] == " " else p).isalpha()]
+        self._learn_joined(list(open_.difference(plain)), self.separator.join, self.whole)
+        self._learn_joined(plain, self._join_letters, lambda text: self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        known, marks = self.known, self.ends
+        for piece in folded:
+            known[piece] = known[piece.strip(" ").lower()]
+        for piece in ended:
+            known[piece] = known[piece[:-1]] + marks[piece[-1]]
+
+
+    def _join_letters(self, some: list[str]) -> str:
+        joined = "\n".join(some).encode().decode("latin-1").translate(self.letters)
+        return joined.replace(self.letters[10], f" {self.mark} ")
+
+    def _learn_joined(self, pieces: list[str], join, encode) -> None:
+        for i in range(0, len(pieces), _JOINED):
+            some = pieces[i:i + _JOINED]
+            ids = np.array(encode(join(some)), "<u4")
             cuts = np.flatnonzero(ids == self.separator_id)
             starts = np.append(0, 4 * (cuts + 1)).tolist()
             ends = np.append(4 * cuts, 4 * len(ids)).tolist()
             raw = ids.tobytes()
             assert len(starts) == len(some)
             self.known.update(zip(some, [raw[x:y] for x, y in zip(starts, ends)]))
-        known, marks = self.known, self.ends
-        for piece in folded:
-            known[piece] = known[piece.strip(" ").lower()]
-        for piece in ended:
-            known[piece] = known[piece[:-1]] + marks[piece[-1]]
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it can be seen, else from U+0100 on."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 def byte_encoder(path: str) -> PieceEncoder:
