@@ -4,6 +4,7 @@ import hashlib
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from pillflow.llm import langid, near, suffixes, toxicity
 from pillflow.llm.components import components
-from pillflow.llm.queries import QUERIES
+from pillflow.llm.queries import ORACLE_SQL, QUERIES
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, tag int"
 
@@ -214,6 +215,14 @@ def test_op6(spark, folder):
     assert list(found.itertuples(index=False, name=None)) == expected
 
 
+def test_op6_in_sql(spark):
+    """The registered SQL on the driver's table."""
+    duck = duckdb.connect()
+    duck.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
+    expected = duck.execute(ORACLE_SQL["op6_kd_trees"]).fetchall()
+    assert sorted(result(spark, "op6_kd_trees", "/root/testdata/sf0.001").itertuples(index=False, name=None)) == sorted(expected)
+
+
 def test_op9(spark, folder):
     vectors = {i: np.array(v) for i, v in vectors_of(spark, folder).items() if any(v)}
     found = result(spark, "op9_collision_lines", folder).sort_values(["query_id", "rank"])
@@ -263,7 +272,7 @@ def test_op8(spark, folder, rows):
 
 def test_op8_levels(spark):
     from pillflow.llm.packing import pack
-    pieces = spark.range(3000).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id"), F.lit(60)) + 1).alias("length"))
+    pieces = spark.range(3000).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id"), F.lit(30)) + 1).alias("length"))
     found = pack(pieces, 64, per_group=300).toPandas()
     assert len(found) == 3000 and (found.groupby("sequence_id").length.sum() <= 64).all()
     assert found.sequence_id.nunique() <= -(-int(found.length.sum()) // 64) + 3
