@@ -5,13 +5,15 @@ a shorter text with any word is one shingle. A shingle weighs its count in the t
 frequency, 1 + ``SPAN`` * ln(N / df) / ln(N). Document frequencies over all texts are kept in a table of ``COUNTERS``
 counters, by hash, less the counts that other shingles are expected to add; its size does not grow with the data.
 
-Each text draws ``BANDS * ROWS`` consistent weighted samples. Their random numbers come from tables for 65,536 hashed
+Each text draws ``BANDS * ROWS`` consistent weighted samples. Their random numbers come from tables for hashed
 shingles; a sample is the shingle itself with its level. Texts that agree in all samples of a band share a bucket.
 
-In a bucket, texts are compared with leaders, whole texts by weighted Jaccard similarity, and linked from 0.8 on.
-Linked texts form classes. Where a bucket still holds several classes, further leaders are taken from its smallest
-classes, each compared with all texts of other classes, until each two texts of different classes in it have been
-compared. So no candidate pair is left out, while most pairs within a class never need to be looked at.
+In a bucket, texts are compared with a leader, whole texts by weighted Jaccard similarity, and linked from 0.8 on.
+Linked texts form classes. Buckets that then still hold several classes are cut: two of their texts stay together if
+they agree in a second band, as 99.7 in 100 texts that are 0.8 similar do, and few others. From there on leaders are
+taken from the smallest classes of a bucket, each compared with all texts of other classes, until each two texts of
+different classes in it have been compared. So no candidate pair is left out, while most pairs within a class never
+need to be looked at.
 
 Equal texts are one class from the start and take part once; empty texts, too, are equal. A null text, or a null
 ``doc_id``, is a class of its own. A ``doc_id`` is taken to name one text; repeated rows are in one class.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,6 +34,7 @@ from pillflow.llm.common import stored, worker_cache
 from pillflow.llm.components import components
 from pillflow.llm.suffixes import Hashes
 from pillflow.llm.toxicity import is_word_byte
+from pillflow.operators.lookups import hot_join
 
 WORDS = 5
 SIMILAR = 0.8
@@ -38,9 +42,9 @@ BANDS, ROWS = 16, 4
 COUNTERS = 1 << 20
 SPAN = 0.25
 _CHUNK = 1 << 12
-_DIMS = 1 << 16
-#: Leaders of a bucket compared at once, from the second round on.
-LEADERS = 8
+_DIM_BITS = 14
+#: From the second round on a bucket has so many leaders at once, or more: one for each ROUNDS of its texts.
+LEADERS, ROUNDS = 8, 16
 
 
 def shingles(text: str, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +63,40 @@ def shingles(text: str, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(mixed, return_counts=True)
 
 
+def all_shingles(texts: list[str], hashes: Hashes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for many texts, about half a megabyte at a time."""
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and size < 500_000:
+            size += len(texts[j])
+            j += 1
+        yield from _some_shingles(texts[i:j], hashes)
+        i = j
+
+
+def _some_shingles(texts: list[str], hashes: Hashes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    raw = [t.lower().encode("utf-8", "ignore") for t in texts]
+    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    edges = np.flatnonzero(np.diff(is_word_byte(data).astype(np.int8), prepend=0))
+    starts = edges[::2]
+    words = hashes.between(data, starts, edges[1::2])
+    ends = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw]))
+    mixed = np.full(max(0, len(words) - WORDS + 1), np.uint64(WORDS))
+    for k in range(WORDS):
+        mixed = (mixed ^ words[k:len(mixed) + k]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    begin = 0
+    for text, end in zip(texts, ends.tolist()):
+        if end - begin < WORDS:
+            yield shingles(text, hashes)
+        else:
+            found = np.sort(mixed[begin:end - WORDS + 1])
+            new = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+            yield found[new], np.diff(new, append=len(found))
+        begin = end
+
+
 def _counter(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(44)).astype(np.int64)
 
@@ -70,8 +108,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, total, n = Hashes(), np.zeros(COUNTERS, np.int64), 0
         for batch in batches:
-            for text in batch["text"]:
-                found, _ = shingles(text, hashes)
+            for found, _ in all_shingles(list(batch["text"]), hashes):
                 np.add.at(total, _counter(found), 1)
                 n += 1
         each = total.astype("<i4").reshape(parts, _CHUNK)
@@ -116,33 +153,41 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(least / most) if most else 0.0
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c and beta of the sampling scheme for each hashed shingle and sample."""
+def _tables() -> tuple[np.ndarray, ...]:
+    """r, 1 / r, ln c and beta of the sampling scheme for each hashed shingle and sample, and room to work in."""
     kept = worker_cache("icws")
     if not kept:
-        rng, shape = np.random.default_rng(2010), (_DIMS, BANDS * ROWS)
-        kept["r"] = rng.standard_gamma(2, shape, np.float32)
-        kept["c"] = np.log(rng.standard_gamma(2, shape, np.float32))
-        kept["b"] = rng.random(shape, np.float32)
-    return kept["r"], kept["c"], kept["b"]
+        rng, shape = np.random.default_rng(2010), (1 << _DIM_BITS, BANDS * ROWS)
+        r = rng.standard_gamma(2, shape, np.float32)
+        tables = r, 1 / r, np.log(rng.standard_gamma(2, shape, np.float32)), rng.random(shape, np.float32)
+        kept["tables"] = (*tables, *(np.empty((_CHUNK, BANDS * ROWS), np.float32) for _ in range(3)))
+    return kept["tables"]
 
 
 def bucket_keys(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """One key for each band: its samples, and the band's number."""
-    r, c, b = _tables()
+    r, inverse, c, b, *room = _tables()
     k = BANDS * ROWS
     best, who, level = np.full(k, np.inf, np.float32), np.zeros(k, np.uint64), np.zeros(k, np.int64)
     column = np.arange(k)
+    log_weight = np.log(weights).astype(np.float32)
+    hashed = ((found * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _DIM_BITS)).astype(np.int64)
     for i in range(0, len(found), _CHUNK):
-        some = found[i:i + _CHUNK]
-        dims = ((some * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.int64)
-        rs, bs = r[dims], b[dims]
-        t = np.floor(np.log(weights[i:i + _CHUNK]).astype(np.float32)[:, None] / rs + bs)
-        a = c[dims] - rs * (t - bs + 1)
+        dims = hashed[i:i + _CHUNK]
+        t, beta, other = (x[:len(dims)] for x in room)
+        np.take(inverse, dims, axis=0, out=t, mode="clip")
+        np.take(b, dims, axis=0, out=beta, mode="clip")
+        t *= log_weight[i:i + _CHUNK, None]
+        t += beta
+        np.floor(t, out=t)
+        a = np.subtract(t, beta, out=beta)
+        a += 1
+        a *= np.take(r, dims, axis=0, out=other, mode="clip")
+        np.subtract(np.take(c, dims, axis=0, out=other, mode="clip"), a, out=a)
         at = a.argmin(axis=0)
         low = a[at, column]
         better = low < best
-        best[better], who[better], level[better] = low[better], some[at][better], t[at, column][better].astype(np.int64)
+        best[better], who[better], level[better] = low[better], found[i + at][better], t[at, column][better].astype(np.int64)
     keys = np.arange(BANDS, dtype=np.uint64)
     samples = (who ^ (level.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))).reshape(BANDS, ROWS)
     for row in range(ROWS):
@@ -157,18 +202,17 @@ def _sign(texts: DataFrame, idf) -> DataFrame:
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes()
         for batch in batches:
-            keys, tids = [], []
-            for text in batch["text"]:
-                tids.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
-                found, weights = weigh(text, hashes, idf.value)
-                keys.append(bucket_keys(found, weights) if len(found) else np.empty(0, np.int64))
+            texts = list(batch["text"])
+            tids = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
+            keys = [bucket_keys(found, counts * idf.value[_counter(found)].astype(np.float64)) if len(found) else np.empty(0, np.int64)
+                    for found, counts in all_shingles(texts, hashes)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "tid": tids, "keys": keys})
 
     return texts.mapInPandas(sign, "doc_id long, tid binary, `keys` array<long>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """Pairs ``a``, ``b`` of similar texts. Each text is looked up by its number; a pair is compared in one row."""
+    """Those of the pairs ``a``, ``b`` whose texts are similar. Each text is looked up by its number; a pair is compared in one row."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, held = Hashes(), {}
@@ -183,11 +227,29 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
         for batch in batches:
             similar = [weighted_jaccard(weights(a, s), weights(b, t)) >= SIMILAR - 1e-9
                        for a, b, s, t in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"])]
-            yield batch.loc[similar, ["a", "b"]]
+            yield batch.loc[similar, ["a", "b", "a_label", "b_label"]]
 
     first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(second, "b").join(first, "a").mapInPandas(compare, "a long, b long")
+    return pairs.join(second, "b").join(first, "a").mapInPandas(compare, "a long, b long, a_label long, b_label long")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` with the higher label of each new link replaced by the lowest it is linked to, two steps on."""
+    step = links.select(F.greatest("a_label", "b_label").alias("label"), F.least("a_label", "b_label").alias("to"))
+    step = step.groupBy("label").agg(F.min("to").alias("to"))
+    further = step.select(F.col("label").alias("to"), F.col("to").alias("then"))
+    step = step.join(further, "to", "left").select("label", F.coalesce("then", "to").alias("to"))
+    return hot_join(labels, step, ["label"]).select("doc_id", F.coalesce("to", "label").alias("label"))
+
+
+def _second_bands(buckets: DataFrame) -> DataFrame:
+    """Buckets of the texts that agree in two bands: at most ``BANDS * (BANDS - 1) / 2`` rows for a text."""
+    keys = buckets.groupBy("doc_id").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most BANDS
+    pairs = F.expr("flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> xxhash64(x, y))))")
+    rows = keys.select("doc_id", F.explode(pairs).alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return hot_join(rows, shared, ["key"], "left_semi").select("key", "doc_id")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -200,35 +262,45 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     once = signed.join(firsts.select("tid", F.col("first").alias("doc_id")), ["tid", "doc_id"], "left_semi")
     rows = once.select("doc_id", F.explode("keys").alias("key")).distinct()
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = stored(rows.join(shared, "key"), "buckets")
-    wanted = buckets.select("doc_id").distinct()
+    buckets = stored(hot_join(rows, shared, ["key"], "left_semi"), "buckets")
+    wanted = stored(buckets.select("doc_id").distinct(), "wanted")
     held = stored(texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
 
-    no_pairs = spark.createDataFrame([], "a long, b long")
-    links, tested, labels = no_pairs, no_pairs, spark.createDataFrame([], "node long, label long")
+    tested = spark.createDataFrame([], "a long, b long")
+    links: list[DataFrame] = []
+    labels = wanted.withColumn("label", F.col("doc_id"))
     first_round = True
     while True:
-        named = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-            "label", F.coalesce("label", "doc_id"))
+        # Labels need not be final here: they only save comparisons within what is known to be one class.
+        named = buckets.join(labels, "doc_id")
         mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        named = stored(named.join(mixed, "key"), "mixed")
+        named = stored(hot_join(named, mixed, ["key"], "left_semi"), "mixed")
         if named.isEmpty():
             break
-        sizes = named.groupBy("key", "label").agg(F.count("*").alias("size"))
-        salt = F.lit(0) if first_round else F.pmod(F.xxhash64("doc_id"), F.lit(LEADERS))
-        ranked = named.join(sizes, ["key", "label"]).groupBy("key", salt.alias("salt")).agg(
-            F.min(F.struct("size", "label", "doc_id")).alias("one"))
+        if first_round:
+            ranked = named.groupBy("key").agg(F.min(F.struct(F.lit(1), "label", "doc_id")).alias("one"))
+        else:
+            sizes = named.groupBy("key", "label").agg(F.count("*").alias("size"))
+            totals = sizes.groupBy("key").agg(F.sum("size").alias("total"))
+            salt = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(LEADERS), F.ceil(F.col("total") / ROUNDS)))
+            ranked = hot_join(hot_join(named, sizes, ["key", "label"]), totals, ["key"]).groupBy("key", salt.alias("salt")).agg(
+                F.min(F.struct("size", "label", "doc_id")).alias("one"))
         leaders = stored(ranked.select("key", F.col("one.doc_id").alias("leader"), F.col("one.label").alias("of")), "leaders")
-        met = named.join(leaders, "key").where("label <> `of`").select(
-            F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
-        pairs = stored(met.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = stored(links.unionByName(_verify(pairs, held, idf)), "links")
-        tested = tested.unionByName(pairs)
-        labels = stored(components(links), "labels")
+        ends = F.array_sort(F.array(F.struct("doc_id", "label"), F.struct(F.col("leader").alias("doc_id"), F.col("of").alias("label"))))
+        met = named.join(leaders, "key").where("label <> `of`").select(ends.alias("e")).distinct()
+        pairs = met.select(*[F.col("e")[i][f].alias(n + m) for i, n in enumerate("ab") for f, m in (("doc_id", ""), ("label", "_label"))])
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        new = stored(_verify(pairs, held, idf), "links")
+        links.append(new.select("a", "b"))
+        tested = tested.unionByName(pairs.select("a", "b"))
+        labels = stored(_merged(labels, new), "labels")
         # A leader has now met every text of another class in its bucket.
         done = leaders.select("key", F.col("leader").alias("doc_id"))
-        buckets = stored(named.select("key", "doc_id").join(done, ["key", "doc_id"], "left_anti"), "buckets")
+        buckets = named.select("key", "doc_id").join(done, ["key", "doc_id"], "left_anti")
+        buckets = stored(_second_bands(buckets) if first_round else buckets, "buckets")
         first_round = False
+    no_links = spark.createDataFrame([], "a long, b long")
+    labels = components(reduce(DataFrame.unionByName, links, no_links))
     classes = firsts.join(labels.withColumnRenamed("node", "first"), "first", "left").select(
         "tid", F.coalesce("label", "first").alias("class_id"))
     # Copies of one text may be a third of all rows: the join is split there, as its other side is small.
