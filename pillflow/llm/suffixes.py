@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pillflow.llm.common import stored, texts_of
+from pillflow.operators.lookups import hot_join
 
 #: Different regions of one anchor that are sorted together, at most.
 HOT = 2_000
@@ -410,7 +411,7 @@ def find_repeats(documents: DataFrame, span: int = 400, gram: int = 100) -> tupl
     zipped = F.explode(F.arrays_zip("h", "first", "last")).alias("r")
     windows = one_each.select("doc_id", "tid", zipped).select("doc_id", "tid", "r.*")
     often = windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    wanted = windows.join(often, "h", "left_semi").groupBy("doc_id", "tid").agg(
+    wanted = hot_join(windows, often, ["h"], "left_semi").groupBy("doc_id", "tid").agg(
         F.collect_list(F.struct("h", "first", "last")).alias("runs"))  # of one document: bounded by its length
     with_tid = rows.where(F.octet_length("text") >= span).withColumn("tid", F.unhex(F.sha2("text", 256)))
     held = stored(with_tid.join(wanted.hint("shuffle_hash"), ["doc_id", "tid"]), "texts", compression="zstd")
