@@ -10,9 +10,9 @@ shingles; a sample is the shingle itself with its level. Texts that agree in all
 
 In a bucket, texts are compared with a leader, whole texts by weighted Jaccard similarity, and linked from 0.8 on.
 Linked texts form classes. Buckets that then still hold several classes are cut: two of their texts stay together if
-they agree in a second band, as 99.7 in 100 texts that are 0.8 similar do, and few others. From there on leaders are
-taken from the smallest classes of a bucket, each compared with all texts of other classes, until each two texts of
-different classes in it have been compared. So no candidate pair is left out, while most pairs within a class never
+they agree in a second band, as 99.7 in 100 texts that are 0.8 similar do, and few others. Further leaders follow, first
+one at a time from the lowest class, then several from the smallest classes of a bucket, each compared with all texts
+of other classes, until each two texts of different classes in it have been compared. So no candidate pair is left out, while most pairs within a class never
 need to be looked at.
 
 Equal texts are one class from the start and take part once; empty texts, too, are equal. A null text, or a null
@@ -43,7 +43,9 @@ COUNTERS = 1 << 20
 SPAN = 0.25
 _CHUNK = 1 << 12
 _DIM_BITS = 14
-#: From the second round on a bucket has so many leaders at once, or more: one for each ROUNDS of its texts.
+#: In so many rounds a bucket has one leader, of its lowest class: the same text leads most buckets of a large group.
+FEW = 5
+#: After them a bucket has so many leaders at once, or more: one for each ROUNDS of its texts.
 LEADERS, ROUNDS = 8, 16
 
 
@@ -269,7 +271,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     tested = spark.createDataFrame([], "a long, b long")
     links: list[DataFrame] = []
     labels = wanted.withColumn("label", F.col("doc_id"))
-    first_round = True
+    number = 1
     while True:
         # Labels need not be final here: they only save comparisons within what is known to be one class.
         named = buckets.join(labels, "doc_id")
@@ -277,7 +279,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         named = stored(hot_join(named, mixed, ["key"], "left_semi"), "mixed")
         if named.isEmpty():
             break
-        if first_round:
+        if number <= FEW:
             ranked = named.groupBy("key").agg(F.min(F.struct(F.lit(1), "label", "doc_id")).alias("one"))
         else:
             sizes = named.groupBy("key", "label").agg(F.count("*").alias("size"))
@@ -297,8 +299,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         # A leader has now met every text of another class in its bucket.
         done = leaders.select("key", F.col("leader").alias("doc_id"))
         buckets = named.select("key", "doc_id").join(done, ["key", "doc_id"], "left_anti")
-        buckets = stored(_second_bands(buckets) if first_round else buckets, "buckets")
-        first_round = False
+        buckets = stored(_second_bands(buckets) if number == 1 else buckets, "buckets")
+        number += 1
     no_links = spark.createDataFrame([], "a long, b long")
     labels = components(reduce(DataFrame.unionByName, links, no_links))
     classes = firsts.join(labels.withColumnRenamed("node", "first"), "first", "left").select(
