@@ -1,8 +1,9 @@
 """Packing of documents into as few sequences of a fixed length as can be: best fit and swap-based local search.
 
 Pieces are dealt to groups by a hash and packed group by group: best fit, longest first, and then a local search
-among the underfull bins. It moves a piece, exchanges one for one or two for one whenever that raises the sum of
-squared fills, which drives the fill into few bins and empties others. The emptiest bins of each group are opened
+among all underfull bins. It moves a piece or two, exchanges one for one or two for one whenever that raises the sum of
+squared fills, which drives the fill into few bins and empties others, and ends when no two bins have such a step.
+Bins are found by what they can give, not by trying all pairs. The emptiest bins of each group are opened
 again and packed together on the next level, until one group is left. Nothing is dropped: every piece is in one bin.
 
 Null and empty texts have their end id and are packed like others; an empty table gives no rows.
@@ -13,6 +14,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -25,8 +27,6 @@ from pillflow.llm.common import stored, texts_of
 PER_GROUP = 20_000
 #: Bins a group may open again for the next level, the emptiest first. A level is thus much smaller than the last.
 REOPENED = 24
-#: Bins the local search looks at, the emptiest of a group.
-SEARCHED = 96
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -81,33 +81,90 @@ def _closest(values: list[int], most: int) -> int:
     return bisect_right(values, most) - 1
 
 
+class _Givers:
+    """Bins by what they can give, the length of one of their pieces or of two; of each length the emptiest bin first."""
+
+    def __init__(self, capacity: int):
+        self.heaps: list[list[tuple[int, int, int]]] = [[] for _ in range(capacity + 1)]
+        self.lowest = np.full(capacity + 1, 4 * capacity, np.int64)  # fill of the emptiest; bins since changed may count
+        self.version: dict[int, int] = {}
+
+    def put(self, k: int, fill: int, sizes: list[int]) -> None:
+        """Bin ``k`` with pieces of ``sizes``, ascending, in place of what was known of it."""
+        version = self.version[k] = self.version.get(k, 0) + 1
+        each = list(dict.fromkeys(sizes))
+        gives = {x + y for i, x in enumerate(each) for y in each[i + 1:]}.union(each)
+        gives.update(2 * x for x, y in zip(sizes, sizes[1:]) if x == y)
+        for length in gives:
+            if length < len(self.heaps):
+                heappush(self.heaps[length], (fill, k, version))
+                if fill < self.lowest[length]:
+                    self.lowest[length] = fill
+
+    def _top(self, length: int) -> tuple[int, int, int] | None:
+        heap = self.heaps[length]
+        while heap and self.version[heap[0][1]] != heap[0][2]:
+            heappop(heap)
+        self.lowest[length] = heap[0][0] if heap else 4 * len(self.heaps)
+        return heap[0] if heap else None
+
+    def emptiest(self, length: int, but: int) -> tuple[int, int]:
+        """(fill, bin) of the emptiest bin other than ``but`` that can give ``length``; (0, -1) if there is none."""
+        top = self._top(length)
+        if top and top[1] == but:
+            own = heappop(self.heaps[length])
+            top = self._top(length)
+            heappush(self.heaps[length], own)
+            self.lowest[length] = own[0]
+        return top[:2] if top else (0, -1)
+
+    def best_for(self, taker: int, fill: int, sizes: list[int], room: int) -> int:
+        """The bin that can fill most of the taker's ``room``, for one of its pieces or for none, or -1."""
+        best, giver = 0, -1
+        for back in dict.fromkeys([0, *sizes]):
+            if best == room:
+                break
+            low = back + best + 1
+            lengths = np.arange(low, back + room + 1)
+            for length in lengths[self.lowest[low:back + room + 1] - lengths < fill - back][::-1].tolist():
+                other, k = self.emptiest(length, taker)
+                if k >= 0 and other < fill + length - back:
+                    best, giver = length - back, k
+                    break
+        return giver
+
+
 def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Local search among underfull bins; every step raises the sum of squared fills. Empty bins are left out."""
+    """Local search among all underfull bins; every step raises the sum of squared fills. Empty bins are left out."""
     order = lambda i: (lengths[i], i)
     bins = [sorted(b, key=order) for b in bins]
     fill = [sum(lengths[i] for i in b) for b in bins]
+    sizes = [[lengths[i] for i in b] for b in bins]
+    givers = _Givers(capacity)
+    for k in range(len(bins)):
+        if 0 < fill[k] < capacity:
+            givers.put(k, fill[k], sizes[k])
     changed = True
     while changed:
         changed = False
-        ranked = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: fill[k])
-        for giver in ranked:
-            for taker in reversed(ranked):
-                if taker == giver or not fill[taker] or not fill[giver] or fill[taker] < fill[giver]:
-                    continue
-                while fill[taker] < capacity and bins[giver] and fill[taker] >= fill[giver]:
-                    step = _best_step(bins[giver], bins[taker], lengths, capacity - fill[taker])
-                    if step is None:
-                        break
-                    gain, out, back = step
-                    for i in out:
-                        bins[giver].remove(i)
-                        insort(bins[taker], i, key=order)
-                    for i in back:
-                        bins[taker].remove(i)
-                        insort(bins[giver], i, key=order)
-                    fill[giver] -= gain
-                    fill[taker] += gain
-                    changed = True
+        for taker in sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: -fill[k]):
+            while 0 < fill[taker] < capacity:
+                giver = givers.best_for(taker, fill[taker], sizes[taker], capacity - fill[taker])
+                if giver < 0:
+                    break
+                gain, out, back = _best_step(bins[giver], bins[taker], lengths, capacity - fill[taker])
+                for i in out:
+                    bins[giver].remove(i)
+                    insort(bins[taker], i, key=order)
+                for i in back:
+                    bins[taker].remove(i)
+                    insort(bins[giver], i, key=order)
+                fill[giver] -= gain
+                fill[taker] += gain
+                for k in (giver, taker):
+                    sizes[k] = [lengths[i] for i in bins[k]]
+                    givers.put(k, fill[k], sizes[k] if fill[k] < capacity else [])
+                changed = True
     return [b for b in bins if b]
 
 
@@ -115,35 +172,30 @@ def _best_step(giver: list[int], taker: list[int], lengths: list[int], room: int
     """The step that fills most of ``room``: (gain, items from the giver, items back), or None."""
     sizes = [lengths[i] for i in giver]
     best = (0, (), ())
-    k = _closest(sizes, room)
-    if k >= 0:
-        best = (sizes[k], (giver[k],), ())
-    for back in dict((lengths[i], i) for i in taker).values():
+    for back in [(), *((i,) for i in dict((lengths[i], i) for i in taker).values())]:
         if best[0] == room:
             break
-        most = room + lengths[back]
+        less = sum(lengths[i] for i in back)
+        most = room + less
         k = _closest(sizes, most)
-        if k >= 0 and sizes[k] - lengths[back] > best[0]:
-            best = (sizes[k] - lengths[back], (giver[k],), (back,))
+        if k >= 0 and sizes[k] - less > best[0]:
+            best = (sizes[k] - less, (giver[k],), back)
         low, high = 0, len(sizes) - 1
         while low < high:  # the pair with the largest sum up to `most`
             both = sizes[low] + sizes[high]
             if both > most:
                 high -= 1
             else:
-                if both - lengths[back] > best[0]:
-                    best = (both - lengths[back], (giver[low], giver[high]), (back,))
+                if both - less > best[0]:
+                    best = (both - less, (giver[low], giver[high]), back)
                 low += 1
     return best if best[0] > 0 else None
 
 
 def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
     """All steps for one group: bins of item numbers, fullest first."""
-    bins = best_fit(lengths, capacity)
-    bins.sort(key=lambda b: -sum(lengths[i] for i in b))
-    cut = max(0, len(bins) - SEARCHED)
-    rest = improve(bins[cut:], lengths, capacity)
-    return bins[:cut] + sorted(rest, key=lambda b: -sum(lengths[i] for i in b))
+    bins = improve(best_fit(lengths, capacity), lengths, capacity)
+    return sorted(bins, key=lambda b: -sum(lengths[i] for i in b))
 
 
 def _group_packer(capacity: int, level: int, last: bool):

@@ -196,3 +196,24 @@ def test_collisions_find_most_neighbours():
         hits += len(np.intersect1d(near_, true))
     assert hits >= 190
     assert len(index.candidates(rows[0], 4000)) == 4000
+
+
+def test_packing_searches_all_underfull_bins():
+    """A group with thousands of underfull bins after best fit, which full bins alone can hold."""
+    lengths = [2058, 1044, 1034, 1004, 1004] * 4000
+    bins = packing.pack_lengths(lengths, 4096)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    assert len(bins) == 6000 and all(sum(lengths[i] for i in b) == 4096 for b in bins)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=40))
+def test_packing_leaves_no_step(lengths):
+    bins = packing.improve([[i] for i in range(len(lengths))], lengths, 40)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    own = [[lengths[i] for i in b] for b in bins]
+    for g in range(len(own)):
+        gives = own[g] + [x + y for i, x in enumerate(own[g]) for y in own[g][i + 1:]]
+        for t in range(len(own)):
+            for gain in (v - back for v in gives for back in [0, *own[t]] if t != g):
+                assert not (0 < gain <= 40 - sum(own[t]) and sum(own[t]) + gain > sum(own[g]))
