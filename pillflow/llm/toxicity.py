@@ -2,7 +2,8 @@
 
 1. Word forms. A word stands for itself, if it has up to 12 bytes, and for its beginnings of 4 to 12 bytes. A bounded
    sample of labelled texts, ``SAMPLE`` at most, each text once, shows which forms occur in toxic texts far more often
-   than in others.
+   than in others. Counts alone decide, not the share of toxic texts that hold a form, so that small languages have
+   theirs; near copies of a text count once, or the words of one copied text would seem to tell. If more than ``FORMS`` are found, each toxic text in turn has its most telling ones kept.
 2. Voters. These forms are dealt to ``VOTERS`` lexicon voters by their first bytes, so that forms of one stem vote
    together. Such a voter says yes if a text holds its forms more often than chance has it in other texts of that
    length. Voters for patterns of the whole text are added (shouting, repeated marks, words of insult).
@@ -20,6 +21,7 @@ from, every score is the share of toxic labels. Repeated rows are scored alike.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,17 +34,15 @@ from pillflow.llm.common import stored, texts_of
 
 #: Labelled texts that word forms and the classifier are learned from, at most; chosen by a hash of their number.
 SAMPLE = 20_000
-#: Word forms kept, those that tell most.
+#: Word forms kept: first those that tell most in any toxic text, then the second of each, and so on.
 FORMS = 800
 VOTERS = 15
 #: A form must be found in so many toxic texts, and so many times more often in them than in others.
 LEAST, LIFT = 4, 8.0
+#: Keys that tell near copies among toxic texts of the sample.
+KIN = 5
 #: Lifts that part the tiers of forms; voters hold forms of one tier, so that a weak form speaks through a weak voter.
 TIERS = (60.0, 20.0)
-#: And in this share of toxic texts.
-LEAST_SHARE = 0.02
-#: Forms looked at before the best are kept.
-CANDIDATES = 50_000
 #: Share of given labels taken to be wrong.
 LABEL_ERRORS = 0.002
 
@@ -147,21 +147,71 @@ def insult_keys() -> np.ndarray:
 
 # --- word forms ----------------------------------------------------------------------------------------------------
 
+def passage_keys(text: str) -> list[int]:
+    """``KIN`` keys, each of three lowest hashes of runs of five words; near copies have one in common."""
+    first, second = word_keys(text)
+    words = (first ^ second * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+    n = min(5, len(words))
+    if not n:
+        return []
+    mixed = np.full(len(words) - n + 1, np.uint64(n))
+    for k in range(n):
+        mixed = (mixed ^ words[k:len(words) - n + 1 + k]) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(29)
+    odd = np.random.default_rng(5).integers(0, 1 << 62, 3 * KIN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    lows = np.array([(mixed * m).min() for m in odd]).reshape(KIN, 3)
+    keys = (lows[:, 0] * np.uint64(3) ^ lows[:, 1]) * np.uint64(5) ^ lows[:, 2] ^ np.arange(KIN, dtype=np.uint64)
+    return keys.view(np.int64).tolist()
+
+
+def _text_key(text: str) -> bytes:
+    return hashlib.md5(text.encode("utf-8", "ignore")).digest()
+
+
+def _kin(texts: DataFrame) -> dict[bytes, int]:
+    """For each text that has near copies the number of its group; ``texts`` are bounded as the sample is."""
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in texts_of(batches):
+            yield pd.DataFrame({"text": [_text_key(t) for t in batch["text"]], "keys": [passage_keys(t) for t in batch["text"]]})
+
+    rows = texts.select("text").mapInPandas(sign, "text binary, `keys` array<long>").collect()
+    group = list(range(len(rows)))
+
+    def top(i: int) -> int:
+        while group[i] != i:
+            group[i] = i = group[group[i]]
+        return i
+
+    first: dict[int, int] = {}
+    for i, row in enumerate(rows):
+        for key in row["keys"]:
+            group[top(i)] = top(first.setdefault(key, i))
+    size = np.bincount([top(i) for i in range(len(rows))], minlength=1)
+    return {bytes(row["text"]): top(i) for i, row in enumerate(rows) if size[top(i)] > 1}
+
+
 def choose_forms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The forms, ascending, that tell toxic texts from others in ``sample`` (``text``, ``toxic``).
 
     With them, how often each occurs in other texts, per word, and its tier: 0 for the most telling.
     """
 
+    kin = _kin(sample.where("toxic = 1"))
+
     def count_toxic(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in texts_of(batches):
-            each = [np.unique(forms_of(word_keys(t))) for t in batch["text"]]
-            forms, n = np.unique(np.concatenate([np.empty(0, np.uint64), *each]), return_counts=True)
-            yield pd.DataFrame({"form": forms.view(np.int64), "n": n})
+            groups: dict[int, list[np.ndarray]] = {}
+            for text in batch["text"]:
+                groups.setdefault(kin.get(_text_key(text), -1), []).append(np.unique(forms_of(word_keys(text))))
+            for group, each in groups.items():
+                forms, n = np.unique(np.concatenate(each), return_counts=True)
+                yield pd.DataFrame({"form": forms.view(np.int64), "kin": group, "n": n})
 
-    toxic = sample.where("toxic = 1").select("text").mapInPandas(count_toxic, "form long, n long")
+    toxic = sample.where("toxic = 1").select("text").mapInPandas(count_toxic, "form long, kin long, n long")
+    toxic = toxic.groupBy("form", "kin").agg(F.when(F.col("kin") < 0, F.sum("n")).otherwise(1).alias("n"))
     often = toxic.groupBy("form").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    rows = often.orderBy(F.desc("n"), "form").limit(CANDIDATES).toPandas()
+    rows = often.toPandas()  # bounded as the sample is
     forms = rows["form"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(forms)
     forms, yes = forms[order], rows["n"].to_numpy()[order]
@@ -172,12 +222,13 @@ def choose_forms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         for batch in texts_of(batches):
             for text in batch["text"]:
                 keys = word_keys(text)
-                hits = np.bincount(index.hits(keys), minlength=m)
-                total += hits > 0
-                every += hits
+                hits, times = np.unique(index.hits(keys), return_counts=True)
+                total[hits] += 1
+                every[hits] += times
                 texts += 1
                 words += len(keys[0])
-        yield pd.DataFrame({"at": np.arange(2 * m + 2), "n": np.concatenate([total, every, [texts, words]])})
+        n = np.concatenate([total, every, [texts, words]])
+        yield pd.DataFrame({"at": np.flatnonzero(n), "n": n[n > 0]})
 
     other = sample.where("toxic = 0").select("text").mapInPandas(count_other, "at long, n long")
     found = other.groupBy("at").agg(F.sum("n").alias("n")).toPandas().set_index("at")["n"]
@@ -186,13 +237,34 @@ def choose_forms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     n_toxic = sample.where("toxic = 1").count()
     # Both counts a standard error to the worse.
     lift = ((yes - np.sqrt(yes)) / max(1, n_toxic)) / ((no + np.sqrt(no) + 1) / max(1, n_other))
-    enough = (lift >= LIFT) & (yes >= LEAST_SHARE * n_toxic)
-    worth = np.where(enough, yes * np.log(np.maximum(lift, 1e-9)), -1)
-    best = [i for i in np.lexsort((forms, -worth))[:FORMS] if worth[i] > 0]
-    best = np.sort(best).astype(np.int64)
+    # And so many toxic texts among those with a form that chance would not bring about one such form of all looked at.
+    share, found = max(1, n_toxic) / max(1, n_toxic + n_other), yes + no
+    odds = yes * np.log(yes / (found * share)) + no * np.log(np.maximum(no, 1) / (found * max(1e-9, 1 - share)))
+    best = np.flatnonzero((lift >= LIFT) & (odds >= np.log(max(1, len(forms)))))
+    if len(best) > FORMS:
+        order = np.lexsort((forms[best], -yes[best] * np.log(lift[best])))
+        turn = _turns(sample.where("toxic = 1"), forms[best], np.argsort(order))
+        best = np.sort(best[np.lexsort((np.argsort(order), turn))[:FORMS]])
     return forms[best], (every[best] + 0.5) / max(1, words), np.searchsorted([-t for t in TIERS], -lift[best], "right")
 
 
+def _turns(toxic: DataFrame, forms: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each form its best place among the forms of any one text, by ``rank``."""
+    m = len(forms)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, turn = FormIndex(forms), np.full(m, m)
+        for batch in texts_of(batches):
+            for text in batch["text"]:
+                found = np.unique(index.hits(word_keys(text)))
+                found = found[np.argsort(rank[found])]
+                turn[found] = np.minimum(turn[found], np.arange(len(found)))
+        yield pd.DataFrame({"at": np.arange(m), "turn": turn})
+
+    placed = toxic.select("text").mapInPandas(place, "at long, turn long").groupBy("at").agg(F.min("turn").alias("turn"))
+    return placed.toPandas().set_index("at")["turn"].reindex(np.arange(m), fill_value=m).to_numpy()
+
+
 # --- label model ---------------------------------------------------------------------------------------------------
 
 @dataclass

@@ -109,6 +109,33 @@ def test_op1_learns_words(spark):
     assert scores[1000] == scores[1001] < 0.3
 
 
+def test_op1_learns_words_of_a_small_language(spark):
+    """One in a hundred toxic rows is in a language of its own; near copies of one toxic text teach no words."""
+    rng = np.random.default_rng(6)
+    small = lambda n: " ".join("".join(rng.choice(list("ßøæñžłqvwz"), rng.integers(3, 8))) for _ in range(n))
+    docs, labels = [], []
+    for i in range(3300):
+        bad = i % 3 == 0
+        docs.append((i, words(rng, 30) + (" you gonkhead " + words(rng, 5) if bad else "")))
+        labels.append((i, int(bad)))
+    for i in range(4000, 4200):
+        bad = i % 10 == 0
+        docs.append((i, small(15) + (" žurbløk " if bad else " ") + small(15)))
+        labels.append((i, int(bad)))
+    copied = small(60).split()
+    docs += [(5000 + i, " ".join(copied[:i] + copied[i + 1:])) for i in range(12)]
+    labels += [(5000 + i, 1) for i in range(12)]
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    given = [r for r in labels if not 2400 <= r[0] < 3300 and not 4110 <= r[0] < 4200]
+    model = toxicity.learn(documents, spark.createDataFrame(given, "doc_id long, toxic int"))
+    told = toxicity.FormIndex(model.forms)
+    assert len(told.hits(toxicity.word_keys("žurbløk"))) and len(told.hits(toxicity.word_keys("gonkhead")))
+    assert len(told.hits(toxicity.word_keys(" ".join(copied)))) == 0
+    scores = {r.doc_id: r.score for r in toxicity.score(documents, model).collect()}
+    held = [(scores[i] >= 0.3) == bool(t) for i, t in labels if 4110 <= i < 4200]
+    assert np.mean(held) > 0.97
+
+
 def test_op2(spark, folder, rows):
     found = result(spark, "op2_rans_tokens", folder).sort_values(["doc_id", "start"])
     ordered = sorted(rows, key=lambda r: r[0])
