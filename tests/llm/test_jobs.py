@@ -354,3 +354,13 @@ def test_equal_texts_are_one_class(spark):
     docs = spark.createDataFrame([(5, ""), (3, ""), (9, "a b"), (8, "A, b!"), (None, "a b"), (7, None)], "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in near.near_duplicates(docs).collect()} == {5: 3, 3: 3, 9: 8, 8: 8}
     assert sorted((r.doc_id or -1) for r in near.keep_one_each(docs).collect()) == [-1, 3, 7, 8]
+
+
+def test_candidates_of_one_band_are_compared(spark, monkeypatch):
+    """The lowest text leads the only bucket and is like no other; the pair behind it shares that one band alone."""
+    rng = np.random.default_rng(8)
+    one, base = words(rng, 100), words(rng, 100).split()
+    texts = [one, " ".join(base), " ".join(base[:99] + ["anders"]), words(rng, 100), " ".join(base[:30])]
+    monkeypatch.setattr(near, "bucket_keys", lambda found, weights: np.array([17], np.int64))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near.near_duplicates(docs).collect()} == {0: 0, 1: 1, 2: 1, 3: 3, 4: 4}
