@@ -15,7 +15,8 @@ removed. The work is cut into shards that can be sorted alone:
    128-bit hash, and windows are counted.
 
 Texts that occur more than once need no sorting themselves: if they have ``span`` bytes, all of them go. One copy of
-each takes part for the sake of other texts. Null and empty texts have no bytes; an empty table gives no rows.
+each takes part for the sake of other texts. Null and empty texts have no bytes; an empty table gives no rows. A row
+with a null ``doc_id`` is treated like any other: inside the job ids are texts, and that of a null is empty.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pillflow.llm.common import stored, texts_of
@@ -291,7 +292,7 @@ def repeated_windows(regions: list[bytes], span: int) -> list[np.ndarray]:
 
 # --- the job -------------------------------------------------------------------------------------------------------
 
-_RUNS = "doc_id long, tid binary, n_bytes long, h array<long>, first array<int>, last array<int>"
+_RUNS = "doc_id string, tid binary, n_bytes long, h array<long>, first array<int>, last array<int>"
 
 
 def _as_bytes(texts) -> list[bytes]:
@@ -343,7 +344,7 @@ def _cut_regions(texts: DataFrame, span: int) -> DataFrame:
 
     names = ["doc_id", "tid", "h", "start", "merged", "data", "same"]
     return texts.mapInPandas(
-        cut, "doc_id long, tid binary, h long, start int, merged boolean, data binary, same binary")
+        cut, "doc_id string, tid binary, h long, start int, merged boolean, data binary, same binary")
 
 
 def _ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -398,13 +399,18 @@ def _count_windows(kinds: DataFrame, span: int) -> DataFrame:
     return windows.join(often, ["a", "b"]).select("h", "same", F.col("at").alias("first"), F.col("at").alias("last"))
 
 
+def _id_of() -> Column:
+    """``doc_id`` as a text that is never null, so that it can be joined on and passes through pandas unchanged."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+
+
 def find_repeats(documents: DataFrame, span: int = 400, gram: int = 100) -> tuple[DataFrame, DataFrame]:
     """(all documents, changed documents).
 
-    All documents: ``doc_id``, ``tid`` (sha256 of the text), ``n_bytes``. Changed ones: ``doc_id``, ``tid``,
+    All documents: ``doc_id`` as a text (see ``_id_of``), ``tid`` (sha256 of the text), ``n_bytes``. Changed ones: ``doc_id``, ``tid``,
     ``n_removed``, ``n_spans`` and ``kept``, the bytes that are left.
     """
-    rows = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = documents.select(_id_of().alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     runs = stored(_find_runs(rows, span, gram), "runs")
     texts = runs.groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     one_each = runs.where("size(h) > 0").join(texts.select("doc_id", "tid"), ["doc_id", "tid"], "left_semi")
@@ -462,7 +468,7 @@ def _remove(cut_texts: DataFrame, span: int) -> DataFrame:
                 rows.append((doc_id, tid, int(gone.sum()), spans, np.frombuffer(data, np.uint8)[~gone].tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "tid", "n_removed", "n_spans", "kept"])
 
-    return cut_texts.mapInPandas(remove, "doc_id long, tid binary, n_removed long, n_spans long, kept binary")
+    return cut_texts.mapInPandas(remove, "doc_id string, tid binary, n_removed long, n_spans long, kept binary")
 
 
 def digest(documents: DataFrame, span: int = 400) -> DataFrame:
@@ -470,7 +476,7 @@ def digest(documents: DataFrame, span: int = 400) -> DataFrame:
     everything, changed = find_repeats(documents, span)
     facts = changed.select("doc_id", "tid", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     return everything.join(facts, ["doc_id", "tid"], "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.expr("nullif(doc_id, '')").cast("long").alias("doc_id"), "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce("kept_sha256", F.lower(F.hex("tid"))).alias("kept_sha256"))
 
@@ -484,12 +490,12 @@ def strip_repeats(documents: DataFrame, span: int = 400) -> DataFrame:
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "_tid": batch["tid"],
+            yield pd.DataFrame({"_id": batch["doc_id"], "_tid": batch["tid"],
                                 "_kept": [k.decode("utf-8", "ignore") for k in batch["kept"]]})
 
-    kept = changed.select("doc_id", "tid", "kept").mapInPandas(decode, "doc_id long, _tid binary, _kept string")
-    named = documents.withColumn("_tid", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
-    joined = named.join(kept, ["doc_id", "_tid"], "left")
+    kept = changed.select("doc_id", "tid", "kept").mapInPandas(decode, "_id string, _tid binary, _kept string")
+    named = documents.withColumn("_id", _id_of()).withColumn("_tid", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
+    joined = named.join(kept, ["_id", "_tid"], "left")
     if "n_chars" in documents.columns:
         joined = joined.withColumn(
             "n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast("long"))

@@ -364,3 +364,20 @@ def test_candidates_of_one_band_are_compared(spark, monkeypatch):
     monkeypatch.setattr(near, "bucket_keys", lambda found, weights: np.array([17], np.int64))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in near.near_duplicates(docs).collect()} == {0: 0, 1: 1, 2: 1, 3: 3, 4: 4}
+
+
+@pytest.mark.parametrize("hot", [suffixes.HOT, 0])
+def test_op4_rows_without_doc_id(spark, monkeypatch, hot):
+    """A passage shared with a row that has no id, a text that only such rows hold twice, one that a row shares, long ids."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    rng = np.random.default_rng(12)
+    passage, twice, both = words(rng, 120), words(rng, 110), words(rng, 130)
+    around = lambda: words(rng, 9) + " " + passage + " " + words(rng, 9)
+    rows = [(None, around()), ((1 << 60) + 1, around()), (None, twice), (None, twice), (7, both), (None, both),
+            (None, None), (None, "short"), (8, words(rng, 150)), (None, words(rng, 150))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    expected = [(d, *e) for (d, _), e in zip(rows, brute_removal([(t or "").encode() for _, t in rows], 400))]
+    found = [tuple(r) for r in suffixes.digest(docs, 400).collect()]
+    assert Counter(found) == Counter(expected)
+    left = Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in suffixes.strip_repeats(docs, 400).collect())
+    assert left == Counter((d, kept) for d, *_, kept in expected)
