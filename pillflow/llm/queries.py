@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pillflow.llm import collide, kdtree, langid, mixture, near, packing, piece_bpe, rans, suffixes, toxicity, vectors
+from pillflow.llm import collide, identifiers, kdtree, langid, mixture, near, packing, piece_bpe, rans, suffixes, toxicity, vectors
 from pillflow.llm.common import crc32_of, read
 
 SEQUENCE_TOKENS = 4096
@@ -82,9 +82,15 @@ def op10_mixture_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_offset_transducers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return identifiers.digest(identifiers.find_identifiers(documents))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_label_model, op2_rans_tokens, op3_bloom_languages, op4_induced_suffixes, op5_weighted_minhash, op6_kd_trees, op7_piece_bpe, op8_swap_packing, op9_collision_lines, op10_mixture_shards)
+        op1_label_model, op2_rans_tokens, op3_bloom_languages, op4_induced_suffixes, op5_weighted_minhash, op6_kd_trees, op7_piece_bpe, op8_swap_packing, op9_collision_lines, op10_mixture_shards,
+        op13_offset_transducers)
 }
 
 #: SQL for DuckDB where it can express the operator.
