@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pillflow.llm import collide, identifiers, kdtree, langid, mixture, near, packing, piece_bpe, rans, suffixes, toxicity, vectors
+from pillflow.llm import collide, identifiers, kdtree, langid, mixture, near, packing, phrases, piece_bpe, rans, suffixes, toxicity, vectors, whitening
 from pillflow.llm.common import crc32_of, read
 
 SEQUENCE_TOKENS = 4096
 SHARDS = 24
 REPEATED_BYTES = 400
 TOXIC_FROM = 0.3
+COMPONENTS = 32
 
 
 def op1_label_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +83,15 @@ def op10_mixture_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_son_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"), support=30, percent=80, first=2000)
+
+
+def op12_jacobi_davidson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened, model = whitening.whiten(read(spark, sf_dir, "embeddings"), COMPONENTS)
+    return whitening.by_component(whitened, model)
+
+
 def op13_offset_transducers(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     return identifiers.digest(identifiers.find_identifiers(documents))
@@ -90,7 +100,7 @@ def op13_offset_transducers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_label_model, op2_rans_tokens, op3_bloom_languages, op4_induced_suffixes, op5_weighted_minhash, op6_kd_trees, op7_piece_bpe, op8_swap_packing, op9_collision_lines, op10_mixture_shards,
-        op13_offset_transducers)
+        op11_son_phrases, op12_jacobi_davidson, op13_offset_transducers)
 }
 
 #: SQL for DuckDB where it can express the operator.
@@ -106,4 +116,40 @@ ORACLE_SQL: dict[str, str] = {
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
             FROM scored)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op11_son_phrases": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        numbered AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        words AS (SELECT lang, piece, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM numbered),
+        runs AS (
+            SELECT lang, w1, lead(w1, 1) OVER t AS w2, lead(w1, 2) OVER t AS w3, lead(w1, 3) OVER t AS w4
+            FROM words WINDOW t AS (PARTITION BY piece ORDER BY i)),
+        grams AS (
+            SELECT lang, 1 AS k, w1 AS phrase FROM runs
+            UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM runs WHERE w2 IS NOT NULL
+            UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM runs WHERE w3 IS NOT NULL
+            UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM runs WHERE w4 IS NOT NULL),
+        f AS (SELECT lang, k, phrase, lang || chr(10) || phrase AS key, count(*) AS a FROM grams GROUP BY ALL),
+        totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND a >= 30),
+        cuts AS (
+            SELECT lang, phrase, a, j, lang || chr(10) || array_to_string(w[1:j], ' ') AS lp,
+                lang || chr(10) || array_to_string(w[j + 1:], ' ') AS rp
+            FROM candidates, unnest(range(1, k)) AS places(j)),
+        scores AS (
+            SELECT c.lang, c.phrase, c.a, c.j, x.a AS l, y.a AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (x.a + y.a) AS BIGINT) AS score
+            FROM cuts c JOIN f x ON x.key = c.lp JOIN f y ON y.key = c.rp),
+        weakest AS (
+            SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        inner_ AS (
+            SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+            FROM candidates, (VALUES (2), (3)) AS ms(m), unnest(range(1, k - m + 2)) AS places(i)
+            WHERE m < k GROUP BY ALL),
+        ranked AS (
+            SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, w.a DESC, w.phrase) AS rank
+            FROM weakest w LEFT JOIN inner_ i ON i.lang = w.lang AND i.phrase = w.phrase
+            WHERE i.longer IS NULL OR 100 * CAST(i.longer AS HUGEINT) < 80 * CAST(w.a AS HUGEINT))
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }
