@@ -21,7 +21,8 @@ class Registration:
     """Register users: the first request per name wins, and the first user of all becomes administrator.
 
     ``last_number`` and ``last_id`` are the highest ever given, where that is known: a user who has been removed and
-    never ordered anything leaves no other trace.
+    never ordered anything leaves no other trace. ``has_admin`` tells whether there is an administrator; without it
+    that is seen from ``users_before``, which must then hold all users and not only those with names asked for.
     """
 
     users_before: DataFrame
@@ -29,6 +30,7 @@ class Registration:
     orders_before: DataFrame | None = None
     last_number: int = 0
     last_id: int = 0
+    has_admin: bool | None = None
 
     @cached_property
     def _firsts(self) -> DataFrame:
@@ -49,7 +51,7 @@ class Registration:
         last_number = max(users.number or 0, ordered or 0, self.last_number, FIRST_NUMBER - 1)
         last_id = max(users.id or 0, self.last_id)
         role = F.coalesce("role", F.lit(USER))
-        if not users.admins:
+        if not (users.admins if self.has_admin is None else self.has_admin):
             role = F.when(F.col("rang") == 1, ADMIN).otherwise(role)
         in_order = rank_rows(self._firsts.where(~F.col("taken")), "first_seq")
         return in_order.select(

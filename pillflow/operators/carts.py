@@ -97,16 +97,19 @@ class Checkout:
     before it, and theirs on the carts before them. Carts without customer or lines, or with a line that is not
     in the dispenser, never take anything. The others are settled in rounds: a cart that is the lowest for
     every one of its barcodes gets them, the carts that share a barcode with it do not, and both leave. The
-    lowest cart of all is settled in every round, so the rounds end. Carts in random order need few of them, but
-    a chain in which each cart waits for the one before needs one per link: when ``patience`` rounds have not
-    been enough and no more than ``few_lines`` cart lines are left, those are settled in order by one task.
+    lowest cart of all is settled in every round, so the rounds end; ``_fates`` keeps them few.
+
+    New orders are numbered on from ``last_order`` and ``last_group`` where these are given, else from the highest
+    numbers in ``orders_before``.
     """
 
     stock_before: DataFrame
-    orders_before: DataFrame
+    orders_before: DataFrame | None
     carts: DataFrame
     cart_lines: DataFrame
     as_of: AsOf
+    last_order: int | None = None
+    last_group: int | None = None
 
     @cached_property
     def _held(self) -> DataFrame:
@@ -162,8 +165,8 @@ class Checkout:
     @cached_property
     def groups(self) -> DataFrame:
         """Accepted carts with their order group, numbered on from the highest there is."""
-        highest = self.orders_before.agg(F.max("bestellgruppe_id")).first()[0]
-        base = FIRST_GROUP - 1 if highest is None else max(highest, FIRST_GROUP - 1)
+        highest = self.orders_before.agg(F.max("bestellgruppe_id")).first()[0] if self.last_group is None else self.last_group
+        base = max(highest or 0, FIRST_GROUP - 1)
         accepted = self.owners.select("cart_id").distinct()
         return rank_rows(accepted, "cart_id").select("cart_id", (F.col("rang") + base).alias("bestellgruppe_id"))
 
@@ -194,14 +197,14 @@ class Checkout:
     @cached_property
     def new_orders(self) -> DataFrame:
         """One order line per item, in the order of carts and lines."""
-        highest = self.orders_before.agg(F.max("id")).first()[0] or 0
+        highest = self.orders_before.agg(F.max("id")).first()[0] if self.last_order is None else self.last_order
         sold = self.owners.select("cart_id", "barcode").join(
             self.cart_lines.select("cart_id", "line_no", "barcode"), ["cart_id", "barcode"])
         ranked = rank_rows(sold.select("cart_id", "line_no", "barcode"), "cart_id", "line_no")
         customers = self.groups.join(self.carts.select("cart_id", "kundennummer"), "cart_id")
         named = L.hot_join(ranked, customers, ["cart_id"], "inner").join(self._held.select("barcode", "name"), "barcode")
         return named.select(
-            (F.col("rang") + highest).alias("id"), "bestellgruppe_id", "kundennummer", "barcode", "name",
+            (F.col("rang") + (highest or 0)).alias("id"), "bestellgruppe_id", "kundennummer", "barcode", "name",
             moment(self.as_of).alias("bestelldatum"), F.lit(OPEN).alias("status"))
 
     @cached_property

@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pillflow.functions import predicates as P
-from pillflow.functions.scalars import AsOf, channel_name
+from pillflow.functions.scalars import AsOf, channel_name, channel_number
 from pillflow.operators import lookups as L
-from pillflow.operators.ranking import free_numbers, number_slices, sorted_slices
+from pillflow.operators.ranking import free_numbers, number_slices, sorted_slices, take_lowest
 from pillflow.schemas import (BAD_BARCODE, DISPENSER, EMPTY_BARCODE, EXPIRED, NOT_FOUND, NOT_IN_DISPENSER, OK, STORE)
 from pillflow.session import keep
 
 
+_BEFORE_ALL = -(1 << 63)
+
+
 def _barcode_code():
     barcode = F.col("barcode")
     return F.when(~P.filled(barcode), EMPTY_BARCODE).when(~P.valid_barcode(barcode), BAD_BARCODE)
@@ -26,13 +29,18 @@ class Fill:
     """Move goods into the dispenser.
 
     Goods join the channel that already holds their name. Names without a channel take free numbers, lowest
-    first, in the order in which they first succeed. Goods without a name are never matched to a channel: each
+    first, in the order in which they first succeed. If a name has several channels its goods go to the lowest, and one
+    that is left empty is free for the requests that follow. Goods without a name are never matched to a channel: each
     barcode takes one of its own. Moving the same goods twice succeeds twice.
+
+    ``stock_before`` may be a part of the stock that holds all barcodes asked for; ``dispenser`` is then the stock in
+    which channels are in use.
     """
 
     stock_before: DataFrame
     requests: DataFrame
     as_of: AsOf
+    dispenser: DataFrame | None = None
 
     @cached_property
     def _asked(self) -> DataFrame:
@@ -45,7 +53,7 @@ class Fill:
     @cached_property
     def _held(self) -> DataFrame:
         """Channels in use, one row per channel and name: a small part of the stock that is looked at thrice."""
-        return keep(L.held_channels(self.stock_before))
+        return keep(L.held_channels(self.stock_before if self.dispenser is None else self.dispenser))
 
     @cached_property
     def channels(self) -> DataFrame:
@@ -64,9 +72,31 @@ class Fill:
         )
         in_order = sorted_slices(wanted, "first_seq")
         numbers = free_numbers(L.channel_numbers(self._held), in_order.count())
-        named = number_slices(in_order).join(numbers, "rang")
+        if self._released.isEmpty():
+            named = number_slices(in_order).join(numbers, "rang")
+        else:
+            free = numbers.select("nummer", F.lit(_BEFORE_ALL).alias("since")).unionByName(self._released)
+            taken = take_lowest(in_order.select(F.col("first_seq").alias("at")), free)
+            named = in_order.join(taken.withColumnRenamed("at", "first_seq"), "first_seq")
         return named.select("einheit", channel_name(F.col("nummer")).alias("kanal"))
 
+    @cached_property
+    def _released(self) -> DataFrame:
+        """Channels in use that the batch empties, ``nummer``, with the request that does so, ``since``.
+
+        Goods leave their channel when they are refilled and their name has a lower one, or when they have no name.
+        Nothing comes into such a channel before it is free: only the lowest of a name takes goods in.
+        """
+        inside = self.stock_before if self.dispenser is None else self.dispenser
+        inside = inside.where((F.col("ort") == DISPENSER) & (F.col("kanal") != "")).select("barcode", "kanal")
+        target = L.lowest_channels(self._held).select("name", F.col("kanal").alias("ziel"))
+        moved = L.hot_join(self._asked.where(~F.col("spoiled")), target, ["name"])
+        leaving = inside.join(moved.select("barcode", "first_seq", "ziel"), "barcode").where(~F.col("ziel").eqNullSafe(F.col("kanal")))
+        leaving = leaving.groupBy("kanal").agg(F.count("*").alias("gone"), F.max("first_seq").alias("since"))
+        size = L.hot_join(inside, leaving.select("kanal"), ["kanal"], "left_semi").groupBy("kanal").agg(F.count("*").alias("n"))
+        emptied = leaving.join(size, "kanal").where("gone = n").withColumn("nummer", channel_number(F.col("kanal")))
+        return keep(emptied.where(F.col("nummer").isNotNull()).groupBy("nummer").agg(F.max("since").alias("since")))
+
     @cached_property
     def _placed(self) -> DataFrame:
         """Each barcode asked for with the channel it goes to; NULL where it is spoiled."""

@@ -28,13 +28,15 @@ def read_table(spark: SparkSession, table: str, path: str, buckets: int = 0) ->
     return spark.table(name)
 
 
-def write_table(df: DataFrame, table: str, path: str, buckets: int = 0) -> None:
-    """Write a table to a new folder. Defaults are filled in here, so that reading can filter in the scan.
-
-    In buckets, the table need not be shuffled when requests are joined to it.
-    """
+def stored_form(df: DataFrame, table: str) -> DataFrame:
+    """Columns and types of a table. Defaults are filled in here, so that reading can filter in the scan."""
     columns = [f.name for f in TABLES[table].fields]
-    rows = with_defaults(df.select(*columns).to(TABLES[table]), table)
+    return with_defaults(df.select(*columns).to(TABLES[table]), table)
+
+
+def write_table(df: DataFrame, table: str, path: str, buckets: int = 0) -> None:
+    """Write a table to a new folder. In buckets, it need not be shuffled when requests are joined to it."""
+    rows = stored_form(df, table)
     if not (buckets and table in BUCKET_KEYS):
         rows.write.mode("errorifexists").parquet(path)
         return

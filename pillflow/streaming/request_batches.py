@@ -1,4 +1,8 @@
-"""Requests as micro-batches against the current snapshot."""
+"""Requests as micro-batches against the current snapshot.
+
+An operation reads the pieces of a table that its requests name, judges the requests once, and says what changes.
+Outcomes, new state and log entries come from the same result.
+"""
 
 from __future__ import annotations
 
@@ -6,68 +10,124 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pillflow.functions.scalars import AsOf
+from pillflow.operators import audit
+from pillflow.operators.accounts import Registration, remove_users
 from pillflow.operators.carts import Checkout
 from pillflow.operators.dispenser import Fill, Return
+from pillflow.operators.lookups import open_lines_of
 from pillflow.operators.orders import Cancellation, set_order_status
 from pillflow.operators.stockroom import Intake, Removal
+from pillflow.schemas import ADMIN
 from pillflow.session import keep
-from pillflow.sources.snapshots import Snapshots
+from pillflow.sources.action_log import write_log
+from pillflow.sources.snapshots import Append, Change, Rewrite, Snapshots
+
+
+@dataclass(frozen=True)
+class Step:
+    """What a batch of requests does: changes of tables, outcomes, and the log entries it makes at a given time."""
+
+    changes: dict[str, Change]
+    outcomes: DataFrame | None = None
+    log: Callable[[AsOf], DataFrame] | None = None
+
+
+Operation = Callable[[Snapshots, DataFrame], Step]
 
-# What a batch of requests does: (snapshots, requests) -> (changed tables, outcomes or None).
-Operation = Callable[[Snapshots, DataFrame], tuple[dict[str, DataFrame], DataFrame | None]]
+
+def _logged(operation: str, outcomes: DataFrame) -> Callable[[AsOf], DataFrame]:
+    return lambda at: audit.audit_log(operation, outcomes, at)
 
 
 def intake(as_of: AsOf) -> Operation:
-    def run(tables: Snapshots, requests: DataFrame):
-        result = Intake(tables.read("stock"), tables.read("orders"), requests, as_of)
-        return {"stock": result.stock}, result.outcomes
+    def run(tables: Snapshots, requests: DataFrame) -> Step:
+        stock, _ = tables.near("stock", requests)
+        result = Intake(stock, tables.read("orders"), requests, as_of)
+        outcomes = keep(result.outcomes)
+        return Step({"stock": Append(result.accepted)}, outcomes, _logged("intake", outcomes))
     return run
 
 
 def removal() -> Operation:
-    def run(tables: Snapshots, requests: DataFrame):
-        result = Removal(tables.read("stock"), requests)
-        return {"stock": result.stock}, result.outcomes
+    def run(tables: Snapshots, requests: DataFrame) -> Step:
+        stock, pieces = tables.near("stock", requests)
+        result = Removal(stock, requests)
+        outcomes = keep(result.outcomes)
+        return Step({"stock": Rewrite(result.stock, pieces)}, outcomes, _logged("removal", outcomes))
     return run
 
 
 def fill(as_of: AsOf) -> Operation:
-    def run(tables: Snapshots, requests: DataFrame):
-        result = Fill(tables.read("stock"), requests, as_of)
-        return {"stock": result.stock}, result.outcomes
+    """Channels are those of the whole dispenser, goods those that are asked for."""
+    def run(tables: Snapshots, requests: DataFrame) -> Step:
+        stock, pieces = tables.near("stock", requests)
+        result = Fill(stock, requests, as_of, tables.read("stock"))
+        outcomes = keep(result.outcomes)
+        return Step({"stock": Rewrite(result.stock, pieces)}, outcomes, _logged("fill", outcomes))
     return run
 
 
 def give_back() -> Operation:
-    def run(tables: Snapshots, requests: DataFrame):
-        result = Return(tables.read("stock"), requests)
-        return {"stock": result.stock}, result.outcomes
+    def run(tables: Snapshots, requests: DataFrame) -> Step:
+        stock, pieces = tables.near("stock", requests)
+        result = Return(stock, requests)
+        outcomes = keep(result.outcomes)
+        return Step({"stock": Rewrite(result.stock, pieces)}, outcomes, _logged("return", outcomes))
     return run
 
 
 def checkout(as_of: AsOf) -> Operation:
     """Requests are cart lines with their ``kundennummer``; a cart arrives within one micro-batch."""
-    def run(tables: Snapshots, requests: DataFrame):
+    def run(tables: Snapshots, requests: DataFrame) -> Step:
         carts = requests.select("cart_id", "kundennummer").distinct()
         lines = requests.select("cart_id", "line_no", "barcode").where("barcode is not null")
-        result = Checkout(tables.read("stock"), tables.read("orders"), carts, lines, as_of)
-        return {"stock": result.stock, "orders": result.orders}, result.outcomes
+        stock, pieces = tables.near("stock", lines)
+        given = tables.counters()
+        result = Checkout(stock, None, carts, lines, as_of, given.get("order_id", 0), given.get("order_group", 0))
+        changes = {"stock": Rewrite(result.stock, pieces), "orders": Append(result.new_orders)}
+        return Step(changes, result.outcomes, lambda at: audit.checkout_log(result, at))
     return run
 
 
 def cancellation(as_of: AsOf) -> Operation:
-    def run(tables: Snapshots, requests: DataFrame):
-        result = Cancellation(tables.read("stock"), tables.read("orders"), requests, as_of)
-        return {"stock": result.stock, "orders": result.orders}, result.outcomes
+    def run(tables: Snapshots, requests: DataFrame) -> Step:
+        orders, order_pieces = tables.near("orders", requests)
+        pairs = requests.select("bestellgruppe_id", "kundennummer").distinct()
+        stock, stock_pieces = tables.near("stock", open_lines_of(pairs, orders).select("barcode"))
+        result = Cancellation(stock, orders, requests, as_of)
+        changes = {"stock": Rewrite(result.stock, stock_pieces), "orders": Rewrite(result.orders, order_pieces)}
+        return Step(changes, result.outcomes, lambda at: audit.cancellation_log(result, at))
     return run
 
 
 def status_change() -> Operation:
-    def run(tables: Snapshots, requests: DataFrame):
-        return {"orders": set_order_status(tables.read("orders"), requests)}, None
+    def run(tables: Snapshots, requests: DataFrame) -> Step:
+        orders, pieces = tables.near("orders", requests)
+        return Step({"orders": Rewrite(set_order_status(orders, requests), pieces)}, None, lambda at: audit.status_log(requests, at))
+    return run
+
+
+def registration() -> Operation:
+    """Numbers go on from the highest ever published, those of users since removed included."""
+    def run(tables: Snapshots, requests: DataFrame) -> Step:
+        users, _ = tables.near("users", requests)
+        given = tables.counters()
+        has_admin = not tables.read("users").where(F.col("role") == ADMIN).isEmpty()
+        result = Registration(users, requests, None, given.get("customer_number", 0), given.get("user_id", 0), has_admin)
+        outcomes = keep(result.outcomes)
+        return Step({"users": Append(result.new_users)}, outcomes, _logged("registration", outcomes))
+    return run
+
+
+def user_removal() -> Operation:
+    """Requests name users; the reference to them in orders stays, and so do the numbers given."""
+    def run(tables: Snapshots, requests: DataFrame) -> Step:
+        users, pieces = tables.near("users", requests)
+        return Step({"users": Rewrite(remove_users(users, requests), pieces)})
     return run
 
 
@@ -76,22 +136,27 @@ class RequestStream:
     """Applies an operation to each micro-batch and publishes the result as a new snapshot.
 
     The number of the micro-batch is published together with the tables, so one that Spark hands over again
-    after a failure is passed over. The outcomes of each micro-batch go to a folder of their own.
+    after a failure is passed over. The outcomes of each micro-batch go to a folder of their own, and so do the log
+    entries it makes where ``log_path`` is given, with the time ``at``.
     """
 
     name: str
     tables: Snapshots
     operation: Operation
     outcomes_path: str
+    log_path: str | None = None
+    at: AsOf | None = None
 
     def apply(self, requests: DataFrame, batch_id: int) -> None:
         if self.tables.has_batch(self.name, batch_id):
             return
-        # Both outcomes and state are made from the requests, which are read and parsed once.
-        changed, outcomes = self.operation(self.tables, keep(requests))
-        if outcomes is not None:
-            outcomes.write.mode("overwrite").parquet(f"{self.outcomes_path}/batch={batch_id}")
-        self.tables.commit(changed, self.name, batch_id)
+        # All results are made from the requests, which are read and parsed once.
+        step = self.operation(self.tables, keep(requests))
+        if step.outcomes is not None:
+            step.outcomes.write.mode("overwrite").parquet(f"{self.outcomes_path}/batch={batch_id}")
+        if self.log_path and step.log is not None:
+            write_log(step.log(self.at), f"{self.log_path}/{self.name}-{batch_id}")
+        self.tables.commit(step.changes, self.name, batch_id)
 
     def start(self, requests: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return (

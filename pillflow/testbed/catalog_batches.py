@@ -16,7 +16,7 @@ from pillflow.operators.stockroom import Intake, Removal
 from pillflow.plans import log_views, quality, stock_views
 from pillflow.session import scratch_path
 from pillflow.sources import action_log
-from pillflow.sources.snapshots import Snapshots
+from pillflow.sources.snapshots import Append, Rewrite, Snapshots
 from pillflow.streaming import log_ingest, request_batches
 from pillflow.testbed.catalog_reads import _REFRESHED
 from pillflow.testbed.mapping import AS_OF, AS_OF_TIME, Domain
@@ -218,8 +218,10 @@ def _snapshot_roundtrip(d: Domain):
     tables = Snapshots(d.spark, scratch_path(d.spark, "snapshots"))
     tables.create_if_absent()
     tables.commit({"stock": d.stock, "orders": d.bestellungen})
-    tables.commit({"stock": Removal(tables.read("stock"), d.barcode_req).stock})
-    tables.stage({"stock": Intake(tables.read("stock"), tables.read("orders"), d.intake_req, AS_OF).stock})
+    stock, pieces = tables.near("stock", d.barcode_req)
+    tables.commit({"stock": Rewrite(Removal(stock, d.barcode_req).stock, pieces)})
+    stock, _ = tables.near("stock", d.intake_req)
+    tables.stage({"stock": Append(Intake(stock, tables.read("orders"), d.intake_req, AS_OF).accepted)})
     return tables.read("stock")
 
 
@@ -251,7 +253,7 @@ def _streamed(d: Domain, operation: request_batches.Operation, requests: DataFra
     source, root, out, state = (scratch_path(d.spark, n) for n in ("requests", "snapshots", "outcomes", "state"))
     requests.write.parquet(source)
     tables = Snapshots(d.spark, root)
-    tables.commit({"stock": d.stock, "orders": d.bestellungen})
+    tables.commit({"stock": d.stock, "orders": d.bestellungen, "users": d.users})
     stream = request_batches.RequestStream("requests", tables, operation, out)
     stream.start(d.spark.readStream.schema(requests.schema).parquet(source), state).awaitTermination()
     return tables.read(table)
@@ -476,6 +478,12 @@ BATCHES = {
         "SELECT * FROM bestellungen UNION ALL SELECT * FROM new_orders", _CHECKOUT),
     "l2_cancellation_stream": (
         lambda d: _streamed(d, request_batches.cancellation(AS_OF), d.cancel_req, "orders"), _CANCELLED_ORDERS, _CANCEL),
+    "l2_registration_stream": (
+        lambda d: _streamed(d, request_batches.registration(), d.user_req, "users"),
+        "SELECT * FROM directory UNION ALL BY NAME SELECT * FROM entered", "directory AS (SELECT * FROM users)," + _REGISTER),
+    "l2_user_removal_stream": (
+        lambda d: _streamed(d, request_batches.user_removal(), d.leaving, "users"),
+        "SELECT * FROM users WHERE username NOT IN (SELECT username FROM leaving)", ""),
     "l2_status_stream": (
         lambda d: _streamed(d, request_batches.status_change(), d.status_req, "orders"), _SET_ORDERS, ""),
 }

@@ -110,6 +110,47 @@ def test_fill(spark, seed):
     same_stock(result.stock, shop)
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_fill_with_names_in_several_channels(spark, seed):
+    """Refilled goods go to the lowest channel of their name, and channels left empty are given out again."""
+    rng = random.Random(100 + seed)
+    shop = Shop(TODAY, NOW)
+    numbers = rng.sample(range(1, 40), 30)
+    for i in range(90):
+        name = f"name {rng.randrange(30)}"
+        inside = rng.random() < 0.5 and name < "name 2"
+        shop.stock[str(10000000 + i)] = [name, 1, dt.date(2001, 1, 1) if rng.random() < 0.9 else None, "Automat" if inside else "Lager",
+                                         f"Kanal {rng.choice(numbers)}" if inside else None]
+    before = {tuple(r[3:]) for r in shop.stock.values() if r[4]}
+    requests = [(i, barcode(rng, 95)) for i in rng.sample(range(1000), 160)]
+    stock = frames(spark, shop)["stock"]
+    expected = [(seq, *shop.fill(b)) for seq, b in sorted(requests, key=lambda r: r[0])]
+    result = Fill(stock, spark.createDataFrame(requests, S.BARCODE_REQUESTS), TODAY)
+    assert rows(result.outcomes, "seq", "code", "detail") == sorted(expected, key=repr)
+    same_stock(result.stock, shop)
+    assert result._released.count() > 0 and before
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_lowest_free_numbers(spark, seed):
+    """Against handing out numbers one by one from a heap."""
+    import heapq
+
+    from pillflow.operators.ranking import take_lowest
+    rng = random.Random(seed)
+    times = rng.sample(range(1, 500), 80)
+    needs, freed = times[:40 + 10 * seed], times[40 + 10 * seed:]
+    values = rng.sample(range(1, 200), len(needs) + len(freed))
+    numbers = [(v, -1) for v in values[:len(needs)]] + list(zip(values[len(needs):], freed))
+    pool, expected, waiting = [], [], sorted((s, v) for v, s in numbers)
+    for at in sorted(needs):
+        while waiting and waiting[0][0] < at:
+            heapq.heappush(pool, waiting.pop(0)[1])
+        expected.append((at, heapq.heappop(pool)))
+    found = take_lowest(spark.createDataFrame([(t,) for t in needs], "at long"), spark.createDataFrame(numbers, "nummer long, since long"))
+    assert rows(found, "at", "nummer") == sorted(expected, key=repr)
+
+
 @pytest.mark.parametrize("seed", SEEDS)
 def test_return(spark, seed):
     rng, shop = a_shop(seed)

@@ -13,7 +13,7 @@ from pillflow.operators.ranking import free_numbers, rank_rows
 from pillflow.operators.stockroom import Intake
 from pillflow.plans import log_views, order_views, quality, stock_views
 from pillflow.sources import action_log, tables
-from pillflow.sources.snapshots import Snapshots
+from pillflow.sources.snapshots import Append, Snapshots
 from pillflow.streaming import log_ingest, request_batches
 
 TODAY = dt.date(2000, 1, 1)
@@ -237,3 +237,118 @@ def test_all_operations_on_snapshots(spark, tmp_path):
     checkout = spark.read.parquet(str(tmp_path / "outcomes4"))
     assert values(checkout.select("cart_id", "code", "detail")) == [
         (1, "OK", "100000"), (2, "LINE_UNAVAILABLE", barcodes[1]), (3, "NO_CUSTOMER", None)]
+
+
+def files_of(df):
+    return {f.rsplit("/", 2)[-2] + "/" + f.rsplit("/", 1)[-1] for f in df.inputFiles()}
+
+
+def test_a_small_batch_rewrites_its_pieces_only(spark, tmp_path):
+    """Ten barcodes of thousands: few files are read, few are written, all others stay in place."""
+    store = Snapshots(spark, str(tmp_path / "store"), pieces=64)
+    stock = spark.range(5000).select(
+        (F.col("id") + 10000000).cast("string").alias("barcode"), F.lit("a").alias("name"), F.lit(1).alias("menge"),
+        F.lit(LATER).alias("verfallsdatum"), F.lit("Lager").alias("ort"), F.lit(None).cast("string").alias("kanal"))
+    store.commit({"stock": stock})
+    before = store.manifest().parts["stock"]
+    assert len(before) == 64 and all(len(paths) == 1 for paths in before.values())
+    gone = [str(10000000 + 37 * i) for i in range(10)]
+    requests = spark.createDataFrame(list(enumerate(gone)), S.BARCODE_REQUESTS)
+    near, pieces = store.near("stock", requests)
+    assert 1 < len(pieces) <= 10 and len(near.inputFiles()) == len(pieces)
+    stream = request_batches.RequestStream("removal", store, request_batches.removal(), str(tmp_path / "outcomes"))
+    stream.apply(requests, 0)
+    after = store.manifest().parts["stock"]
+    assert {p for p in before if before[p] != after.get(p)} == set(pieces)
+    assert {f for f in files_of(store.read("stock"))} >= {f for f in files_of(store.read("stock", set(before) - set(pieces)))}
+    left = {r.barcode for r in store.read("stock").collect()}
+    assert left == {str(10000000 + i) for i in range(5000)} - set(gone)
+
+
+def test_added_rows_lie_beside_the_old_ones(spark, tmp_path):
+    """Additions write no old rows again, until a piece has many parts."""
+    store = Snapshots(spark, str(tmp_path / "store"), pieces=1)
+    store.create_if_absent()
+    most = []
+    for i in range(12):
+        store.commit({"stock": Append(stock_of(spark, (str(10000000 + i), "a", None)))})
+        most.append(len(store.manifest().parts["stock"][0]))
+    assert most == [1, 2, 3, 4, 5, 6, 7, 8, 1, 2, 3, 4]
+    assert values(store.read("stock").select("barcode")) == [(str(10000000 + i),) for i in range(12)]
+
+
+def test_a_writer_that_died_leaves_no_trace(spark, tmp_path):
+    root = tmp_path / "store"
+    store = Snapshots(spark, str(root))
+    store.commit({"stock": stock_of(spark, ("1", "a", None))})
+    (root / "published" / "version=2").mkdir()
+    assert store.version() == 1 and Snapshots(spark, str(root)).read("stock").count() == 1
+    assert store.commit({"stock": stock_of(spark)}) == 2 and store.read("stock").isEmpty()
+    emptied = store.manifest()
+    assert emptied.parts["stock"] == {} and Snapshots(spark, str(root)).manifest().entries() == emptied.entries()
+
+
+def test_a_reader_stays_with_its_version(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path / "store"))
+    store.commit({"stock": stock_of(spark, ("1", "a", None))})
+    old = store.read("stock")
+    store.commit({"stock": stock_of(spark, ("2", "b", None), (None, "c", None))})
+    assert values(old.select("barcode")) == [("1",)] and values(store.read("stock").select("barcode")) == [("2",), (None,)]
+
+
+def test_numbers_are_never_given_twice(spark, tmp_path):
+    """A user who never ordered is removed; after a restart the next one gets a new number and id."""
+    root = str(tmp_path / "store")
+
+    def apply(name, operation, rows, schema, batch=0):
+        store = Snapshots(spark, root)
+        store.create_if_absent()
+        request_batches.RequestStream(name, store, operation, str(tmp_path / name)).apply(spark.createDataFrame(rows, schema), batch)
+        return {r.username: (r.id, r.kundennummer, r.role) for r in store.read("users").collect()}
+
+    ask = request_batches.registration
+    first = apply("register", ask(), [(1, "a", None), (2, "b", None), (3, "a", None), (4, None, None)], S.USER_REQUESTS)
+    assert first == {"a": (1, "10000000", "admin"), "b": (2, "10000001", "user")}
+    assert apply("leave", request_batches.user_removal(), [("b",), ("nobody",)], "username string").keys() == {"a"}
+    again = apply("register", ask(), [(5, "c", None), (6, "b", None)], S.USER_REQUESTS, 1)
+    assert again == {"a": first["a"], "c": (3, "10000002", "user"), "b": (4, "10000003", "user")}
+    assert apply("leave", request_batches.user_removal(), [("a",), ("b",), ("c",)], "username string", 1) == {}
+    assert apply("register", ask(), [(7, "d", "user")], S.USER_REQUESTS, 2) == {"d": (5, "10000004", "admin")}
+    codes = spark.read.parquet(str(tmp_path / "register")).groupBy("code").count()
+    assert values(codes) == [("MISSING_FIELD", 1), ("OK", 5), ("TAKEN", 1)]
+
+
+def test_order_numbers_go_on_from_the_manifest(spark, tmp_path):
+    """Orders are added to the pieces of their group; none of the old ones is read for the next number."""
+    store = Snapshots(spark, str(tmp_path / "store"), pieces=4)
+    store.create_if_absent()
+    schema = "cart_id long, line_no long, barcode string, kundennummer string"
+    for batch in range(2):
+        goods = [str(10000000 + 10 * batch + i) for i in range(3)]
+        store.commit({"stock": Append(stock_of(spark, *[(b, "a", "Kanal 1") for b in goods]))})
+        lines = [(10 * batch + i, 1, b, "K") for i, b in enumerate(goods)]
+        request_batches.RequestStream("checkout", store, request_batches.checkout(NOON), str(tmp_path / "out")).apply(
+            spark.createDataFrame(lines, schema), batch)
+    assert values(store.read("orders").select("id", "bestellgruppe_id")) == [(i + 1, 100000 + i) for i in range(6)]
+    assert store.counters() == {"order_id": 6, "order_group": 100005}
+    assert store.read("stock").isEmpty()
+
+
+def test_streams_write_the_action_log(spark, tmp_path):
+    """Entries of all micro-batches, each once though one is handed over again before it was published."""
+    store = Snapshots(spark, str(tmp_path / "store"))
+    store.create_if_absent()
+    log = str(tmp_path / "log")
+    stream = request_batches.RequestStream("intake", store, request_batches.intake(TODAY), str(tmp_path / "outcomes"), log, NOON)
+    for batch in range(2):
+        rows = [(k, f"1000000{k + batch}", "a", "2001-01-01", None) for k in range(2)]
+        requests = spark.createDataFrame(rows, S.INTAKE_REQUESTS)
+        publish, store.commit = store.commit, lambda *a: None  # dies before it publishes
+        stream.apply(requests, batch)
+        store.commit = publish
+        stream.apply(requests, batch)
+    entries = values(action_log.read_log(spark, log))
+    assert entries == [("2000-01-01 12:00:00", "Unbekannt", f"📦 Medikament hinzugefügt: a (Barcode: 1000000{k})") for k in range(3)]
+    streamed = action_log.stream_log(spark, log)
+    log_ingest.ingest_log(streamed, str(tmp_path / "days"), str(tmp_path / "state")).awaitTermination()
+    assert log_ingest.read_ingested(spark, str(tmp_path / "days")).count() == 3
