@@ -35,6 +35,27 @@ def crc32_of(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores more as it takes to differ from all columns, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_text_id(documents: DataFrame, *columns: str) -> DataFrame:
+    """``doc_id`` and further columns, ``doc_id`` as a text: numbers beside a null one would lose digits in pandas."""
+    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), *columns)
+
+
+def with_own_id(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """``rows`` with ``doc_id`` brought back from text to the type it has in ``documents``."""
+    return rows.withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType))
+
+
 def texts_of(batches: Iterator[pd.DataFrame], column: str = "text") -> Iterator[pd.DataFrame]:
     """Batches in which a missing text is empty."""
     for batch in batches:

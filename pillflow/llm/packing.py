@@ -3,8 +3,9 @@
 Pieces are dealt to groups by a hash and packed group by group: best fit, longest first, and then a local search
 among all underfull bins. It moves a piece or two, exchanges one for one or two for one whenever that raises the sum of
 squared fills, which drives the fill into few bins and empties others, and ends when no two bins have such a step.
-Bins are found by what they can give, not by trying all pairs. The emptiest bins of each group are opened
-again and packed together on the next level, until one group is left. Nothing is dropped: every piece is in one bin.
+Bins are found by what they can give, not by trying all pairs. The emptiest bins of each group, up to an eighth of
+its pieces, are opened again and packed together on the next level, until one group is left. At least half of the
+pieces settle on each level, so the levels end. Nothing is dropped: every piece is in one bin.
 
 Null and empty texts have their end id and are packed like others; an empty table gives no rows.
 """
@@ -18,25 +19,27 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pillflow.llm.common import stored, texts_of
+from pillflow.llm.common import stored, texts_of, with_own_id, with_text_id
+from pillflow.llm.tokens import word_encoder
 
 #: Pieces in a group, on average; a group is packed in one task.
 PER_GROUP = 20_000
-#: Bins a group may open again for the next level, the emptiest first. A level is thus much smaller than the last.
-REOPENED = 24
+#: The share of its pieces that a group may open again for the next level, the emptiest bins first.
+REOPENED = 1 / 8
+#: The emptiest bin may be opened alone if it has no larger share than this.
+ALONE = 1 / 2
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
 def cut_documents(documents: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
     """The pieces of all documents: ids of the whole text and the end id, cut only where longer than ``capacity``."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pillflow.llm.tokens import word_encoder
-
         encoder = word_encoder(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in texts_of(batches):
@@ -48,7 +51,7 @@ def cut_documents(documents: DataFrame, path: str, end_id: int, capacity: int) -
                     rows.append((doc_id, k, k * capacity, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return documents.select("doc_id", "text").mapInPandas(cut, PIECES)
+    return with_own_id(with_text_id(documents, "text").mapInPandas(cut, PIECES), documents)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -198,21 +201,34 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
     return sorted(bins, key=lambda b: -sum(lengths[i] for i in b))
 
 
+def opened_again(bins: list[list[int]], lengths: list[int], capacity: int) -> list[int]:
+    """Items of the underfull bins that are packed once more, the emptiest first; ``bins`` come fullest first."""
+    items: list[int] = []
+    for b in reversed(bins):
+        share = (len(items) + len(b)) / len(lengths)
+        if sum(lengths[i] for i in b) == capacity or share > (REOPENED if items else ALONE):
+            break
+        items += b
+    return items
+
+
 def _group_packer(capacity: int, level: int, last: bool):
-    def one_group(rows: pd.DataFrame) -> pd.DataFrame:
-        lengths = rows["length"].tolist()
+    def one_group(rows: pa.Table) -> pa.Table:
+        lengths = rows.column("length").to_pylist()
         bins = pack_lengths(lengths, capacity)
-        sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        settled = np.ones(len(rows), bool)
-        first = (level << 56) | (int(rows["_group"].iloc[0]) << 24)
+        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        settled = np.ones(len(lengths), bool)
+        first = (level << 56) | (rows.column("_group")[0].as_py() << 24)
         for k, b in enumerate(bins):
             at = 0
             for i in b:
                 sequence[i], offset[i] = first + k, at
                 at += lengths[i]
-            if not last and k >= len(bins) - REOPENED and at < capacity:
-                settled[b] = False
-        return rows.assign(sequence_id=sequence, offset=offset, _settled=settled)
+        if not last:
+            settled[opened_again(bins, lengths, capacity)] = False
+        for name, values in (("sequence_id", sequence), ("offset", offset), ("_settled", settled)):
+            rows = rows.append_column(name, pa.array(values))
+        return rows
 
     return one_group
 
@@ -229,7 +245,7 @@ def pack(pieces: DataFrame, capacity: int, per_group: int = PER_GROUP) -> DataFr
         last = groups == 1
 
         dealt = items.withColumn("_group", F.pmod(F.xxhash64("_item"), F.lit(groups)))
-        packed = stored(dealt.groupBy("_group").applyInPandas(_group_packer(capacity, level, last), layout), f"pack-{level}")
+        packed = stored(dealt.groupBy("_group").applyInArrow(_group_packer(capacity, level, last), layout), f"pack-{level}")
         settled = packed.where("_settled").drop("_group", "_settled", "_item")
         done = settled if done is None else done.unionByName(settled)
         if last:
