@@ -18,7 +18,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from pillflow.llm.common import texts_of, worker_cache
+from pillflow.llm.common import texts_of, with_own_id, with_text_id, worker_cache
 from pillflow.llm.tokens import PieceCache
 
 #: Distinct pre-tokens a worker remembers before it starts again.
@@ -120,7 +120,7 @@ def encode_texts(documents: DataFrame, model: bytes, pattern: str) -> DataFrame:
         for batch in texts_of(batches):
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": bpe.all_ids(list(batch["text"]))})
 
-    return documents.select("doc_id", "text").mapInPandas(encode, "doc_id long, ids binary")
+    return with_own_id(with_text_id(documents, "text").mapInPandas(encode, "doc_id string, ids binary"), documents)
 
 
 def digest_round_trip(documents: DataFrame, model: bytes, pattern: str) -> DataFrame:
@@ -137,5 +137,6 @@ def digest_round_trip(documents: DataFrame, model: bytes, pattern: str) -> DataF
                 rows.append((doc_id, len(ids), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents.select("doc_id", "text").mapInPandas(
-        both, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    digests = with_text_id(documents, "text").mapInPandas(
+        both, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return with_own_id(digests, documents)

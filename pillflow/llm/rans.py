@@ -6,7 +6,8 @@ stream. Every ``STRIDE`` tokens the block has a checkpoint, the place in the str
 there, so that its parts can be decoded in parallel, and each part has a crc32 of its tokens.
 
 The container is a Parquet folder of blocks, which Spark commits as a whole, and a folder with the table.
-Documents without tokens take no room but keep their place. Empty tables give an empty container.
+Documents without tokens take no room but keep their place; the container holds ``doc_id`` as a text, null ones, which
+come first, and repeated ones included. Empty tables give an empty container.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pillflow.llm.common import stored, texts_of
+from pillflow.llm.common import stored, texts_of, with_text_id
+from pillflow.llm.tokens import byte_encoder
 
 BITS = 16
 LANES = 2048
@@ -28,7 +31,7 @@ STRIDE = 1 << 17
 BLOCK = 1 << 19
 _LOW = 1 << 16
 
-BLOCKS = ("slice int, block int, docs array<long>, lengths array<long>, n_tokens long, words binary, "
+BLOCKS = ("slice int, block int, docs array<string>, lengths array<long>, n_tokens long, words binary, "
           "states binary, places array<long>, checks array<long>")
 
 
@@ -192,7 +195,7 @@ def read_container(spark: SparkSession, table_rows: DataFrame, blocks: DataFrame
                 })
 
     return blocks.mapInPandas(
-        decode, "slice int, block int, doc_id long, start_in_block long, n_tokens long, ids_crc32 long")
+        decode, "slice int, block int, doc_id string, start_in_block long, n_tokens long, ids_crc32 long")
 
 
 def decode_block(table: Table, row) -> np.ndarray:
@@ -208,8 +211,8 @@ def decode_block(table: Table, row) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, np.uint32)
 
 
-def starts_of(documents: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Adds ``start``: the number of tokens in all documents before."""
+def starts_of(documents: DataFrame, blocks: DataFrame, id_type: str = "long") -> DataFrame:
+    """Adds ``start``: the number of tokens in all documents before; ``doc_id`` is brought back to its type."""
     # A slice is a partition of the sorted documents, so its blocks are few; the sums over slices are one row each.
     sizes = blocks.select("slice", "block", "n_tokens")
     before = Window.partitionBy("slice").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -220,7 +223,7 @@ def starts_of(documents: DataFrame, blocks: DataFrame) -> DataFrame:
     offsets = in_slice.join(slices, "slice").select(
         "slice", "block", (F.col("_before") + F.col("_start")).alias("_offset"))
     return documents.join(offsets, ["slice", "block"]).select(
-        "doc_id", (F.col("_offset") + F.col("start_in_block")).alias("start"), "n_tokens", "ids_crc32")
+        F.col("doc_id").cast(id_type).alias("doc_id"), (F.col("_offset") + F.col("start_in_block")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def tokenize(documents: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -229,10 +232,6 @@ def tokenize(documents: DataFrame, path: str, end_id: int) -> DataFrame:
     The sorted rows are written, so that a lost executor cannot move the cuts between slices.
     """
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        from pillflow.llm.tokens import byte_encoder
-
         encoder, part, place = byte_encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u2").tobytes()
         for batch in texts_of(batches):
@@ -243,4 +242,4 @@ def tokenize(documents: DataFrame, path: str, end_id: int) -> DataFrame:
     rows = documents.select("doc_id", "text")
     parts = max(1, rows.rdd.getNumPartitions())
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    return stored(ordered.mapInPandas(encode, "slice int, place int, doc_id long, ids binary"), "tokens", compression="zstd")
+    return stored(with_text_id(ordered, "text").mapInPandas(encode, "slice int, place int, doc_id string, ids binary"), "tokens", compression="zstd")
