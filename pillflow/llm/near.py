@@ -16,7 +16,8 @@ alone keep them below 0.8, as the similarity is the ratio of these totals at mos
 band are compared, in one class, or known not to be similar; banding misses 0.02 in 100 texts that are 0.8 similar.
 
 Equal texts are one class from the start and take part once; empty texts, too, are equal. A null text, or a null
-``doc_id``, is a class of its own. A ``doc_id`` is taken to name one text; repeated rows are in one class.
+``doc_id``, is a class of its own. Different texts of one ``doc_id`` are compared like others; repeated rows are in
+one class.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pillflow.llm.common import stored, worker_cache
+from pillflow.llm.common import stored, unused, worker_cache
 from pillflow.llm.components import components
 from pillflow.llm.suffixes import Hashes
 from pillflow.llm.toxicity import is_word_byte
@@ -245,19 +246,24 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return hot_join(labels, step, ["label"]).select("doc_id", F.coalesce("to", "label").alias("label"))
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """``doc_id``, ``class_id`` (the lowest ``doc_id`` of the class) for every row with a text and a ``doc_id``."""
+def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``doc_id``, ``tid`` of all rows with a text and a ``doc_id``; ``tid``, ``class_id`` of all distinct texts)."""
     spark = documents.sparkSession
     texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     idf = spark.sparkContext.broadcast(idf_table(*document_frequencies(texts)))  # 4 MB, whatever the data
     signed = stored(_sign(texts, idf), "signed")
-    firsts = signed.groupBy("tid").agg(F.min("doc_id").alias("first"))
-    once = signed.join(firsts.select("tid", F.col("first").alias("doc_id")), ["tid", "doc_id"], "left_semi")
+    # Distinct texts are numbered, as a ``doc_id`` may name several: the numbers stand for them in all that follows.
+    firsts = stored(signed.groupBy("tid").agg(F.min("doc_id").alias("first")).withColumn("text_no", F.monotonically_increasing_id()), "firsts")
+    numbered = firsts.withColumnRenamed("first", "doc_id")
+    once = signed.join(numbered, ["tid", "doc_id"]).drop("doc_id").withColumnRenamed("text_no", "doc_id")
     rows = once.select("doc_id", "weight", F.explode("keys").alias("key")).distinct()
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = stored(hot_join(rows, shared, ["key"], "left_semi"), "buckets")
     wanted = stored(buckets.select("doc_id").distinct(), "wanted")
-    held = stored(texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
+    places = numbered.join(wanted.withColumnRenamed("doc_id", "text_no"), "text_no")
+    named_texts = texts.withColumn("tid", F.unhex(F.sha2("text", 256)))
+    held = named_texts.join(places.hint("shuffle_hash"), ["tid", "doc_id"]).select(F.col("text_no").alias("doc_id"), "text")
+    held = stored(held.dropDuplicates(["doc_id"]), "near-texts")
 
     tested = spark.createDataFrame([], "a long, b long")
     links: list[DataFrame] = []
@@ -295,16 +301,28 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         number += 1
     no_links = spark.createDataFrame([], "a long, b long")
     labels = components(reduce(DataFrame.unionByName, links, no_links))
-    classes = firsts.join(labels.withColumnRenamed("node", "first"), "first", "left").select(
-        "tid", F.coalesce("label", "first").alias("class_id"))
+    labelled = firsts.join(labels.withColumnRenamed("node", "text_no"), "text_no", "left").select(
+        "tid", "first", F.coalesce("label", "text_no").alias("label"))
+    lowest = labelled.groupBy("label").agg(F.min("first").alias("class_id"))
+    return signed.select("doc_id", "tid"), hot_join(labelled.select("tid", "label"), lowest, ["label"], "inner").select("tid", "class_id", "label")
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """``doc_id``, ``class_id`` (the lowest ``doc_id`` of the class) for every row with a text and a ``doc_id``."""
+    rows, classes = _classes(documents)
     # Copies of one text may be a third of all rows: the join is split there, as its other side is small.
     keyed = classes.select(F.concat(F.lit("="), F.hex("tid")).alias("_key"), "class_id")
-    return signed.select("doc_id", F.concat(F.lit("="), F.hex("tid")).alias("_key")).join(keyed, "_key").select("doc_id", "class_id")
+    return rows.select("doc_id", F.concat(F.lit("="), F.hex("tid")).alias("_key")).join(keyed, "_key").select("doc_id", "class_id")
 
 
 def keep_one_each(documents: DataFrame) -> DataFrame:
-    """``documents`` with one row of each class: that of the lowest ``doc_id``."""
-    kept = near_duplicates(documents).where("doc_id = class_id").select("doc_id").distinct()
+    """``documents`` with one row of each class: that of the lowest ``doc_id``, and of the lowest hash if it has several texts."""
+    rows, classes = _classes(documents)
+    of_text = rows.groupBy("tid").agg(F.min("doc_id").alias("doc_id")).join(classes, "tid")
+    kept = of_text.groupBy("label").agg(F.min(F.struct("doc_id", "tid")).alias("one")).select("one.doc_id", "one.tid")
+    id_, tid = unused(documents.columns, "_id", "_tid")
     alone = documents.where("doc_id is null or text is null")
-    rest = documents.where("doc_id is not null and text is not null").join(kept, "doc_id", "left_semi")
-    return rest.dropDuplicates(["doc_id"]).select(documents.columns).unionByName(alone)
+    named = documents.where("doc_id is not null and text is not null").withColumns({
+        id_: F.col("doc_id"), tid: F.unhex(F.sha2("text", 256))})
+    rest = named.join(kept.toDF(id_, tid), [id_, tid], "left_semi").dropDuplicates([id_, tid])
+    return rest.select(documents.columns).unionByName(alone)

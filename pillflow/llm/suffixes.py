@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pillflow.llm.common import stored, texts_of
+from pillflow.llm.common import stored, texts_of, unused
 from pillflow.operators.lookups import hot_join
 
 #: Different regions of one anchor that are sorted together, at most.
@@ -490,13 +490,15 @@ def strip_repeats(documents: DataFrame, span: int = 400) -> DataFrame:
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"_id": batch["doc_id"], "_tid": batch["tid"],
-                                "_kept": [k.decode("utf-8", "ignore") for k in batch["kept"]]})
-
-    kept = changed.select("doc_id", "tid", "kept").mapInPandas(decode, "_id string, _tid binary, _kept string")
-    named = documents.withColumn("_id", _id_of()).withColumn("_tid", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
-    joined = named.join(kept, ["_id", "_tid"], "left")
+            batch["kept"] = [k.decode("utf-8", "ignore") for k in batch["kept"]]
+            yield batch
+
+    # Columns of the documents may have any names.
+    id_, tid, kept = unused(documents.columns, "_id", "_tid", "_kept")
+    left = changed.select("doc_id", "tid", "kept").mapInPandas(decode, "doc_id string, tid binary, kept string").toDF(id_, tid, kept)
+    named = documents.withColumns({id_: _id_of(), tid: F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))})
+    joined = named.join(left, [id_, tid], "left")
     if "n_chars" in documents.columns:
         joined = joined.withColumn(
-            "n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast("long"))
-    return joined.withColumn("text", F.coalesce("_kept", "text")).select(documents.columns)
+            "n_chars", F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept)).cast("long"))
+    return joined.withColumn("text", F.coalesce(kept, "text")).select(documents.columns)
