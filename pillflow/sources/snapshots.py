@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pillflow.schemas import TABLES
+from pillflow.sources.folders import newest_published, numbered
 from pillflow.sources.tables import BUCKET_KEYS, empty_table, read_table, stored_form, write_table
 
 #: Choose the number of pieces so that one is some hundred megabytes large.
@@ -106,24 +107,13 @@ class Snapshots:
         self.pieces = pieces
         self._known = Manifest()
 
-    def _names(self, path: str) -> list[str]:
-        """What lies in a folder, by name."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
-
     def create_if_absent(self) -> None:
         """Start with empty tables unless there are some."""
         if self.version() is None:
             self.commit({table: empty_table(self.spark, table) for table in TABLES})
 
     def version(self) -> int | None:
-        published = f"{self.root}/published"
-        for version in sorted((int(n.removeprefix("version=")) for n in self._names(published) if n.startswith("version=")), reverse=True):
-            # A folder without its file is left over from a writer that did not get to the end.
-            if any(n.startswith("part-") for n in self._names(f"{published}/version={version}")):
-                return version
-        return None
+        return newest_published(self.spark, f"{self.root}/published")
 
     def manifest(self) -> Manifest:
         """The current manifest."""
@@ -183,7 +173,7 @@ class Snapshots:
         rows = stored_form(change.rows, table).withColumn("_piece", piece_of(table, self.pieces))
         # A piece is brought together before it is written, and a large one cut again.
         rows.hint("rebalance", "_piece").write.partitionBy("_piece").parquet(path)
-        folders = {int(n.removeprefix("_piece=")): f"{path}/{n}" for n in self._names(path) if n.startswith("_piece=")}
+        folders = {n: f"{path}/_piece={n}" for n in numbered(self.spark, path, "_piece")}
         return Staged(folders, change.pieces, 0, self._highest(table, list(folders.values())))
 
     def _highest(self, table: str, folders: list[str]) -> dict[str, int]:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pillflow import schemas as S
 from pillflow.operators import audit, expiry
 from pillflow.operators.accounts import Registration, remove_users
 from pillflow.operators.carts import CartScans, Checkout
@@ -248,6 +249,20 @@ def _streamed_log(d: Domain):
     return log_ingest.read_ingested(d.spark, target)
 
 
+def _compacted_log(d: Domain):
+    """The log in four micro-batches, in no order of days, compacted after three of them and again at the end."""
+    source, target, state = (scratch_path(d.spark, n) for n in ("csv", "days", "state"))
+    part = F.pmod(F.xxhash64(*S.ACTION_LOG.names), F.lit(4))
+    for i in range(4):
+        action_log.append_log(d.action_log.where(part == i), source)
+        log_ingest.ingest_log(action_log.stream_log(d.spark, source), target, state).awaitTermination()
+        if i == 2:
+            log_ingest.compact_days(d.spark, target)
+    log_ingest.compact_days(d.spark, target, whole=True)
+    log_ingest.drop_merged(d.spark, target)
+    return log_ingest.read_ingested(d.spark, target)
+
+
 def _streamed(d: Domain, operation: request_batches.Operation, requests: DataFrame, table: str):
     """Requests as a stream of files against snapshots; the table as it is afterwards."""
     source, root, out, state = (scratch_path(d.spark, n) for n in ("requests", "snapshots", "outcomes", "state"))
@@ -461,8 +476,11 @@ BATCHES = {
     "l1_log_ingest": (
         _streamed_log,
         "SELECT *, CAST(zeitstempel AS TIMESTAMP) AS ts, CAST(substring(zeitstempel, 1, 10) AS DATE) AS tag FROM action_log", ""),
+    "l1_log_compaction": (
+        _compacted_log,
+        "SELECT *, CAST(zeitstempel AS TIMESTAMP) AS ts, CAST(substring(zeitstempel, 1, 10) AS DATE) AS tag FROM action_log", ""),
     "k5_log_review_by_day": (
-        lambda d: log_views.log_review_stored(_streamed_log(d), "2024-01-15", "06:00:00", "18:00:00"),
+        lambda d: log_views.log_review_stored(_compacted_log(d), "2024-01-15", "06:00:00", "18:00:00"),
         """SELECT zeitstempel AS "Zeitstempel", kundennummer AS "Benutzer", aktion AS "Aktion"
            FROM action_log WHERE zeitstempel BETWEEN '2024-01-15 06:00:00' AND '2024-01-15 18:00:00'""", ""),
     "l2_intake_stream": (

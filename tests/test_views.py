@@ -352,3 +352,35 @@ def test_streams_write_the_action_log(spark, tmp_path):
     streamed = action_log.stream_log(spark, log)
     log_ingest.ingest_log(streamed, str(tmp_path / "days"), str(tmp_path / "state")).awaitTermination()
     assert log_ingest.read_ingested(spark, str(tmp_path / "days")).count() == 3
+
+
+def test_days_are_compacted(spark, tmp_path):
+    """Many micro-batches, one folder a day; what came since, a late entry and a replayed micro-batch are seen."""
+    source, target, state = (str(tmp_path / n) for n in ("csv", "days", "state"))
+    rows = [(f"2024-01-0{1 + i % 3} 10:00:0{i % 10}", "K", f"a{i}") for i in range(12)]
+    for i, row in enumerate(rows):
+        action_log.append_log(spark.createDataFrame([row, rows[0]], S.ACTION_LOG), source)
+        log_ingest.ingest_log(action_log.stream_log(spark, source), target, state).awaitTermination()
+        if i in (4, 7, 11):
+            log_ingest.compact_days(spark, target)
+    now = log_ingest.compacted(spark, target)
+    assert now.upto == 10 and sorted(f.rsplit("/", 1)[1] for f in now.folders) == [f"tag=2024-01-0{d}" for d in (1, 2, 3)]
+    stored = log_ingest.read_ingested(spark, target)
+    assert values(stored.select("aktion")) == sorted([(f"a{i}",) for i in range(12)] + [("a0",)] * 12, key=repr)
+    # The last micro-batch is handed over again.
+    last = log_ingest.by_day(action_log.read_log(spark, source)).where("aktion = 'a11'")
+    last.write.mode("overwrite").partitionBy("tag").parquet(f"{target}/batches/batch=11")
+    assert log_ingest.read_ingested(spark, target).where("aktion = 'a11'").count() == 1
+    log_ingest.compact_days(spark, target, whole=True)
+    log_ingest.drop_merged(spark, target)
+    after = log_ingest.read_ingested(spark, target)
+    assert after.count() == 23 and len(after.inputFiles()) == 3
+    day = log_views.log_review_stored(after, "2024-01-02")
+    assert day.count() == 4
+    assert "PartitionFilters: [isnotnull(tag" in day._jdf.queryExecution().toString()
+    assert log_ingest.compact_days(spark, target).upto == 11 and log_ingest.read_ingested(spark, target).count() == 23
+
+
+def test_log_without_entries(spark, tmp_path):
+    assert log_ingest.read_ingested(spark, str(tmp_path / "none")).isEmpty()
+    assert log_ingest.compact_days(spark, str(tmp_path / "none")).version == 0
