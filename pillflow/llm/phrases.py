@@ -5,24 +5,24 @@ another within a piece. Languages are separate throughout. A phrase is frequent
 
 1. Words are counted exactly: for the sizes of languages, for the parts of phrases, and because a phrase with a rare
    word is rare. Frequent words go into a Bloom filter of fixed size; what it lets through by mistake only costs time.
-2. Each language is dealt to shards of about ``SHARD_WORDS`` words. A shard with a share ``w`` of its language's words
-   is mined completely at the support lowered to ``w * support`` (rounded up), level by level: a phrase of k words can
-   only be frequent there where both its parts of k - 1 words are. Any phrase that is frequent in all reaches the
-   lowered support in one shard at least, since the lowered supports of all shards less one each add up to less than
-   ``support``; so the union of what shards find misses nothing.
+2. The texts form ``SHARDS`` shards, the input's partitions dealt out in turn. A shard with a share ``w`` of a
+   language's words is mined completely at the support lowered to ``w * support`` (rounded up): first pairs of
+   words, then longer phrases all of whose pairs may be frequent. Tasks count what they hold and Spark adds up by
+   shard, so a shard may be of any size, and lowered supports do not sink to one when the data grow.
+   Any phrase that is frequent in all reaches the lowered support in one shard at least, since the lowered supports of
+   all shards less one each add up to less than ``support``; so the union of what shards find misses nothing.
 3. Of the union those can be dropped that cannot be frequent even if each shard that did not report them had as many
-   as it may have without a report. The others go into a Bloom filter, again of fixed size, and are
-   counted exactly over all texts; the final join with the union keeps candidates only.
+   as it may have without a report. The others go into a Bloom filter, again of fixed size, and are counted exactly
+   over all texts.
 
-Lowered supports are above one as long as a language has fewer shards than ``support``. Beyond that a shard reports
-all its phrases of frequent words, and its counts are exact already: the union holds then what any exact count has to
-shuffle, and the bound of step 3 leaves the frequent phrases alone.
+Shards tell phrases apart by hashes of 64 bits. Two phrases of one hash have the sum of their counts there, so that
+none is lost; the counts in the end are of phrases written out.
 
 The weakest cut of a phrase into two parts gives its score, and phrases that are mostly parts of a longer frequent one
 are left out; both are joins and minima over frequent phrases. Counts are whole numbers, products decimal.
 
 A null text is empty, a null language is ``und``; equal texts and repeated rows are counted one by one; a very long
-text is in one shard as a whole; an empty table gives no rows. Ties are settled by score, count and phrase.
+text is counted as a whole; an empty table gives no rows. Ties are settled by score, count and phrase.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +42,8 @@ from pillflow.llm.common import stored
 from pillflow.operators.lookups import hot_join
 
 LONGEST = 4
-#: Words in a shard, on average; a shard is mined in one task.
-SHARD_WORDS = 5_000_000
+#: Shards; with equal ones the support is lowered to a tenth.
+SHARDS = 10
 #: Bytes of text that are counted together in the passes over all texts.
 CHUNK = 16_000_000
 #: A Bloom filter has 2**FILTER_BITS bits (4 MB) however many keys it holds; that is all that is sent to tasks.
@@ -123,34 +124,36 @@ def _holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-def bloom(phrases: DataFrame) -> np.ndarray:
-    """The filter of all rows of ``phrases`` (``lang``, ``phrase``), made in tasks: a row per word of 64 bits that is not empty."""
+def word_keys(words: DataFrame) -> DataFrame:
+    """``key``, the hash of each word of ``lang``, ``phrase``."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [int(_word_hashes(lang, [word.encode()])[0]) for lang, word in zip(*(batch.column(c).to_pylist() for c in ("lang", "phrase")))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64))], ["key"])
+
+    return words.select("lang", "phrase").mapInArrow(hashed, "`key` long")
+
+
+def bloom(keys: DataFrame) -> np.ndarray:
+    """The filter of all rows of ``keys`` (``key``), made in tasks; a row per word of 64 bits that is not empty reaches the driver."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
+        own = np.zeros(1 << FILTER_BITS, bool)
         for batch in batches:
-            hashes = [_phrase_hash(*row) for row in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())]
-            for place in _places(np.array(hashes, np.uint64)):
-                np.bitwise_or.at(own, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
-        words = own.view("<i8")
+            for place in _places(batch.column("key").to_numpy().view(np.uint64)):
+                own[place] = True
+        words = np.packbits(own, bitorder="little").view("<i8")
         used = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used])], ["at", "bits"])
 
-    rows = phrases.select("lang", "phrase").mapInArrow(fill, "at long, bits long")
+    rows = keys.select("key").mapInArrow(fill, "at long, bits long")
     merged = rows.groupBy("at").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
     whole = np.zeros(1 << FILTER_BITS >> 6, "<i8")
     whole[merged["at"].to_numpy(np.int64)] = merged["bits"].to_numpy(np.int64)
     return whole.view(np.uint8)
 
 
-def _phrase_hash(lang: str, phrase: str) -> int:
-    hashes = _word_hashes(lang, phrase.encode().split(b" "))
-    total = hashes[:1]
-    for i in range(1, len(hashes)):
-        total = _longer(total, hashes[i:i + 1])
-    return int(total[0])
-
-
 def _rows(lang: str, phrases: list[bytes], **columns: np.ndarray) -> pa.RecordBatch:
     arrays = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string())]
     return pa.RecordBatch.from_arrays([*arrays, *map(pa.array, columns.values())], ["lang", "phrase", *columns])
@@ -160,7 +163,7 @@ def _in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words]]
     """The words of all rows language by language, given out when a language, or all together, are large enough."""
     held: dict[str, Words] = {}
     for batch in batches:
-        for (lang,), texts in _by_language(batch):
+        for lang, texts in _by_language(batch):
             held.setdefault(lang, Words()).add(texts)
             largest = max(held, key=lambda k: held[k].size)
             if held[largest].size > CHUNK or sum(w.size for w in held.values()) > 2 * CHUNK:
@@ -169,12 +172,11 @@ def _in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words]]
         yield held.popitem()
 
 
-def _by_language(batch: pa.RecordBatch, *keys: str) -> Iterator[tuple[tuple, list[bytes]]]:
-    """The texts of a batch by ``lang`` and further key columns."""
-    groups: dict[tuple, list[bytes]] = {}
-    texts = batch.column("text").cast(pa.binary()).to_pylist()
-    for key, text in zip(zip(*(batch.column(k).to_pylist() for k in ("lang", *keys))), texts):
-        groups.setdefault(key, []).append(text)
+def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
+    """The texts of a batch by ``lang``."""
+    groups: dict[str, list[bytes]] = {}
+    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+        groups.setdefault(lang, []).append(text)
     yield from groups.items()
 
 
@@ -224,58 +226,72 @@ def _written(ids: np.ndarray, names: list[bytes], places: np.ndarray, k: int) ->
     return list(map(b" ".join, zip(*columns)))
 
 
-def _without_rare(ids: np.ndarray, lang: str, names: list[bytes], bits: np.ndarray) -> np.ndarray:
+def _without_rare(ids: np.ndarray, hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Words that are not in the filter become breaks."""
-    frequent = np.append(_holds(bits, _word_hashes(lang, names)), False)  # the last one for breaks
+    frequent = np.append(_holds(bits, hashes), False)  # the last one for breaks
     return np.where(frequent[ids], ids, np.int32(_BREAK))
 
 
-def mine_shards(dealt: DataFrame, frequent_words: np.ndarray, support: int) -> DataFrame:
-    """``lang``, ``shard``, ``phrase``, ``a``, ``lowered``: what is frequent in a shard at its lowered support.
-
-    ``dealt`` has ``lang``, ``text``, ``shard`` and ``n``, the words of the language; the rows of a shard lie in one
-    partition.
-    """
-    shared = dealt.sparkSession.sparkContext.broadcast(frequent_words)
-
-    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int, int], Words] = {}
-        for batch in batches:
-            for key, texts in _by_language(batch, "shard", "n"):
-                held.setdefault(key, Words()).add(texts)
-        while held:
-            (lang, shard, n), words = held.popitem()
-            ids, names = words.all_ids(), words.names()
-            del words
-            if not names:
-                continue
-            lowered = max(1, -(-support * int(np.count_nonzero(ids >= 0)) // n))
-            ids = _without_rare(ids, lang, names, shared.value)
-            # A phrase of no occurrences is reported by each shard, so that its lowered support is known.
-            yield _mined(lang, shard, lowered, [b""], np.zeros(1, np.int64))
-            for k, places, counts in _levels(ids, len(names), lambda k, places, counts: counts >= lowered):
-                for i in range(0, len(places), 200_000):
-                    some = slice(i, i + 200_000)
-                    yield _mined(lang, shard, lowered, _written(ids, names, places[some], k), counts[some])
-
-    return dealt.select("lang", "shard", "n", "text").mapInArrow(mine, "lang string, phrase string, shard long, a long, lowered long")
+def _pairs(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places where two words follow one another, hashes of these pairs)."""
+    here = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+    return here, _longer(hashes[ids[here]], hashes[ids[here + 1]])
 
 
-def _mined(lang: str, shard: int, lowered: int, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
-    return _rows(lang, phrases, shard=np.full(len(phrases), shard, np.int64), a=counts.astype(np.int64),
-                 lowered=np.full(len(phrases), lowered, np.int64))
+def _longer_phrases(ids: np.ndarray, hashes: np.ndarray, pairs: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of all phrases of three words, then four, whose pairs are in the filter."""
+    here, found = _pairs(ids, hashes)
+    kept = _holds(pairs, found)
+    here, found = here[kept], found[kept]
+    may_go_on = np.zeros(len(ids) + 1, bool)
+    may_go_on[here] = True
+    for k in range(3, LONGEST + 1):
+        some = may_go_on[here + k - 2]  # the last pair begins there
+        here = here[some]
+        found = _longer(found[some], hashes[ids[here + k - 1]])
+        yield found
 
 
-def possible(mined: DataFrame, support: int) -> DataFrame:
-    """``lang``, ``phrase`` of the union of all shards, less those that cannot be frequent.
+def mine_shards(documents: DataFrame, languages: DataFrame, words: np.ndarray, support: int,
+                pairs: np.ndarray | None = None) -> DataFrame:
+    """``key`` (a hash) of phrases that may be frequent: of pairs of frequent words or, given those in ``pairs``, of longer ones.
 
-    Where a shard did not report a phrase it has less than the lowered support of it.
+    The sizes of shards are counted on the way, so that they fit the counts whatever the partitions are.
     """
-    slack = F.col("lowered") - 1
-    most = mined.where("phrase = ''").groupBy("lang").agg(F.sum(slack).alias("_slack"))
-    found = mined.where("phrase <> ''").groupBy("lang", "phrase").agg(F.sum("a").alias("a"), F.sum(slack).alias("own"))
-    bound = F.col("a") + F.col("_slack") - F.col("own")
-    return hot_join(found, most, ["lang"], "inner").where(bound >= support).select("lang", "phrase")
+    shared = documents.sparkSession.sparkContext.broadcast((words, pairs))
+
+    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs = shared.value
+        shard = TaskContext.get().partitionId() % SHARDS
+        for lang, held in _in_chunks(batches):
+            ids, names = held.all_ids(), held.names()
+            size = int(np.count_nonzero(ids >= 0))
+            if not size:
+                continue
+            yield _counted(lang, shard, np.zeros(1, np.uint64), np.array([size]), True)
+            hashes = _word_hashes(lang, names)
+            ids = _without_rare(ids, hashes, words)
+            for found in [_pairs(ids, hashes)[1]] if pairs is None else _longer_phrases(ids, hashes, pairs):
+                yield _counted(lang, shard, *np.unique(found, return_counts=True), False)
+
+    rows = documents.select("lang", "text").mapInArrow(mine, "lang string, shard int, `key` long, a long, is_size boolean")
+    counted = rows.groupBy("lang", "shard", "is_size", "key").agg(F.sum("a").alias("a"))
+    counted = stored(counted, "mined")
+    lowered = F.expr(f"greatest(1, ({support} * size + n - 1) div n)")
+    shards = counted.where("is_size").select("lang", "shard", F.col("a").alias("size")).join(languages, "lang").withColumn("lowered", lowered)
+    shards = stored(shards.select("lang", "shard", "lowered"), "shards")
+    # Where a shard does not report a phrase it has less than its lowered support of it.
+    slack = shards.groupBy("lang").agg(F.sum(F.col("lowered") - 1).alias("slack"))
+    reported = hot_join(counted.where("not is_size"), shards, ["lang", "shard"], "inner").where("a >= lowered")
+    union = reported.groupBy("lang", "key").agg(F.sum(F.col("a") - F.col("lowered") + 1).alias("surely"))
+    return hot_join(union, slack, ["lang"], "inner").where(F.col("surely") + F.col("slack") >= support).select("key")
+
+
+def _counted(lang: str, shard: int, keys: np.ndarray, counts: np.ndarray, is_size: bool) -> pa.RecordBatch:
+    n = len(keys)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang] * n, pa.string()), pa.array(np.full(n, shard, np.int32)), pa.array(keys.view(np.int64)),
+         pa.array(counts.astype(np.int64)), pa.array(np.full(n, is_size))], ["lang", "shard", "key", "a", "is_size"])
 
 
 def count_phrases(documents: DataFrame, candidates: np.ndarray) -> DataFrame:
@@ -309,29 +325,19 @@ class Frequent:
     phrases: DataFrame
 
 
-def frequent_phrases(documents: DataFrame, support: int, shard_words: int = SHARD_WORDS) -> Frequent:
+def frequent_phrases(documents: DataFrame, support: int) -> Frequent:
     """All frequent words and phrases of ``documents`` (``lang``, ``text``) with exact counts."""
     texts = documents.select(
-        F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"),
-        F.xxhash64(*[F.col(f"`{c}`") for c, t in documents.dtypes if not t.startswith("map")]).alias("_row"))
+        F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     counted = stored(count_words(texts), "words")
     languages = stored(counted.groupBy("lang").agg(F.sum("a").alias("n")), "languages")
     words = stored(counted.where(F.col("a") >= support), "frequent-words")
-
-    # Shards of a language lie in partitions side by side, so that they are spread evenly. The row's partition is part
-    # of the draw: copies of one row, were they a third of all, do not end in one shard.
-    total = languages.agg(F.sum("n")).first()[0] or 0
-    partitions = max(1, -(-total // shard_words))
-    draw = F.pmod(F.xxhash64("_row", F.spark_partition_id()), F.expr(f"greatest(1, (n + {shard_words - 1}) div {shard_words})"))
-    with_size = hot_join(texts, languages, ["lang"], "inner").withColumn("shard", draw)
-    target = F.pmod(F.xxhash64("lang") + F.col("shard"), F.lit(partitions)).cast("int")
-    dealt = with_size.select("lang", "text", "n", "shard", target.alias("_to")).repartitionById(partitions, "_to")
-    mined = stored(mine_shards(dealt, bloom(words), support), "mined")
-
-    union = stored(possible(mined, support), "union")
-    counts = count_phrases(texts, bloom(union))
-    exact = union.join(counts, ["lang", "phrase"])
-    return Frequent(languages, words, stored(exact.where(F.col("a") >= support), "frequent-phrases"))
+    common = bloom(word_keys(words))
+    pairs = stored(mine_shards(texts, languages, common, support), "pairs")
+    longer = stored(mine_shards(texts, languages, common, support, bloom(pairs)), "longer")
+    counts = count_phrases(texts, bloom(pairs.unionByName(longer)))
+    # What the filter let through by mistake is not frequent, or it would have been in the union.
+    return Frequent(languages, words, stored(counts.where(F.col("a") >= support), "frequent-phrases"))
 
 
 def _parts(phrases: DataFrame) -> DataFrame:
@@ -366,10 +372,9 @@ def covered(frequent: Frequent, percent: int) -> DataFrame:
     return frequent.phrases.join(most, ["lang", "phrase"]).where(enough).select("lang", "phrase")
 
 
-def collocations(documents: DataFrame, support: int = 30, percent: int = 80, first: int = 2000,
-                 shard_words: int = SHARD_WORDS) -> DataFrame:
+def collocations(documents: DataFrame, support: int = 30, percent: int = 80, first: int = 2000) -> DataFrame:
     """The ``first`` phrases of each language by score, count and phrase, with the figures of their weakest cut."""
-    frequent = frequent_phrases(documents, support, shard_words)
+    frequent = frequent_phrases(documents, support)
     left = scored(frequent).join(covered(frequent, percent), ["lang", "phrase"], "left_anti")
     order = [F.desc("score"), F.desc("a"), "phrase"]
     # A language may have very many phrases: only the first of each part go on.

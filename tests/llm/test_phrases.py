@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pillflow.llm import phrases
 from pillflow.llm.queries import ORACLE_SQL, QUERIES
@@ -59,34 +60,43 @@ def rows():
     return out + [copy] * 60 + [(1000 + i, *copy[1:]) for i in range(40)] + [(None, copy[1], None, 1, "", 2), ((1 << 60) + 1, copy[1], "fr", 1, "", 2)]
 
 
-@pytest.mark.parametrize("shard_words,support", [(5_000_000, 30), (700, 30), (90, 12), (2500, 200), (300, 1)])
-def test_equal_to_counting_by_hand(spark, rows, shard_words, support):
-    docs = spark.createDataFrame(rows, COLUMNS).repartition(4)
-    found = phrases.collocations(docs, support, 80, 40, shard_words)
+@pytest.mark.parametrize("partitions,support,chunk", [(1, 30, 16_000_000), (10, 30, 2_000), (23, 12, 500), (7, 200, 9_000), (12, 1, 3_000)])
+def test_equal_to_counting_by_hand(spark, rows, partitions, support, chunk, monkeypatch):
+    monkeypatch.setattr(phrases, "CHUNK", chunk)
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(partitions)
+    found = phrases.collocations(docs, support, 80, 40)
     assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert sorted(map(tuple, found.collect())) == brute(rows, support, 80, 40)
 
 
-def test_a_shard_is_mined_at_its_lowered_support(spark, rows, monkeypatch):
-    """Supports of shards add up as they must, and what no shard can bring to the support is not counted."""
-    kept = {}
-    real = phrases.possible
-    monkeypatch.setattr(phrases, "possible", lambda mined, support: kept.setdefault("union", real(kept.setdefault("mined", mined), support)))
-    docs = spark.createDataFrame(rows, COLUMNS)
-    frequent = phrases.frequent_phrases(docs, 30, 700)
-    shards = [r for r in kept["mined"].collect() if r.phrase == ""]
-    english = [r.lowered for r in shards if r.lang == "en"]
-    assert len(english) > 3 and sum(english) - len(english) < 30 <= sum(english)
-    least = {(r.lang, r.shard): r.lowered for r in shards}
-    assert all(r.a >= least[r.lang, r.shard] for r in kept["mined"].collect() if r.phrase)
-    union = {(r.lang, r.phrase) for r in kept["union"].collect()}
-    assert {(r.lang, r.phrase) for r in frequent.phrases.collect()} <= union
+def test_shards_are_mined_at_lowered_supports(spark, rows):
+    """The union holds every frequent phrase, and nothing whose counts in shards cannot add up to the support."""
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(10).select(
+        F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).checkpoint()
+    counted = phrases.count_words(docs)
+    languages = counted.groupBy("lang").agg(F.sum("a").alias("n"))
+    frequent = phrases.bloom(phrases.word_keys(counted.where("a >= 30")))
+    pairs = phrases.mine_shards(docs, languages, frequent, 30)
+    longer = phrases.mine_shards(docs, languages, frequent, 30, phrases.bloom(pairs))
+    union = {r.key for r in pairs.unionByName(longer).collect()}
+    true = {(lang, p): a for lang, _, p, a, *_ in brute(rows, 30, 10**9, 10**9)}
+    all_ = {(lang, p): a for lang, _, p, a, *_ in brute(rows, 1, 10**9, 10**9)}
+
+    def key(lang, phrase):
+        hashes = phrases._word_hashes(lang, phrase.encode().split(b" "))
+        total = hashes[:1]
+        for h in hashes[1:]:
+            total = phrases._longer(total, np.array([h], np.uint64))
+        return int(total.view(np.int64)[0])
+
+    assert {key(*p) for p in true} <= union
+    assert len(union) < len(all_) / 3 and union <= {key(*p) for p in all_}
 
 
 def test_filter_keeps_what_was_put_in(spark):
-    frame = spark.createDataFrame([("en", f"w{i} v{i % 7}") for i in range(3000)], "lang string, phrase string")
-    bits = phrases.bloom(frame)
-    asked = np.array([phrases._phrase_hash("en", f"w{i} v{i % 7}") for i in range(6000)], np.uint64)
+    keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
+    bits = phrases.bloom(keys)
+    asked = np.array([r.key for r in spark.range(6000).select(F.xxhash64("id").alias("key")).collect()], np.int64).view(np.uint64)
     held = phrases._holds(bits, asked)
     assert held[:3000].all() and held[3000:].sum() < 30
 
