@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pillflow.llm import langid, near, packing, suffixes, toxicity
-from pillflow.llm.common import crc32_of, read, stored
+from pillflow.llm.common import crc32_of, read, stored, unused
 from pillflow.llm.queries import REPEATED_BYTES, SEQUENCE_TOKENS, TOXIC_FROM
 
 
@@ -20,7 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below ``TOXIC_FROM``; labels of held-out documents are not learned from."""
     labels = read(spark, sf_dir, "labels").where(F.pmod(crc32_of("doc_id"), F.lit(4)) != 2)
     model = toxicity.learn(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
-    return toxicity.score(docs, model, "_toxicity").where(F.col("_toxicity") < TOXIC_FROM).drop("_toxicity")
+    (score,) = unused(docs.columns, "_toxicity")
+    return toxicity.score(docs, model, score).where(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +30,8 @@ def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     model = langid.learn(docs.where(~held_out).select("text", "lang"))
     if not model.languages:
         return docs
-    found = langid.identify(docs, model, ("_language", "_share"))
-    return found.where("_language <> 'und'").drop("_language", "_share")
+    language, share = unused(docs.columns, "_language", "_share")
+    return langid.identify(docs, model, (language, share)).where(F.col(language) != "und").drop(language, share)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

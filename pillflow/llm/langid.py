@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pillflow.llm.common import unused
+
 GRAM = 4
 HASHES = 4
 #: N-grams kept per language, the most common ones; they bound the filter, which is sent to all executors.
@@ -30,7 +32,8 @@ PER_LANGUAGE = 50_000
 SHARE = 0.2
 LEAST = 3
 _ROWS_PER_KEY = 10
-_CHUNK = 4_000_000
+#: Characters that are looked at together: for counts, where fewer would mean more rows, and for predictions.
+_COUNTED, _PREDICTED = 1_000_000, 500_000
 
 _SPACE = ord(" ")
 _AS_LETTERS = np.full(256, _SPACE, np.uint8)
@@ -79,7 +82,7 @@ def _rows(grams: np.ndarray, size: int) -> list[np.ndarray]:
     """The table rows of each gram, one array per hash; ``size`` is a power of two."""
     h = _mix(grams)
     low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return [((low + np.uint64(k) * high) & np.uint64(size - 1)).astype(np.int64) for k in range(HASHES)]
+    return [((low + np.uint64(k) * high) & np.uint64(size - 1)).astype(np.uint32) for k in range(HASHES)]
 
 
 def count_grams(documents: DataFrame) -> DataFrame:
@@ -88,7 +91,7 @@ def count_grams(documents: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, part in batch.groupby("lang"):
-                for texts in _chunks(part["text"].tolist()):
+                for texts in _chunks(part["text"].tolist(), _COUNTED):
                     grams, n = np.unique(_grams(texts)[0], return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": grams.astype(np.int64), "n": n})
 
@@ -96,12 +99,12 @@ def count_grams(documents: DataFrame) -> DataFrame:
         "lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
+def _chunks(texts: list[str], most: int) -> Iterator[list[str]]:
     some, size = [], 0
     for text in texts:
         some.append(text)
         size += len(text)
-        if size > _CHUNK:
+        if size > most:
             yield some
             some, size = [], 0
     if some:
@@ -162,7 +165,7 @@ def identify(documents: DataFrame, model: LanguageModel, names: tuple[str, str]
     def predict(texts: pd.Series) -> pd.DataFrame:
         model = shared.value
         names, scores = [], []
-        for some in _chunks([t if isinstance(t, str) else "" for t in texts]):
+        for some in _chunks([t if isinstance(t, str) else "" for t in texts], _PREDICTED):
             letters = np.array([has_letter(t) for t in some])
             if not model.languages:
                 letters[:] = False
@@ -179,5 +182,6 @@ def identify(documents: DataFrame, model: LanguageModel, names: tuple[str, str]
     def predicted(texts: pd.Series) -> pd.DataFrame:
         return predict(texts)
 
-    return documents.withColumn("_found", predicted("text")).withColumns({
-        names[0]: F.col("_found.lang_pred"), names[1]: F.col("_found.score")}).drop("_found")
+    (found,) = unused([*documents.columns, *names], "_found")
+    return documents.withColumn(found, predicted("text")).withColumns({
+        names[0]: F.col(found)["lang_pred"], names[1]: F.col(found)["score"]}).drop(found)
