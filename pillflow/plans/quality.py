@@ -20,7 +20,11 @@ def faulty_rate(stock: DataFrame) -> DataFrame:
 
 def outcome_rates(outcomes: DataFrame) -> DataFrame:
     """Success and error rate, in percent, of each kind of operation in ``vorgang``, from outcomes with ``code``."""
-    counted = outcomes.groupBy("vorgang").agg(F.count("*").alias("anzahl"), F.count_if(F.col("code") == OK).alias("ok"))
+    return rates_of(outcomes.groupBy("vorgang").agg(F.count("*").alias("anzahl"), F.count_if(F.col("code") == OK).alias("ok")))
+
+
+def rates_of(counted: DataFrame) -> DataFrame:
+    """The same from ``anzahl`` and ``ok`` of each ``vorgang``."""
     share = F.col("ok").cast("double") / F.col("anzahl") * 100.0
     return counted.select("vorgang", "anzahl", share.alias("erfolg"), (F.lit(100.0) - share).alias("fehler"))
 

@@ -35,6 +35,9 @@ _COUNTED = {
     "users": {"user_id": "id", "customer_number": "kundennummer"},
 }
 
+# Columns by which the rows of a piece are sorted, so that a range of them lies together.
+_SORTED = {"stock": ("verfallsdatum",)}
+
 _ENTRY = "kind string, name string, piece int, path string, number long"
 
 
@@ -121,16 +124,24 @@ class Snapshots:
         if version is None:
             return Manifest()
         if version != self._known.version:
-            found = Manifest(version)
-            for r in self.spark.read.schema(_ENTRY).json(f"{self.root}/published/version={version}").collect():
-                if r.kind == "part":
-                    pieces = found.parts.setdefault(r.name, {})
-                    pieces[r.piece] = (*pieces.get(r.piece, ()), r.path)
-                else:
-                    {"buckets": found.buckets, "counter": found.counters, "batch": found.batches}[r.kind][r.name] = r.number
-            self._known = found
+            self._known = self._manifest_of(version)
         return self._known
 
+    def _manifest_of(self, version: int) -> Manifest:
+        found = Manifest(version)
+        for r in self.spark.read.schema(_ENTRY).json(f"{self.root}/published/version={version}").collect():
+            if r.kind == "part":
+                pieces = found.parts.setdefault(r.name, {})
+                pieces[r.piece] = (*pieces.get(r.piece, ()), r.path)
+            else:
+                {"buckets": found.buckets, "counter": found.counters, "batch": found.batches}[r.kind][r.name] = r.number
+        return found
+
+    def changed(self, table: str, version: int) -> set[int]:
+        """The pieces of a table that have been changed since a version."""
+        now, then = self.manifest().parts.get(table, {}), self._manifest_of(version).parts.get(table, {})
+        return {p for p in {*now, *then} if now.get(p) != then.get(p)}
+
     def counters(self) -> dict[str, int]:
         """The highest numbers ever given: ``order_id``, ``order_group``, ``user_id``, ``customer_number``."""
         return dict(self.manifest().counters)
@@ -172,7 +183,8 @@ class Snapshots:
             return Staged({0: path}, None, self.buckets, {})
         rows = stored_form(change.rows, table).withColumn("_piece", piece_of(table, self.pieces))
         # A piece is brought together before it is written, and a large one cut again.
-        rows.hint("rebalance", "_piece").write.partitionBy("_piece").parquet(path)
+        rows = rows.hint("rebalance", "_piece").sortWithinPartitions("_piece", *_SORTED.get(table, ()))
+        rows.write.partitionBy("_piece").parquet(path)
         folders = {n: f"{path}/_piece={n}" for n in numbered(self.spark, path, "_piece")}
         return Staged(folders, change.pieces, 0, self._highest(table, list(folders.values())))
 
@@ -203,24 +215,24 @@ class Snapshots:
                 staged[table] = self._write(table, change if isinstance(change, Rewrite) else Rewrite(change))
         return staged
 
-    def publish(self, staged: dict[str, Staged], stream: str = "", batch_id: int = -1) -> int:
-        """Make staged changes the current state, all at once."""
+    def publish(self, staged: dict[str, Staged], stream: str = "", batch_id: int = -1, counters: dict[str, int] | None = None) -> int:
+        """Make staged changes the current state, all at once, and raise ``counters`` to the numbers given."""
         old = self.manifest()
         parts = {table: dict(pieces) for table, pieces in old.parts.items()}
-        buckets, counters, batches = dict(old.buckets), dict(old.counters), dict(old.batches)
+        buckets, highest, batches = dict(old.buckets), dict(old.counters), dict(old.batches)
         for table, new in staged.items():
             kept = {} if new.replaced is None else {p: paths for p, paths in parts.get(table, {}).items() if p not in new.replaced}
             parts[table] = kept | {p: (*kept.get(p, ()), path) for p, path in new.folders.items()}
             buckets[table] = new.buckets
-            for name, n in new.counters.items():
-                counters[name] = max(n, counters.get(name, n))
+        for name, n in [(name, n) for given in (counters or {}, *(new.counters for new in staged.values())) for name, n in given.items()]:
+            highest[name] = max(n, highest.get(name, n))
         if stream:
             batches[stream] = max(batch_id, batches.get(stream, batch_id))
-        new = Manifest((old.version or 0) + 1, parts, buckets, counters, batches)
+        new = Manifest((old.version or 0) + 1, parts, buckets, highest, batches)
         entries = self.spark.createDataFrame(new.entries(), _ENTRY).coalesce(1)
         entries.write.mode("overwrite").json(f"{self.root}/published/version={new.version}")
         self._known = new
         return new.version
 
-    def commit(self, changes: dict[str, Change], stream: str = "", batch_id: int = -1) -> int:
-        return self.publish(self.stage(changes), stream, batch_id)
+    def commit(self, changes: dict[str, Change], stream: str = "", batch_id: int = -1, counters: dict[str, int] | None = None) -> int:
+        return self.publish(self.stage(changes), stream, batch_id, counters)

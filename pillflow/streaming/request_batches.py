@@ -21,7 +21,8 @@ from pillflow.operators.dispenser import Fill, Return
 from pillflow.operators.lookups import open_lines_of
 from pillflow.operators.orders import Cancellation, set_order_status
 from pillflow.operators.stockroom import Intake, Removal
-from pillflow.schemas import ADMIN
+from pillflow.plans.quality import rates_of
+from pillflow.schemas import ADMIN, OK
 from pillflow.session import keep
 from pillflow.sources.action_log import write_log
 from pillflow.sources.snapshots import Append, Change, Rewrite, Snapshots
@@ -131,12 +132,23 @@ def user_removal() -> Operation:
     return run
 
 
+_JUDGED, _ACCEPTED = "judged by ", "accepted by "
+
+
+def published_rates(tables: Snapshots) -> DataFrame:
+    """Success and error rate of each stream over all outcomes published so far, from the manifest alone."""
+    given = tables.counters()
+    names = [n.removeprefix(_JUDGED) for n in given if n.startswith(_JUDGED)]
+    counted = [(n, given[_JUDGED + n], given[_ACCEPTED + n]) for n in names if given[_JUDGED + n]]
+    return rates_of(tables.spark.createDataFrame(counted, "vorgang string, anzahl long, ok long"))
+
+
 @dataclass(frozen=True)
 class RequestStream:
     """Applies an operation to each micro-batch and publishes the result as a new snapshot.
 
     The number of the micro-batch is published together with the tables, so one that Spark hands over again
-    after a failure is passed over. The outcomes of each micro-batch go to a folder of their own, and so do the log
+    after a failure is passed over; so are the numbers of outcomes so far, which therefore count none twice. The outcomes of each micro-batch go to a folder of their own, and so do the log
     entries it makes where ``log_path`` is given, with the time ``at``.
     """
 
@@ -152,11 +164,18 @@ class RequestStream:
             return
         # All results are made from the requests, which are read and parsed once.
         step = self.operation(self.tables, keep(requests))
+        counters = {}
         if step.outcomes is not None:
+            counters = self._counted(step.outcomes)
             step.outcomes.write.mode("overwrite").parquet(f"{self.outcomes_path}/batch={batch_id}")
         if self.log_path and step.log is not None:
             write_log(step.log(self.at), f"{self.log_path}/{self.name}-{batch_id}")
-        self.tables.commit(step.changes, self.name, batch_id)
+        self.tables.commit(step.changes, self.name, batch_id, counters)
+
+    def _counted(self, outcomes: DataFrame) -> dict[str, int]:
+        so_far = self.tables.counters()
+        here = outcomes.agg(F.count("*").alias(_JUDGED), F.count_if(F.col("code") == OK).alias(_ACCEPTED)).first()
+        return {what + self.name: so_far.get(what + self.name, 0) + here[what] for what in (_JUDGED, _ACCEPTED)}
 
     def start(self, requests: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return (

@@ -249,6 +249,31 @@ def _streamed_log(d: Domain):
     return log_ingest.read_ingested(d.spark, target)
 
 
+def _published_rates(d: Domain):
+    """Rates of two streams as their snapshots publish them; removals come in three micro-batches."""
+    tables = Snapshots(d.spark, scratch_path(d.spark, "snapshots"))
+    tables.commit({"stock": d.stock, "users": d.users, "orders": d.bestellungen})
+    stream = request_batches.RequestStream("removal", tables, request_batches.removal(), scratch_path(d.spark, "outcomes"))
+    part = F.pmod(F.hash("barcode"), F.lit(3))  # all requests for a barcode in one, as their order counts
+    for i in range(3):
+        stream.apply(d.barcode_req.where(F.coalesce(part, F.lit(0)) == i), i)
+    request_batches.RequestStream("registration", tables, request_batches.registration(), scratch_path(d.spark, "outcomes")).apply(d.user_req, 0)
+    return request_batches.published_rates(tables)
+
+
+def _daily_refresh(d: Domain):
+    """Stored warnings refreshed on three days, with a removal of goods before the last."""
+    tables = Snapshots(d.spark, scratch_path(d.spark, "snapshots"))
+    tables.commit({"stock": d.stock, "warnings": d.warnungen})
+    expiry.refresh_stored(tables, "1999-06-01")
+    expiry.refresh_stored(tables, "1999-12-01")
+    asked = d.barcode_req
+    stock, pieces = tables.near("stock", asked)
+    tables.commit({"stock": Rewrite(Removal(stock, asked).stock, pieces)})
+    expiry.refresh_stored(tables, AS_OF)
+    return tables.read("warnings")
+
+
 def _compacted_log(d: Domain):
     """The log in four micro-batches, in no order of days, compacted after three of them and again at the end."""
     source, target, state = (scratch_path(d.spark, n) for n in ("csv", "days", "state"))
@@ -279,7 +304,7 @@ def _cart_requests(d: Domain):
     return d.carts.join(d.cart_lines, "cart_id", "left").select("cart_id", "line_no", "barcode", "kundennummer")
 
 
-def _all_outcomes(d: Domain):
+def all_outcomes(d: Domain):
     """The outcomes of all operations as they are kept: written once, tagged with the operation."""
     judged = {
         "intake": lambda: intake(d).outcomes, "removal": lambda: removal(d).outcomes, "fill": lambda: fill(d).outcomes,
@@ -351,6 +376,7 @@ BATCHES = {
     "j10_users": (
         lambda d: remove_users(d.users, d.leaving),
         "SELECT * FROM users WHERE username NOT IN (SELECT username FROM leaving)", ""),
+    "j11_daily_refresh": (_daily_refresh, "SELECT * FROM fresh", _REMOVAL + ", " + _REFRESHED.replace("FROM stock", f"FROM ({_REMOVED_STOCK})")),
     "j11_warnings": (lambda d: expiry.refresh_warnings(d.warnungen, d.stock, AS_OF), "SELECT * FROM fresh", _REFRESHED),
 
     "a7_log_append": (
@@ -463,13 +489,17 @@ BATCHES = {
         f"""SELECT {_LOGGED}, '📦 Bestellstatus für ID ' || CAST(bestellgruppe_id AS VARCHAR) || ' wurde auf ''' || status || ''' gesetzt.' AS aktion
             FROM status_req""", ""),
     "e9_outcome_rates": (
-        lambda d: quality.outcome_rates(_all_outcomes(d)),
+        lambda d: quality.outcome_rates(all_outcomes(d)),
         " UNION ALL ".join([
             _RATE.format(name="intake", table="intake_outcomes"), _RATE.format(name="removal", table="removal_outcomes"),
             _RATE.format(name="fill", table="fill_outcomes"), _RATE.format(name="return", table="return_outcomes"),
             _RATE.format(name="cart", table="scan_outcomes"), _RATE.format(name="checkout", table=f"({_CHECKED_OUT}) o"),
             _RATE.format(name="cancellation", table=f"({_CANCELLED}) o")]),
         ",\n".join([_INTAKE, _REMOVAL, _FILL, _RETURN, _SCANS, _CANCEL, _CHECKOUT])),
+    "e9_published_rates": (
+        _published_rates,
+        " UNION ALL ".join([_RATE.format(name="removal", table="removal_outcomes"), _RATE.format(name="registration", table=f"({_REGISTERED}) o")]),
+        "directory AS (SELECT * FROM users)," + _REGISTER + ", " + _REMOVAL),
     "e9_outcome_counts": (
         lambda d: quality.outcome_counts(scans(d).outcomes), "SELECT code, count(*) AS anzahl FROM scan_outcomes GROUP BY code", _SCANS),
 

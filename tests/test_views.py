@@ -6,14 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from pillflow import schemas as S
-from pillflow.operators import audit
+from pillflow.operators import audit, expiry
 from pillflow.operators.carts import CartScans, Checkout
 from pillflow.operators.dispenser import Fill
 from pillflow.operators.ranking import free_numbers, rank_rows
 from pillflow.operators.stockroom import Intake
 from pillflow.plans import log_views, order_views, quality, stock_views
 from pillflow.sources import action_log, tables
-from pillflow.sources.snapshots import Append, Snapshots
+from pillflow.sources.snapshots import Append, Rewrite, Snapshots
 from pillflow.streaming import log_ingest, request_batches
 
 TODAY = dt.date(2000, 1, 1)
@@ -384,3 +384,35 @@ def test_days_are_compacted(spark, tmp_path):
 def test_log_without_entries(spark, tmp_path):
     assert log_ingest.read_ingested(spark, str(tmp_path / "none")).isEmpty()
     assert log_ingest.compact_days(spark, str(tmp_path / "none")).version == 0
+
+
+def test_daily_refresh_equals_a_full_one(spark, tmp_path):
+    """Thirty days, goods coming and going: the stored warnings are those of a full refresh on every day."""
+    import random
+    rng = random.Random(4)
+    store = Snapshots(spark, str(tmp_path / "store"), pieces=16)
+    good = lambda i: (str(10000000 + i), f"n{i}", 1, TODAY + dt.timedelta(days=rng.randrange(-20, 60)), rng.choice(["Lager", "Automat"]), None)
+    stock = [good(i) for i in range(120)] + [("20000000", "x", 1, None, "Lager", None)]
+    warnings = [(str(10000000 + 7 * i), "alt", LATER, "Lager", "Offen") for i in range(25)]
+    full = spark.createDataFrame(warnings, S.WARNINGS)
+    store.commit({"stock": spark.createDataFrame(stock, S.STOCK), "warnings": full})
+    written = []
+    for d in range(0, 30, 5):
+        day = TODAY + dt.timedelta(days=d)
+        if d % 10 == 5:
+            store.commit({"stock": Append(spark.createDataFrame([good(200 + d)], S.STOCK))})
+            gone = spark.createDataFrame([(stock[d][0],)], "barcode string")
+            near, pieces = store.near("stock", gone)
+            store.commit({"stock": Rewrite(near.join(gone, "barcode", "left_anti").select(*S.STOCK.names), pieces)})
+        before = store.manifest().parts.get("warnings", {})
+        expiry.refresh_stored(store, day)
+        after = store.manifest().parts["warnings"]
+        written.append(sum(before.get(p) != after.get(p) for p in {*before, *after}))
+        full = expiry.refresh_warnings(full, store.read("stock"), day).checkpoint()
+        assert values(store.read("warnings")) == values(full)
+    assert max(written[1:]) < 16
+    version = store.version()
+    expiry.refresh_stored(store, TODAY)  # back in time: everything is looked at
+    assert store.version() == version + 1
+    scan = expiry.newly_expired(store.read("stock"), TODAY, LATER)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(verfallsdatum," in scan and "LessThan(verfallsdatum," in scan
