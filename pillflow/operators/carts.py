@@ -64,24 +64,8 @@ class CartScans:
             "cart_id", "line_no", "barcode", F.col("detail").alias("name"), "verfallsdatum")
 
 
-def _further(links: DataFrame) -> DataFrame:
-    """Links that lead as far again, with whether they moved."""
-    ends = links.select(F.col("cart_id").alias("end"), F.col("end").alias("further"),
-                        F.col("parity").alias("more"), F.col("settled").alias("there"))
-    return L.hot_join(links, ends, ["end"], "inner").select(
-        "cart_id", F.col("further").alias("end"), F.col("parity").bitwiseXOR(F.col("more")).alias("parity"),
-        F.col("there").alias("settled"), (F.col("further") != F.col("end")).alias("moved"))
-
-
 def _fates(undecided: DataFrame) -> DataFrame:
-    """Each cart with the cart at the end of its links, whether that one is settled, and the parity of the way there.
-
-    Carts wait for rivals: those that are before them for one of their barcodes. Carts without rivals are leaves and
-    settled; a cart with one rival, next to it in the only queue it waits in, has the opposite fate and is linked to it.
-    So a round settles all leaves, all chains that end at one, whatever their length, and all that wait for a winner
-    there. Where rivals form trees, what is a leaf in the next round has lost two leaves at least: rounds grow with the
-    logarithm of the leaves. Chains are followed two doublings for each checkpoint.
-    """
+    """Each cart with the cart at the end of its links, whether that one is settled, and the parity of the way there."""
     lowest = undecided.groupBy("barcode").agg(F.min("cart_id").alias("first"))
     placed = L.hot_join(undecided, lowest, ["barcode"], "inner")
     second = placed.where("cart_id > first").groupBy("barcode").agg(F.min("cart_id").alias("second"))
@@ -94,26 +78,17 @@ def _fates(undecided: DataFrame) -> DataFrame:
     links = keep(carts.select(
         "cart_id", F.when(linked, F.col("rival")).otherwise(F.col("cart_id")).alias("end"),
         linked.cast("int").alias("parity"), (F.col("behind") == 0).alias("settled")))
-    checkpoints = 1
     while True:
-        links = keep(_further(_further(links).drop("moved")))
-        checkpoints += 1
+        ends = links.select(F.col("cart_id").alias("end"), F.col("end").alias("further"),
+                            F.col("parity").alias("more"), F.col("settled").alias("there"))
+        links = keep(L.hot_join(links, ends, ["end"], "inner").select(
+            "cart_id", F.col("further").alias("end"), F.col("parity").bitwiseXOR(F.col("more")).alias("parity"),
+            F.col("there").alias("settled"), (F.col("further") != F.col("end")).alias("moved")))
         if links.where("moved").isEmpty():
-            log.info("links of carts followed, %d checkpoints", checkpoints)
             return links.drop("moved")
         links = links.drop("moved")
 
 
-def _decided(undecided: DataFrame, fates: DataFrame) -> DataFrame:
-    """Cart lines with the ``fate`` of their cart after a round: 'won', 'lost' to a winner for one of its barcodes, or 'open'."""
-    won = fates.where("settled and parity = 0").select("cart_id", F.lit(True).alias("won"))
-    lines = L.hot_join(undecided, won, ["cart_id"])
-    taken = lines.where("won").select("barcode", F.lit(True).alias("taken"))
-    lost = L.hot_join(lines.where("won is null"), taken, ["barcode"], "inner").select("cart_id", F.lit(True).alias("lost")).distinct()
-    fate = F.when(F.col("won"), "won").when(F.col("lost"), "lost").otherwise("open")
-    return L.hot_join(lines, lost, ["cart_id"]).select("cart_id", "barcode", fate.alias("fate"))
-
-
 @dataclass(frozen=True)
 class Checkout:
     """Turn carts into orders, all or nothing per cart, earlier carts first.
@@ -122,7 +97,7 @@ class Checkout:
     before it, and theirs on the carts before them. Carts without customer or lines, or with a line that is not
     in the dispenser, never take anything. The others are settled in rounds: a cart that is the lowest for
     every one of its barcodes gets them, the carts that share a barcode with it do not, and both leave. The
-    lowest cart of all is settled in every round, so the rounds end; ``_fates`` keeps them few.
+    lowest cart of all is settled in every round, so the rounds end; following links (``_fates``) keeps them few.
 
     New orders are numbered on from ``last_order`` and ``last_group`` where these are given, else from the highest
     numbers in ``orders_before``.
@@ -169,9 +144,14 @@ class Checkout:
         undecided = keep(L.hot_join(self._eligible_lines, wanted, ["barcode"], "left_semi"))
         lost = []
         while not undecided.isEmpty():
-            decided = keep(_decided(undecided, _fates(undecided)))
-            lost.append(decided.where("fate = 'lost'").select("cart_id").distinct())
-            undecided = decided.where("fate = 'open'").drop("fate")
+            fates = _fates(undecided)
+            won = fates.where("settled and parity = 0").select("cart_id")
+            taken = L.hot_join(undecided, won, ["cart_id"], "left_semi").select("barcode")
+            touched = L.hot_join(undecided, taken, ["barcode"], "left_semi").select("cart_id").distinct()
+            losers = keep(touched.join(won, "cart_id", "left_anti"))
+            done = won.unionByName(losers)
+            undecided = keep(L.hot_join(undecided, done, ["cart_id"], "left_anti"))
+            lost.append(losers)
             log.info("checkout round %d done", len(lost))
         return lost
 

@@ -38,8 +38,16 @@ def log_by_time(log: DataFrame) -> DataFrame:
 
 def mean_time_between_failures(log: DataFrame) -> DataFrame:
     """Mean hours between critical failures; NULL below two. The gaps add up to the span from first to last."""
-    failures = log.where(P.critical(F.col("aktion"))).agg(
+    return mean_time_of(failure_span(log))
+
+
+def failure_span(log: DataFrame) -> DataFrame:
+    """Number, first and last time of critical failures, which can be carried on from batch to batch."""
+    return log.where(P.critical(F.col("aktion"))).agg(
         F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+def mean_time_of(failures: DataFrame) -> DataFrame:
     mean = F.when(F.col("n") > 1, hours_between(F.col("first"), F.col("last")) / (F.col("n") - 1))
     return failures.select(F.col("n").alias("ausfaelle"), mean.alias("mtbf_stunden"))
 

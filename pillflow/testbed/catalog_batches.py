@@ -18,8 +18,8 @@ from pillflow.plans import log_views, quality, stock_views
 from pillflow.session import scratch_path
 from pillflow.sources import action_log
 from pillflow.sources.snapshots import Append, Rewrite, Snapshots
-from pillflow.streaming import log_ingest, request_batches
-from pillflow.testbed.catalog_reads import _REFRESHED
+from pillflow.streaming import log_ingest, request_batches, running_figures
+from pillflow.testbed.catalog_reads import _CRITICAL, _REFRESHED
 from pillflow.testbed.mapping import AS_OF, AS_OF_TIME, Domain
 
 
@@ -249,6 +249,16 @@ def _streamed_log(d: Domain):
     return log_ingest.read_ingested(d.spark, target)
 
 
+def _running_mtbf(d: Domain):
+    """The mean time carried on over three runs of a stream of the log."""
+    source, target, state = (scratch_path(d.spark, n) for n in ("csv", "figures", "state"))
+    part = F.pmod(F.xxhash64(*S.ACTION_LOG.names), F.lit(3))
+    for i in range(3):
+        action_log.append_log(d.action_log.where(part == i), source)
+        running_figures.follow_failures(action_log.stream_log(d.spark, source), target, state).awaitTermination()
+    return running_figures.running_mean_time(d.spark, target)
+
+
 def _published_rates(d: Domain):
     """Rates of two streams as their snapshots publish them; removals come in three micro-batches."""
     tables = Snapshots(d.spark, scratch_path(d.spark, "snapshots"))
@@ -500,6 +510,10 @@ BATCHES = {
         _published_rates,
         " UNION ALL ".join([_RATE.format(name="removal", table="removal_outcomes"), _RATE.format(name="registration", table=f"({_REGISTERED}) o")]),
         "directory AS (SELECT * FROM users)," + _REGISTER + ", " + _REMOVAL),
+    "e10_running_mtbf": (
+        _running_mtbf,
+        f"""SELECT count(*) AS ausfaelle, CAST(date_diff('second', min(t), max(t)) AS DOUBLE) / CAST(3600 AS DOUBLE) / (count(*) - 1) AS mtbf_stunden
+           FROM (SELECT CAST(zeitstempel AS TIMESTAMP) AS t FROM action_log WHERE {_CRITICAL}) f""", ""),
     "e9_outcome_counts": (
         lambda d: quality.outcome_counts(scans(d).outcomes), "SELECT code, count(*) AS anzahl FROM scan_outcomes GROUP BY code", _SCANS),
 

@@ -228,27 +228,6 @@ def test_checkout_long_chain(spark):
     assert len(result.rounds) == 1
 
 
-@pytest.mark.parametrize("reach", [2, 4, 60])
-def test_checkout_of_a_tree_of_rivals(spark, reach, caplog):
-    """A deep tree: each cart shares a barcode of its own with one that comes after it; reach says how far after."""
-    rng, n = random.Random(reach), 600
-    goods = [(str(20000000 + i), "x", 1, TODAY, "Automat", "Kanal 1") for i in range(n)]
-    after = {i: min(n - 1, rng.randrange(i + 1, i + reach + 1)) for i in range(n - 1)}
-    lines = [(i, 0, str(20000000 + i)) for i in range(n)] + [(j, i + 1, str(20000000 + i)) for i, j in after.items()]
-    won, lost = [], set()
-    for i in range(n):
-        if i not in lost:
-            won.append(i)
-            lost.add(after.get(i))
-    with caplog.at_level("INFO", logger="pillflow.operators.carts"):
-        result = Checkout(spark.createDataFrame(goods, S.STOCK), spark.createDataFrame([], S.ORDERS),
-                          spark.createDataFrame([(c, "K") for c in range(n)], S.CARTS), spark.createDataFrame(lines, S.CART_LINES), NOW)
-        assert [c for c, code in rows(result.outcomes, "cart_id", "code") if code == "OK"] == sorted(won, key=repr)
-    leaves = n - len(set(after.values()))
-    assert len(result.rounds) <= leaves.bit_length() + 1
-    assert sum("checkpoints" in r.message for r in caplog.records) == len(result.rounds)
-
-
 @pytest.mark.parametrize("seed", range(3))
 def test_checkout_of_many_shops(spark, seed):
     """Seventy small shops at once: their carts do not meet, so each must come out as if alone."""

@@ -14,7 +14,7 @@ from pillflow.operators.stockroom import Intake
 from pillflow.plans import log_views, order_views, quality, stock_views
 from pillflow.sources import action_log, tables
 from pillflow.sources.snapshots import Append, Rewrite, Snapshots
-from pillflow.streaming import log_ingest, request_batches
+from pillflow.streaming import log_ingest, request_batches, running_figures
 
 TODAY = dt.date(2000, 1, 1)
 LATER = dt.date(2001, 1, 1)
@@ -416,3 +416,30 @@ def test_daily_refresh_equals_a_full_one(spark, tmp_path):
     assert store.version() == version + 1
     scan = expiry.newly_expired(store.read("stock"), TODAY, LATER)._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(verfallsdatum," in scan and "LessThan(verfallsdatum," in scan
+
+
+def test_running_mean_time_equals_the_batch(spark, tmp_path):
+    """After every micro-batch, restarts and late entries included; the old figures go after a while."""
+    source, target, state = (str(tmp_path / n) for n in ("csv", "figures", "state"))
+    assert values(running_figures.running_mean_time(spark, target)) == [(0, None)]
+    times = ["2024-01-05 10:00:00", "2024-01-09 10:00:00", "2024-01-01 08:00:00", "kaputt"]
+    for i, at in enumerate(times):
+        rows = [(at, "K", "Systemfehler: ❌"), (at, "K", "alles gut"), ("2024-01-07 00:00:00", "K", f"App-Absturz {i}")]
+        action_log.append_log(spark.createDataFrame(rows, S.ACTION_LOG), source)
+        running_figures.follow_failures(action_log.stream_log(spark, source), target, state).awaitTermination()
+        whole = log_views.mean_time_between_failures(action_log.with_moments(action_log.read_log(spark, source)))
+        assert values(running_figures.running_mean_time(spark, target)) == values(whole)
+
+
+def test_rates_are_published_with_the_tables(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path / "store"))
+    store.create_if_absent()
+    assert request_batches.published_rates(store).isEmpty()
+    stream = request_batches.RequestStream("intake", store, request_batches.intake(TODAY), str(tmp_path / "outcomes"))
+    for batch, barcodes in enumerate([["10000000", "10000001"], ["10000001", "bad"], []]):
+        rows = [(i, b, "a", "2001-01-01", None) for i, b in enumerate(barcodes)]
+        requests = spark.createDataFrame(rows, S.INTAKE_REQUESTS)
+        stream.apply(requests, batch)
+        stream.apply(requests, batch)
+    again = Snapshots(spark, str(tmp_path / "store"))
+    assert values(request_batches.published_rates(again)) == [("intake", 4, 50.0, 50.0)]
