@@ -5,12 +5,12 @@ another within a piece. Languages are separate throughout. A phrase is frequent
 
 1. Words are counted exactly: for the sizes of languages, for the parts of phrases, and because a phrase with a rare
    word is rare. Frequent words go into a Bloom filter of fixed size; what it lets through by mistake only costs time.
-2. The texts form ``SHARDS`` shards, the input's partitions dealt out in turn. A shard with a share ``w`` of a
-   language's words is mined completely at the support lowered to ``w * support`` (rounded up): first pairs of
-   words, then longer phrases all of whose pairs may be frequent. Tasks count what they hold and Spark adds up by
-   shard, so a shard may be of any size, and lowered supports do not sink to one when the data grow.
-   Any phrase that is frequent in all reaches the lowered support in one shard at least, since the lowered supports of
-   all shards less one each add up to less than ``support``; so the union of what shards find misses nothing.
+2. The texts form ``SHARDS`` shards, the input's partitions dealt out in turn. Each is mined completely at its equal
+   share of the support (rounded up): first pairs of words, then longer phrases all of whose pairs may be frequent.
+   Tasks count what they hold and Spark adds up by shard, so a shard may be of any size, and the lowered support does
+   not sink to one when the data grow. A phrase that is frequent in all reaches the lowered support in one shard at
+   least, whatever the shards' sizes, or its counts would add up to less; so the union of what shards find misses
+   nothing.
 3. Of the union those can be dropped that cannot be frequent even if each shard that did not report them had as many
    as it may have without a report. The others go into a Bloom filter, again of fixed size, and are counted exactly
    over all texts.
@@ -28,8 +28,10 @@ text is counted as a whole; an empty table gives no rows. Ties are settled by sc
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +44,12 @@ from pillflow.llm.common import stored
 from pillflow.operators.lookups import hot_join
 
 LONGEST = 4
-#: Shards; with equal ones the support is lowered to a tenth.
+#: Shards; the support is lowered to a tenth.
 SHARDS = 10
 #: Bytes of text that are counted together in the passes over all texts.
-CHUNK = 16_000_000
+CHUNK = 10_000_000
+#: Rows that a task hands over at once.
+ROWS = 100_000
 #: A Bloom filter has 2**FILTER_BITS bits (4 MB) however many keys it holds; that is all that is sent to tasks.
 FILTER_BITS = 25
 FILTER_HASHES = 3
@@ -63,7 +67,7 @@ class Words:
     """Texts as numbers of words in the order they were seen, with ``_BREAK`` between pieces."""
 
     def __init__(self):
-        self.number: dict[bytes, int] = {b"": -2, b"\n": _BREAK}
+        self.number: dict[bytes, int] = defaultdict(count().__next__, {b"": -2, b"\n": _BREAK})
         self.ids: list[np.ndarray] = []
         self.size = 0
 
@@ -79,11 +83,8 @@ class Words:
         self.size += len(data)
 
     def _add(self, data: bytes) -> None:
-        number = self.number
         words = data.replace(b"\n", b" \n ").split(b" ")
-        for word in set(words).difference(number):
-            number[word] = len(number) - 2
-        ids = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
+        ids = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
         self.ids.append(ids[ids != -2])
 
     def all_ids(self) -> np.ndarray:
@@ -155,7 +156,7 @@ def bloom(keys: DataFrame) -> np.ndarray:
 
 
 def _rows(lang: str, phrases: list[bytes], **columns: np.ndarray) -> pa.RecordBatch:
-    arrays = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string())]
+    arrays = [pa.repeat(pa.scalar(lang, pa.string()), len(phrases)), pa.array(phrases, pa.binary()).cast(pa.string())]
     return pa.RecordBatch.from_arrays([*arrays, *map(pa.array, columns.values())], ["lang", "phrase", *columns])
 
 
@@ -164,10 +165,11 @@ def _in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words]]
     held: dict[str, Words] = {}
     for batch in batches:
         for lang, texts in _by_language(batch):
-            held.setdefault(lang, Words()).add(texts)
-            largest = max(held, key=lambda k: held[k].size)
-            if held[largest].size > CHUNK or sum(w.size for w in held.values()) > 2 * CHUNK:
-                yield largest, held.pop(largest)
+            for some in _some(texts):
+                held.setdefault(lang, Words()).add(some)
+                largest = max(held, key=lambda k: held[k].size)
+                if held[largest].size > CHUNK or sum(w.size for w in held.values()) > 2 * CHUNK:
+                    yield largest, held.pop(largest)
     while held:
         yield held.popitem()
 
@@ -180,45 +182,67 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
     yield from groups.items()
 
 
+def _some(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts a megabyte or so at a time."""
+    begin, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size > _STRETCH or i == len(texts) - 1:
+            yield texts[begin:i + 1]
+            begin, size = i + 1, 0
+
+
+def _cut(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for i in range(0, rows.num_rows, ROWS):
+        yield rows.slice(i, ROWS)
+
+
 def count_words(documents: DataFrame) -> DataFrame:
     """``lang``, ``phrase`` (one word), ``a``: how often it occurs."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words in _in_chunks(batches):
             ids = words.all_ids()
-            yield _rows(lang, words.names(), a=np.bincount(ids[ids >= 0], minlength=len(words.names())))
+            yield from _cut(_rows(lang, words.names(), a=np.bincount(ids[ids >= 0], minlength=len(words.names()))))
 
-    rows = documents.select("lang", "text").mapInArrow(count, "lang string, phrase string, a long")
+    rows = documents.select("lang", "text").mapInArrow(add_up, "lang string, phrase string, a long")
     return rows.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
-def _levels(ids: np.ndarray, vocabulary: int, allowed) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For k = 2, 3, 4: (k, places of one occurrence of each kept phrase, its number of occurrences).
+def _pairs(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places where two words follow one another, hashes of these pairs)."""
+    here = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+    return here, _longer(hashes[ids[here]], hashes[ids[here + 1]])
+
+
+def _phrases(ids: np.ndarray, hashes: np.ndarray, bits: np.ndarray, pairs_alone: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For k = 2, 3, 4: (k, places, hashes) of phrases whose parts of k - 1 words are all in the filter.
 
-    ``ids`` has breaks where no phrase may pass. ``allowed(k, places, counts)`` says which phrases are kept, given one
-    place and the count of each; only where both parts of a phrase are kept is it looked at.
+    With ``pairs_alone`` the filter holds pairs only, and a longer phrase goes by its pairs; pairs must be in it.
     """
-    names = ids.astype(np.int64)  # per place: the number of the phrase of k - 1 words that begins there, or -1
-    names[ids < 0] = -1
+    here, found = _pairs(ids, hashes)
     for k in range(2, LONGEST + 1):
-        n = len(ids) - k + 1
-        if n <= 0:
-            return
-        here = np.flatnonzero((names[:n] >= 0) & (names[1:n + 1] >= 0))
-        if not len(here):
-            return
-        keys = names[here] * np.int64(vocabulary) + ids[here + k - 1]
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        counts = np.diff(np.append(begins, len(keys)))
-        places = here[order[begins]]
-        kept = allowed(k, places, counts)
-        number = np.full(len(begins), -1, np.int64)
-        number[kept] = np.arange(np.count_nonzero(kept))
-        yield k, places[kept], counts[kept]
-        names = np.full(len(ids), -1, np.int64)
-        names[here[order]] = np.repeat(number, counts)
+        if k == 2 or not pairs_alone:
+            kept = _holds(bits, found)
+            here, found = here[kept], found[kept]
+        yield k, here, found
+        goes_on = np.zeros(len(ids) + 1, bool)
+        goes_on[here] = True
+        some = goes_on[here + 1]
+        here = here[some]
+        found = _longer(found[some], hashes[ids[here + k]])
+
+
+def _grouped(ids: np.ndarray, k: int, here: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one place of each phrase, how often it occurs). Phrases are told apart by their words; a hash only brings them together."""
+    order = np.argsort(found, kind="stable")
+    at = here[order]
+    new = np.append(True, np.zeros(max(0, len(at) - 1), bool))[:len(at)]
+    for j in range(k):
+        words = ids[at + j]
+        new[1:] |= words[1:] != words[:-1]
+    begins = np.flatnonzero(new)
+    return at[begins], np.diff(np.append(begins, len(at)))
 
 
 def _written(ids: np.ndarray, names: list[bytes], places: np.ndarray, k: int) -> list[bytes]:
@@ -232,87 +256,47 @@ def _without_rare(ids: np.ndarray, hashes: np.ndarray, bits: np.ndarray) -> np.n
     return np.where(frequent[ids], ids, np.int32(_BREAK))
 
 
-def _pairs(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places where two words follow one another, hashes of these pairs)."""
-    here = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-    return here, _longer(hashes[ids[here]], hashes[ids[here + 1]])
-
-
-def _longer_phrases(ids: np.ndarray, hashes: np.ndarray, pairs: np.ndarray) -> Iterator[np.ndarray]:
-    """Hashes of all phrases of three words, then four, whose pairs are in the filter."""
-    here, found = _pairs(ids, hashes)
-    kept = _holds(pairs, found)
-    here, found = here[kept], found[kept]
-    may_go_on = np.zeros(len(ids) + 1, bool)
-    may_go_on[here] = True
-    for k in range(3, LONGEST + 1):
-        some = may_go_on[here + k - 2]  # the last pair begins there
-        here = here[some]
-        found = _longer(found[some], hashes[ids[here + k - 1]])
-        yield found
-
-
-def mine_shards(documents: DataFrame, languages: DataFrame, words: np.ndarray, support: int,
-                pairs: np.ndarray | None = None) -> DataFrame:
-    """``key`` (a hash) of phrases that may be frequent: of pairs of frequent words or, given those in ``pairs``, of longer ones.
-
-    The sizes of shards are counted on the way, so that they fit the counts whatever the partitions are.
-    """
+def mine_shards(documents: DataFrame, words: np.ndarray, support: int, pairs: np.ndarray | None = None) -> DataFrame:
+    """``key`` (a hash) of phrases that may be frequent: pairs of frequent words or, given those in ``pairs``, longer ones."""
     shared = documents.sparkSession.sparkContext.broadcast((words, pairs))
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs = shared.value
         shard = TaskContext.get().partitionId() % SHARDS
         for lang, held in _in_chunks(batches):
-            ids, names = held.all_ids(), held.names()
-            size = int(np.count_nonzero(ids >= 0))
-            if not size:
-                continue
-            yield _counted(lang, shard, np.zeros(1, np.uint64), np.array([size]), True)
-            hashes = _word_hashes(lang, names)
-            ids = _without_rare(ids, hashes, words)
-            for found in [_pairs(ids, hashes)[1]] if pairs is None else _longer_phrases(ids, hashes, pairs):
-                yield _counted(lang, shard, *np.unique(found, return_counts=True), False)
-
-    rows = documents.select("lang", "text").mapInArrow(mine, "lang string, shard int, `key` long, a long, is_size boolean")
-    counted = rows.groupBy("lang", "shard", "is_size", "key").agg(F.sum("a").alias("a"))
-    counted = stored(counted, "mined")
-    lowered = F.expr(f"greatest(1, ({support} * size + n - 1) div n)")
-    shards = counted.where("is_size").select("lang", "shard", F.col("a").alias("size")).join(languages, "lang").withColumn("lowered", lowered)
-    shards = stored(shards.select("lang", "shard", "lowered"), "shards")
-    # Where a shard does not report a phrase it has less than its lowered support of it.
-    slack = shards.groupBy("lang").agg(F.sum(F.col("lowered") - 1).alias("slack"))
-    reported = hot_join(counted.where("not is_size"), shards, ["lang", "shard"], "inner").where("a >= lowered")
-    union = reported.groupBy("lang", "key").agg(F.sum(F.col("a") - F.col("lowered") + 1).alias("surely"))
-    return hot_join(union, slack, ["lang"], "inner").where(F.col("surely") + F.col("slack") >= support).select("key")
-
-
-def _counted(lang: str, shard: int, keys: np.ndarray, counts: np.ndarray, is_size: bool) -> pa.RecordBatch:
-    n = len(keys)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * n, pa.string()), pa.array(np.full(n, shard, np.int32)), pa.array(keys.view(np.int64)),
-         pa.array(counts.astype(np.int64)), pa.array(np.full(n, is_size))], ["lang", "shard", "key", "a", "is_size"])
+            hashes = _word_hashes(lang, held.names())
+            ids = _without_rare(held.all_ids(), hashes, words)
+            if pairs is None:
+                mined = [_pairs(ids, hashes)[1]]
+            else:
+                mined = (found for k, _, found in _phrases(ids, hashes, pairs, True) if k > 2)
+            for found in mined:
+                keys, counts = np.unique(found, return_counts=True)
+                shards = np.full(len(keys), shard, np.int32)
+                yield from _cut(pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(shards), pa.array(counts)], ["key", "shard", "a"]))
+
+    rows = documents.select("lang", "text").mapInArrow(mine, "`key` long, shard int, a long")
+    # One shuffle, by phrase, serves the sums of shards and the union; tasks have added up what they hold already.
+    in_shards = rows.repartition("key").groupBy("key", "shard").agg(F.sum("a").alias("a"))
+    lowered = -(-support // SHARDS)
+    reported = in_shards.where(F.col("a") >= lowered).groupBy("key").agg(F.sum("a").alias("a"), F.count("*").alias("shards"))
+    # A shard that does not report a phrase has less than the lowered support of it.
+    return reported.where(F.col("a") + (SHARDS - F.col("shards")) * (lowered - 1) >= support).select("key")
 
 
 def count_phrases(documents: DataFrame, candidates: np.ndarray) -> DataFrame:
     """``lang``, ``phrase``, ``a`` over all texts, for phrases of two words and more that the filter ``candidates`` lets pass."""
     shared = documents.sparkSession.sparkContext.broadcast(candidates)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words in _in_chunks(batches):
-            ids, names, bits = words.all_ids(), words.names(), shared.value
-            hashes = _word_hashes(lang, names)
-
-            def allowed(k: int, places: np.ndarray, counts: np.ndarray, ids=ids, hashes=hashes) -> np.ndarray:
-                total = hashes[ids[places]]
-                for j in range(1, k):
-                    total = _longer(total, hashes[ids[places + j]])
-                return _holds(bits, total)
-
-            for k, places, counts in _levels(ids, len(names), allowed):
-                yield _rows(lang, _written(ids, names, places, k), a=counts.astype(np.int64))
+            ids, names = words.all_ids(), words.names()
+            for k, here, found in _phrases(ids, _word_hashes(lang, names), shared.value, False):
+                places, counts = _grouped(ids, k, here, found)
+                for i in range(0, len(places), ROWS):
+                    yield _rows(lang, _written(ids, names, places[i:i + ROWS], k), a=counts[i:i + ROWS])
 
-    rows = documents.select("lang", "text").mapInArrow(count, "lang string, phrase string, a long")
+    rows = documents.select("lang", "text").mapInArrow(add_up, "lang string, phrase string, a long")
     return rows.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
@@ -333,8 +317,8 @@ def frequent_phrases(documents: DataFrame, support: int) -> Frequent:
     languages = stored(counted.groupBy("lang").agg(F.sum("a").alias("n")), "languages")
     words = stored(counted.where(F.col("a") >= support), "frequent-words")
     common = bloom(word_keys(words))
-    pairs = stored(mine_shards(texts, languages, common, support), "pairs")
-    longer = stored(mine_shards(texts, languages, common, support, bloom(pairs)), "longer")
+    pairs = stored(mine_shards(texts, common, support), "pairs")
+    longer = stored(mine_shards(texts, common, support, bloom(pairs)), "longer")
     counts = count_phrases(texts, bloom(pairs.unionByName(longer)))
     # What the filter let through by mistake is not frequent, or it would have been in the union.
     return Frequent(languages, words, stored(counts.where(F.col("a") >= support), "frequent-phrases"))

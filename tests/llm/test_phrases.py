@@ -74,10 +74,9 @@ def test_shards_are_mined_at_lowered_supports(spark, rows):
     docs = spark.createDataFrame(rows, COLUMNS).repartition(10).select(
         F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).checkpoint()
     counted = phrases.count_words(docs)
-    languages = counted.groupBy("lang").agg(F.sum("a").alias("n"))
     frequent = phrases.bloom(phrases.word_keys(counted.where("a >= 30")))
-    pairs = phrases.mine_shards(docs, languages, frequent, 30)
-    longer = phrases.mine_shards(docs, languages, frequent, 30, phrases.bloom(pairs))
+    pairs = phrases.mine_shards(docs, frequent, 30)
+    longer = phrases.mine_shards(docs, frequent, 30, phrases.bloom(pairs))
     union = {r.key for r in pairs.unionByName(longer).collect()}
     true = {(lang, p): a for lang, _, p, a, *_ in brute(rows, 30, 10**9, 10**9)}
     all_ = {(lang, p): a for lang, _, p, a, *_ in brute(rows, 1, 10**9, 10**9)}
