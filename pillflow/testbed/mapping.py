@@ -181,6 +181,11 @@ def for_duckdb(sql: str) -> str:
 # Tables of the store, which are written as such.
 _STORED_AS = {"stock": "stock", "bestellungen": "orders", "warnungen": "warnings", "users": "users"}
 
+# Order lines are grouped by this key, which hardly repeats, so summing up before the shuffle would fill the memory of
+# each task with as many groups as it reads rows. They are brought together first, in ranges of so many rows.
+_LINE_KEY = "l_orderkey, l_linenumber"
+_RANGE_ROWS = 1_000_000
+
 # (session, folder, state of the files, table) -> schema and path of the written table
 _stored: dict[tuple, tuple] = {}
 
@@ -222,12 +227,18 @@ class Domain:
         return self.spark.read.schema(schema).parquet(path)
 
     def _written(self, name: str) -> tuple:
-        def derive() -> DataFrame:
-            sql = _REFERENCE.sub(lambda m: f"{m[1]} parquet.`{self._written(m[2])[1]}`", BODIES[name])
-            return self.spark.sql(sql.format(
-                ntz="TIMESTAMP_NTZ", **{t: f"parquet.`{self.sf_dir}/{t}.parquet`" for t in BASE_TABLES}))
-
-        return self._kept(name, derive)
+        return self._kept(name, lambda: self._derived(name))
+
+    def _derived(self, name: str) -> DataFrame:
+        sql = _REFERENCE.sub(lambda m: f"{m[1]} parquet.`{self._written(m[2])[1]}`", BODIES[name])
+        tables = {t: f"parquet.`{self.sf_dir}/{t}.parquet`" for t in BASE_TABLES}
+        if "{lineitem}" in sql:
+            tables["lineitem"] = self._in_ranges(tables["lineitem"])
+        return self.spark.sql(sql.format(ntz="TIMESTAMP_NTZ", **tables))
+
+    def _in_ranges(self, lines: str) -> str:
+        ranges = 1 + self.spark.sql(f"SELECT count(*) FROM {lines}").first()[0] // _RANGE_ROWS
+        return f"(SELECT /*+ REPARTITION_BY_RANGE({ranges}, {_LINE_KEY}) */ * FROM {lines})"
 
     def _kept(self, name: str, build: Callable[[], DataFrame]) -> tuple:
         key = (*self._origin, name)
