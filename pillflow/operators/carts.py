@@ -43,7 +43,8 @@ class CartScans:
         held = self.stock.where(F.col("ort") == DISPENSER).select(
             "barcode", "name", "verfallsdatum",
             F.coalesce(P.expired(F.col("verfallsdatum"), self.as_of), F.lit(True)).alias("spoiled"))
-        facts = firsts.join(held, "barcode", "left")
+        # Goods that are not in the dispenser get one answer, wherever they are scanned.
+        facts = firsts.join(held, "barcode")
         own = self.scans.withColumn("_scan", F.concat_ws(":", "cart_id", "line_no"))
         judged = L.with_facts(own, facts, ["cart_id", "barcode"], usable, unique="_scan")
         code = (

@@ -94,10 +94,11 @@ class Removal:
     def outcomes(self) -> DataFrame:
         usable = P.valid_barcode(F.col("barcode"))
         places = self.stock_before.select("barcode", "name", "ort")
-        judged = L.with_facts(self.requests, L.stock_row_of(self._asked, places), ["barcode"], usable)
+        # What is not in stock has no facts, so only goods there are go on to the requests.
+        judged = L.with_facts(self.requests, self._asked.join(places.withColumn("in_stock", F.lit(True)), "barcode"), ["barcode"], usable)
         code = (
             F.when(~usable, BAD_BARCODE)
-            .when(~F.col("in_stock"), NOT_FOUND)
+            .when(F.col("in_stock").isNull(), NOT_FOUND)
             .when(F.col("ort") == DISPENSER, IN_DISPENSER)
             .when(F.col("seq") == F.col("first_seq"), OK)
             .otherwise(NOT_FOUND)

@@ -247,6 +247,6 @@ class Domain:
             if name in _STORED_AS:
                 write_table(table, _STORED_AS[name], path)
             else:
-                table.write.parquet(path)
+                table.write.option("compression", "zstd").parquet(path)
             _stored[key] = table.schema, path
         return _stored[key]

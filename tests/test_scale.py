@@ -1,7 +1,12 @@
 """Steps whose spill and shuffle would grow faster than the tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from pillflow.operators import lookups as L
+from pillflow.operators.carts import CartScans
+from pillflow.operators.stockroom import Removal
+from pillflow.schemas import TABLES
 from pillflow.testbed import mapping
 
 SMALL = "/root/testdata/sf0.001"
@@ -16,3 +21,37 @@ def test_order_lines_are_not_summed_up_before_their_shuffle(spark, monkeypatch,
     grouped, read = plan.split("Exchange rangepartitioning")
     assert "Aggregate" in grouped
     assert "Aggregate" not in read
+
+
+def sides_of_first_join(df):
+    """The columns that go into the topmost join from either side, after pruning."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().apply(0)
+    return [[out.apply(i).name() for i in range(out.size())] for out in (plan.left().output(), plan.right().output())]
+
+
+def test_a_key_goes_through_a_hot_join_once(spark):
+    left = spark.createDataFrame([(1, "a", "x"), (2, None, "y"), (None, "b", "z")], "n long, t string, v string")
+    right = spark.createDataFrame([(1, "a", 7), (2, "b", 8)], "n long, t string, w int")
+    joined = L.hot_join(left, right, ["n", "t"])
+    assert joined.columns == ["n", "t", "v", "w"]
+    assert sorted(map(tuple, joined.collect()), key=str) == [(1, "a", "x", 7), (2, None, "y", None), (None, "b", "z", None)]
+    assert sorted(sides_of_first_join(joined)[0]) == ["_k0", "_k1", "v"]
+
+
+def test_requests_keep_their_text_whatever_their_key(spark):
+    requests = spark.createDataFrame([(1, "12345678"), (2, "bad"), (None, "worse"), (3, None), (None, "12345678"), (4, "")], "seq long, barcode string")
+    facts = spark.createDataFrame([("12345678", 9)], "barcode string, f int")
+    judged = L.with_facts(requests, facts, ["barcode"], F.col("barcode") == "12345678")
+    assert sorted(map(tuple, judged.select("seq", "barcode", "f").collect()), key=str) == sorted(
+        [(1, "12345678", 9), (2, "bad", None), (None, "worse", None), (3, None, None), (None, "12345678", 9), (4, "", None)], key=str)
+
+
+def test_goods_that_are_not_there_are_no_facts(spark):
+    """Only what is in stock is joined to the requests; the rest would be shuffled twice to say nothing."""
+    stock = spark.createDataFrame([], TABLES["stock"])
+    requests = spark.createDataFrame([(1, 1, 1, "12345678")], "seq long, cart_id long, line_no long, barcode string")
+    for outcomes in (Removal(stock, requests).outcomes, CartScans(stock, requests, "2000-01-01").outcomes):
+        assert outcomes._jdf.queryExecution().analyzed().toString().count("LeftOuter") == 1
+        assert [r.code for r in outcomes.collect()] in (["NOT_FOUND"], ["NOT_IN_DISPENSER"])
