@@ -48,8 +48,9 @@ class Cancellation:
             "barcode", F.lit(True).alias("elsewhere"))
         lines = L.hot_join(self._open_lines, elsewhere, ["barcode"])
         clash = F.min(F.when(F.col("elsewhere"), F.struct("id", "barcode", "name")))
-        return lines.groupBy(*_PAIR, "first_seq").agg(clash.alias("clash"), F.count("*").alias("n_lines")).withColumn(
-            "conflict", F.col("clash").isNotNull())
+        # Outcomes, stock and orders are all built on them.
+        return keep(lines.groupBy(*_PAIR, "first_seq").agg(clash.alias("clash"), F.count("*").alias("n_lines")).withColumn(
+            "conflict", F.col("clash").isNotNull()))
 
     @cached_property
     def cancelled(self) -> DataFrame:

@@ -90,7 +90,7 @@ def checkout(as_of: AsOf) -> Operation:
         given = tables.counters()
         result = Checkout(stock, None, carts, lines, as_of, given.get("order_id", 0), given.get("order_group", 0))
         changes = {"stock": Rewrite(result.stock, pieces), "orders": Append(result.new_orders)}
-        return Step(changes, result.outcomes, lambda at: audit.checkout_log(result, at))
+        return Step(changes, keep(result.outcomes), lambda at: audit.checkout_log(result, at))
     return run
 
 
@@ -101,7 +101,7 @@ def cancellation(as_of: AsOf) -> Operation:
         stock, stock_pieces = tables.near("stock", open_lines_of(pairs, orders).select("barcode"))
         result = Cancellation(stock, orders, requests, as_of)
         changes = {"stock": Rewrite(result.stock, stock_pieces), "orders": Rewrite(result.orders, order_pieces)}
-        return Step(changes, result.outcomes, lambda at: audit.cancellation_log(result, at))
+        return Step(changes, keep(result.outcomes), lambda at: audit.cancellation_log(result, at))
     return run
 
 

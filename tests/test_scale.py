@@ -5,8 +5,11 @@ from pyspark.sql import functions as F
 
 from pillflow.operators import lookups as L
 from pillflow.operators.carts import CartScans
+from pillflow.operators.orders import Cancellation
 from pillflow.operators.stockroom import Removal
 from pillflow.schemas import TABLES
+from pillflow.sources.snapshots import Snapshots
+from pillflow.streaming import request_batches
 from pillflow.testbed import mapping
 
 SMALL = "/root/testdata/sf0.001"
@@ -55,3 +58,22 @@ def test_goods_that_are_not_there_are_no_facts(spark):
     for outcomes in (Removal(stock, requests).outcomes, CartScans(stock, requests, "2000-01-01").outcomes):
         assert outcomes._jdf.queryExecution().analyzed().toString().count("LeftOuter") == 1
         assert [r.code for r in outcomes.collect()] in (["NOT_FOUND"], ["NOT_IN_DISPENSER"])
+
+
+def test_cancellation_judges_once(spark):
+    """What outcomes, stock and orders are built on is kept, not made anew for each."""
+    stock = spark.createDataFrame([], TABLES["stock"])
+    orders = spark.createDataFrame([], TABLES["orders"])
+    asked = spark.createDataFrame([(1, 100000, "1")], "seq long, bestellgruppe_id long, kundennummer string")
+    result = Cancellation(stock, orders, asked, "2000-01-01")
+    assert result._verdicts._jdf.queryExecution().optimizedPlan().nodeName() == "LogicalRDD"
+
+
+def test_outcomes_of_a_stream_are_judged_once(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path / "store"), pieces=2)
+    store.create_if_absent()
+    asked = spark.createDataFrame([(1, 100000, "1")], "seq long, bestellgruppe_id long, kundennummer string")
+    lines = spark.createDataFrame([(1, 1, "12345678", "K")], "cart_id long, line_no long, barcode string, kundennummer string")
+    for operation, requests in ((request_batches.cancellation("2000-01-01"), asked), (request_batches.checkout("2000-01-01 08:30:00"), lines)):
+        outcomes = operation(store, requests).outcomes
+        assert outcomes._jdf.queryExecution().optimizedPlan().nodeName() == "LogicalRDD"
