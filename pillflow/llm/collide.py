@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by collision counting.
 
-Each vector is projected on ``LINES`` random lines; the index of a shard holds, for every line, the vectors sorted by
-their projection. Around the query's own projection on each line a window is opened and widened level by level, which
-takes the place of hashing anew with wider buckets. A vector collides with the query on a line once it lies in the
-window there; widening counts only what is new. Vectors that collide on ``THRESHOLD`` of the lines are verified: their
+Each vector is projected on ``LINES`` random lines; the index of a shard holds the projections of its vectors line by
+line. Around the query's own projection on each line a window is opened and widened level by level, which takes the
+place of hashing anew with wider buckets. A vector collides with the query on a line once it lies in the window there.
+As collisions only grow with the level, the search begins at the level where the query before ended. Vectors that collide on ``THRESHOLD`` of the lines are verified: their
 true distance is computed in double precision on the original vectors. A shard is done when it has verified its share.
 
 Every vector is indexed and every query visits every shard, so only vectors that collide too rarely can be missed.
@@ -11,6 +11,8 @@ Every vector is indexed and every query visits every shard, so only vectors that
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -32,39 +34,39 @@ _FOUND = "query_id long, vec_id long, score double"
 
 
 class LineIndex:
-    """The sorted projections of one shard."""
+    """The projections of one shard."""
 
     def __init__(self, rows: np.ndarray):
         self.lines = np.random.default_rng(SEED).standard_normal((rows.shape[1], LINES))
         projected = rows @ self.lines
-        self.order = np.ascontiguousarray(np.argsort(projected, axis=0, kind="stable").T)
-        self.sorted = np.ascontiguousarray(np.take_along_axis(projected.T, self.order, axis=1))
         self.spread = float(projected.std()) or 1.0
+        self.projected = np.ascontiguousarray(projected.T, np.float32)
         self.count = len(rows)
+        self.level = 0
+        self.apart = np.empty_like(self.projected)  # room to work in
+        self.inside = np.empty(self.projected.shape, bool)
 
     def candidates(self, query: np.ndarray, wanted: int) -> np.ndarray:
         """Rows that collide on enough lines, when at least ``wanted`` do."""
         if wanted >= self.count:
             return np.arange(self.count)
-        at = query @ self.lines
-        collisions = np.zeros(self.count, np.int64)
-        need = int(np.ceil(THRESHOLD * LINES))
-        left = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at)])
-        right = left.copy()
-        half = START * self.spread
-        while True:
-            new = []
-            for line in range(LINES):
-                s = self.sorted[line]
-                a = int(np.searchsorted(s, at[line] - half))
-                b = int(np.searchsorted(s, at[line] + half, "right"))
-                new += [self.order[line, a:left[line]], self.order[line, right[line]:b]]
-                left[line], right[line] = min(a, left[line]), max(b, right[line])
-            collisions += np.bincount(np.concatenate(new), minlength=self.count)
-            enough = np.flatnonzero(collisions >= need)
-            if len(enough) >= wanted:
-                return enough
-            half *= WIDER
+        at = (query @ self.lines).astype(np.float32)
+        np.abs(np.subtract(self.projected, at[:, None], out=self.apart), out=self.apart)
+        found = self._colliding(self.level)
+        if len(found) < wanted:
+            while len(found) < wanted:
+                self.level += 1
+                found = self._colliding(self.level)
+            return found
+        while self.level > 0 and len(fewer := self._colliding(self.level - 1)) >= wanted:
+            self.level, found = self.level - 1, fewer
+        return found
+
+    def _colliding(self, level: int) -> np.ndarray:
+        """Rows in the windows of a level on enough lines."""
+        np.less_equal(self.apart, np.float32(START * self.spread * WIDER**level), out=self.inside)
+        collisions = np.add.reduce(self.inside.view(np.uint8), axis=0, dtype=np.uint8)
+        return np.flatnonzero(collisions >= math.ceil(THRESHOLD * LINES))
 
 
 def _search_shard(k: int):
@@ -80,6 +82,9 @@ def _search_shard(k: int):
                 near = index.candidates(query, wanted)
                 near = near[ids[near] != query_id]
                 distance = np.sqrt(((rows[near] - query) ** 2).sum(axis=1))
+                if len(near) > k:  # ties with the kth stay for the order by number
+                    close = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])
+                    near, distance = near[close], distance[close]
                 best = np.lexsort((ids[near], distance))[:k]
                 found += [(query_id, int(ids[near[i]]), float(distance[i])) for i in best]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])

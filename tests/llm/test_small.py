@@ -217,3 +217,22 @@ def test_packing_leaves_no_step(lengths):
         for t in range(len(own)):
             for gain in (v - back for v in gives for back in [0, *own[t]] if t != g):
                 assert not (0 < gain <= 40 - sum(own[t]) and sum(own[t]) + gain > sum(own[g]))
+
+
+def test_collisions_are_searched_from_the_level_before():
+    """The lowest level with enough collisions, as by the definition, whatever query came before."""
+    rng = np.random.default_rng(5)
+    rows = rng.standard_normal((300, 16))
+    index = collide.LineIndex(rows)
+    levels = []
+    for scale in (1, 6, 1):
+        query = scale * rng.standard_normal(16)
+        apart = np.abs((rows @ index.lines - query @ index.lines).astype(np.float32))
+        level = 0
+        while np.count_nonzero((apart <= np.float32(collide.START * index.spread * collide.WIDER**level)).mean(axis=1) >= collide.THRESHOLD) < 90:
+            level += 1
+        found = index.candidates(query, 90)
+        assert index.level == level
+        assert len(found) >= 90
+        levels.append(level)
+    assert levels[0] < levels[1] > levels[2]
