@@ -61,23 +61,31 @@ class PieceCache:
         cut, fresh = [], set()
         for text in texts:
             if odd and any(t in text for t in odd):
-                cut.append(([None], [0], ["\0"]))
+                cut.append((None, [None], [0], ["\0"]))
                 continue
             pieces = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
             if pieces[-1] == "" and (len(pieces) == 1 or pieces[-2] == "\n"):
                 pieces.pop()
             ids = list(map(get, pieces))
+            try:  # most texts hold nothing new
+                cut.append((b"".join(ids), None, None, None))
+                continue
+            except TypeError:
+                pass
             gaps = [i for i, x in enumerate(ids) if x is None]
             missing = [pieces[i] for i in gaps]
             fresh.update(missing)
-            cut.append((ids, gaps, missing))
+            cut.append((None, ids, gaps, missing))
         self.learn(fresh - {"", " "})
         out = []
-        for text, (ids, gaps, missing) in zip(texts, cut):
+        for text, (done, ids, gaps, missing) in zip(texts, cut):
+            if done is not None:
+                out.append(done)
+                continue
             for i, piece in zip(gaps, missing):
                 ids[i] = get(piece)
             # What is still open is a blank next to white space, or an odd character: the text goes as a whole.
-            out.append(self._plain(text) if gaps and None in [ids[i] for i in gaps] else b"".join(ids))
+            out.append(self._plain(text) if None in [ids[i] for i in gaps] else b"".join(ids))
         return out
 
     def _plain(self, text: str) -> bytes:
