@@ -14,8 +14,7 @@ from pillflow.schemas import DISPENSER, TABLES, with_defaults
 # one task, which is why tables with keys that may be hot are not here.
 BUCKET_KEYS = {"stock": "barcode", "warnings": "barcode"}
 
-#: Options of written tables. Not version 2 of the format: sorted numbers get so small by it that Spark, which takes the
-#: size of files for the size of rows, would broadcast millions of rows.
+#: Options of written tables.
 COMPACT = {"compression": "zstd"}
 
 
