@@ -9,11 +9,13 @@ Each text draws ``BANDS * ROWS`` consistent weighted samples. Their random numbe
 shingles; a sample is the shingle itself with its level. Texts that agree in all samples of a band share a bucket.
 
 In a bucket, texts are compared with a leader, whole texts by weighted Jaccard similarity, and linked from 0.8 on.
-Linked texts form classes. Further leaders follow in buckets that still hold several classes, first one at a time from
-the lowest class, then several from the smallest classes of a bucket, each compared with all texts of other classes,
-until each two texts of different classes in it have been compared. Two texts are not fetched if their total weights
-alone keep them below 0.8, as the similarity is the ratio of these totals at most. So every two texts that agree in one
-band are compared, in one class, or known not to be similar; banding misses 0.02 in 100 texts that are 0.8 similar.
+Linked texts form classes. After ``FEW`` such rounds, in each of which a bucket that still holds several classes has
+the next leader, the rest of each such bucket is compared as a whole. First those texts leave that cannot be similar
+to any text of another class in it: two texts share at most what either has in shingles that it does not have alone
+among all texts left, so their total weights and what each has alone bound their similarity. What remains is dealt
+into blocks, and each two blocks of a bucket meet in one group, where an index by shingle sums up what texts share.
+So every two texts that agree in one band are compared, in one class, or known not to be similar; banding misses
+0.02 in 100 texts that are 0.8 similar.
 
 Equal texts are one class from the start and take part once; empty texts, too, are equal. A null text, or a null
 ``doc_id``, is a class of its own. Different texts of one ``doc_id`` are compared like others; repeated rows are in
@@ -23,6 +25,7 @@ one class.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -45,9 +48,12 @@ SPAN = 0.25
 _CHUNK = 1 << 12
 _DIM_BITS = 14
 #: In so many rounds a bucket has one leader, of its lowest class: the same text leads most buckets of a large group.
-FEW = 5
-#: After them a bucket has so many leaders at once, or more: one for each ROUNDS of its texts.
-LEADERS, ROUNDS = 8, 16
+FEW = 2
+#: A block of a bucket has this total weight, about as many shingles, unless one text alone has more.
+BLOCK = 150_000
+#: So many shingles, on average, are looked at together to find those that one text has alone.
+BIN = 500_000
+
 
 
 def shingles(text: str, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
@@ -237,6 +243,108 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return pairs.join(second, "b").join(first, "a").mapInPandas(compare, "a long, b long, a_label long, b_label long")
 
 
+def _own_weights(texts: DataFrame, idf, bins: int) -> DataFrame:
+    """``doc_id``, ``own``: the weight of the shingles that no other of the texts has; no row if there are none."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = Hashes()
+        for batch in batches:
+            for i in range(0, len(batch), 256):  # few at a time, as they are kept as numbers
+                some = batch.iloc[i:i + 256]
+                weighed = list(all_shingles(list(some["text"]), hashes))
+                found = np.concatenate([f for f, _ in weighed])
+                weights = np.concatenate([n for _, n in weighed]) * idf.value[_counter(found)].astype(np.float64)
+                docs = np.repeat(some["doc_id"].to_numpy(np.int64), [len(f) for f, _ in weighed])
+                dealt = (found % np.uint64(bins)).astype(np.int64)
+                order = np.argsort(dealt, kind="stable")
+                cuts = np.flatnonzero(np.diff(dealt[order], prepend=-1))
+                parts = [[x.tobytes() for x in np.split(column[order], cuts[1:])] for column in (found, docs, weights)]
+                yield pd.DataFrame(dict(zip(("bin", "found", "docs", "weights"), (dealt[order][cuts], *parts))))
+
+    def alone(rows: pd.DataFrame) -> pd.DataFrame:
+        found, docs, weights = (np.frombuffer(b"".join(rows[c]), kind) for c, kind in (("found", "<u8"), ("docs", "<i8"), ("weights", "<f8")))
+        order = np.argsort(found)
+        differs = found[order][1:] != found[order][:-1]
+        own = order[np.append(True, differs) & np.append(differs, True)]
+        names, at = np.unique(docs[own], return_inverse=True)
+        return pd.DataFrame({"doc_id": names, "own": np.bincount(at, weights[own], len(names))})
+
+    dealt = texts.select("doc_id", "text").mapInPandas(deal, "bin long, found binary, docs binary, weights binary")
+    return dealt.groupBy("bin").applyInPandas(alone, "doc_id long, own double").groupBy("doc_id").agg(F.sum("own").alias("own"))
+
+
+def _possible(named: DataFrame, own: DataFrame) -> DataFrame:
+    """Those rows of buckets whose text may be similar to one of another class in the same bucket."""
+    rows = stored(named.join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0.0))), "weighed")
+    others = rows.select(F.col("key").alias("_key"), F.col("label").alias("_label"), F.col("weight").alias("_weight"), F.col("own").alias("_own"))
+    common = F.least(F.col("weight") - F.col("own"), F.col("_weight") - F.col("_own"))
+    can = common >= (SIMILAR - 1e-6) * (F.col("weight") + F.col("_weight") - common)
+    kept = rows.join(others, (F.col("key") == F.col("_key")) & (F.col("label") != F.col("_label")) & can, "left_semi")
+    return stored(kept.drop("own"), "possible")
+
+
+def similar_pairs(weighed: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, blocks: np.ndarray) -> list[tuple[int, int]]:
+    """Places of all similar texts of different labels, and of different blocks if there are two.
+
+    ``weighed``: counts and weights as by ``weigh``. What texts share is summed up over their shared shingles.
+    """
+    names, sizes = np.unique(labels, return_counts=True)
+    last = labels == names[sizes.argmax()]
+    order = np.argsort(last, kind="stable")  # texts of the largest class come last: none of them is compared with all others
+    labels, blocks, apart = labels[order], blocks[order], blocks.min() != blocks.max()
+    found = np.concatenate([weighed[i][0] for i in order])
+    weights = np.concatenate([weighed[i][1] for i in order])
+    lengths = np.array([len(weighed[i][0]) for i in order])
+    who = np.repeat(np.arange(len(order)), lengths)
+    by_shingle = np.argsort(found, kind="stable")
+    new = np.flatnonzero(np.append(True, found[by_shingle][1:] != found[by_shingle][:-1]))
+    size = np.diff(new, append=len(found))
+    column = np.empty(len(found), np.int64)
+    column[by_shingle] = np.repeat(np.arange(len(new)), size)
+    shared = size[column] > 1
+    total = np.bincount(who, weights, len(order))
+    most = np.bincount(who[shared], weights[shared], len(order))
+    starts = np.cumsum(lengths) - lengths
+    least = SIMILAR - 1e-6
+    pairs = []
+    for i in range(int(np.count_nonzero(~last))):
+        common = np.minimum(most[i], most)
+        can = (labels != labels[i]) & (common >= least * (total[i] + total - common))
+        can[:i + 1] = False
+        if apart:
+            can &= blocks != blocks[i]
+        if not can.any():
+            continue
+        own = np.arange(starts[i], starts[i] + lengths[i])
+        own = own[shared[own]]
+        of = column[own]
+        n = size[of]
+        places = by_shingle[np.arange(n.sum()) + np.repeat(new[of] - (np.cumsum(n) - n), n)]
+        common = np.bincount(who[places], np.minimum(weights[places], np.repeat(weights[own], n)), len(order))
+        for j in np.flatnonzero(can & (common >= least * (total[i] + total - common))).tolist():
+            a, b = int(order[i]), int(order[j])
+            if weighted_jaccard(weighed[a], weighed[b]) >= SIMILAR - 1e-9:
+                pairs.append((a, b))
+    return pairs
+
+
+def _compared(rows: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """``a``, ``b``: similar texts of different classes in one bucket, all of each bucket compared."""
+    sums = rows.groupBy("key").agg(F.ceil(F.sum("weight") / BLOCK).alias("blocks"))
+    placed = hot_join(rows, sums, ["key"], "inner").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    every = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tiles = every.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "label")
+
+    def compare(tile: pd.DataFrame) -> pd.DataFrame:
+        hashes, docs = Hashes(), tile["doc_id"].tolist()
+        weighed = [(found, n * idf.value[_counter(found)].astype(np.float64)) for found, n in all_shingles(list(tile["text"]), hashes)]
+        pairs = similar_pairs(weighed, tile["label"].to_numpy(), tile["block"].to_numpy())
+        return pd.DataFrame([sorted((docs[a], docs[b])) for a, b in pairs], columns=["a", "b"], dtype="int64")
+
+    together = tiles.join(texts, "doc_id").groupBy("key", "x", "y")
+    return together.applyInPandas(compare, "a long, b long").distinct()
+
+
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` with the higher label of each new link replaced by the lowest it is linked to, two steps on."""
     step = links.select(F.greatest("a_label", "b_label").alias("label"), F.least("a_label", "b_label").alias("to"))
@@ -246,6 +354,12 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return hot_join(labels, step, ["label"]).select("doc_id", F.coalesce("to", "label").alias("label"))
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several classes."""
+    mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    return stored(hot_join(rows, mixed, ["key"], "left_semi"), "mixed")
+
+
 def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``doc_id``, ``tid`` of all rows with a text and a ``doc_id``; ``tid``, ``class_id`` of all distinct texts)."""
     spark = documents.sparkSession
@@ -265,40 +379,33 @@ def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = named_texts.join(places.hint("shuffle_hash"), ["tid", "doc_id"]).select(F.col("text_no").alias("doc_id"), "text")
     held = stored(held.dropDuplicates(["doc_id"]), "near-texts")
 
-    tested = spark.createDataFrame([], "a long, b long")
     links: list[DataFrame] = []
     labels = wanted.withColumn("label", F.col("doc_id"))
-    number = 1
-    while True:
+    for number in range(FEW + 1):
         # Labels need not be final here: they only save comparisons within what is known to be one class.
-        named = buckets.join(labels, "doc_id")
-        mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        named = stored(hot_join(named, mixed, ["key"], "left_semi"), "mixed")
+        named = _mixed(buckets.join(labels, "doc_id"))
         if named.isEmpty():
             break
-        if number <= FEW:
-            ranked = named.groupBy("key").agg(F.min(F.struct(F.lit(1), "label", "doc_id", "weight")).alias("one"))
-        else:
-            sizes = named.groupBy("key", "label").agg(F.count("*").alias("size"))
-            totals = sizes.groupBy("key").agg(F.sum("size").alias("total"))
-            salt = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(LEADERS), F.ceil(F.col("total") / ROUNDS)))
-            ranked = hot_join(hot_join(named, sizes, ["key", "label"]), totals, ["key"]).groupBy("key", salt.alias("salt")).agg(
-                F.min(F.struct("size", "label", "doc_id", "weight")).alias("one"))
+        if number == FEW:
+            rest = named.select("doc_id", "weight").distinct()
+            left = stored(held.join(rest, "doc_id"), "left")
+            bins = math.ceil((left.agg(F.sum("weight")).first()[0] or 0) / BIN) or 1
+            possible = _possible(named, _own_weights(left, idf, bins))
+            links.append(stored(_compared(_mixed(possible), left.select("doc_id", "text"), idf), "links"))
+            break
+        ranked = named.groupBy("key").agg(F.min(F.struct("label", "doc_id", "weight")).alias("one"))
         leaders = stored(ranked.select("key", F.col("one.doc_id").alias("leader"), F.col("one.label").alias("of"),
                                        F.col("one.weight").alias("led")), "leaders")
         ends = F.array_sort(F.array(F.struct("doc_id", "label"), F.struct(F.col("leader").alias("doc_id"), F.col("of").alias("label"))))
         near_weight = F.least("weight", "led") >= (SIMILAR - 1e-6) * F.greatest("weight", "led")
         met = named.join(leaders, "key").where("label <> `of`").where(near_weight).select(ends.alias("e")).distinct()
         pairs = met.select(*[F.col("e")[i][f].alias(n + m) for i, n in enumerate("ab") for f, m in (("doc_id", ""), ("label", "_label"))])
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = stored(_verify(pairs, held, idf), "links")
+        new = stored(_verify(stored(pairs, "pairs"), held, idf), "links")
         links.append(new.select("a", "b"))
-        tested = tested.unionByName(pairs.select("a", "b"))
         labels = stored(_merged(labels, new), "labels")
         # A leader has now met every text of another class in its bucket.
         done = leaders.select("key", F.col("leader").alias("doc_id"))
         buckets = stored(named.select("key", "doc_id", "weight").join(done, ["key", "doc_id"], "left_anti"), "buckets")
-        number += 1
     no_links = spark.createDataFrame([], "a long, b long")
     labels = components(reduce(DataFrame.unionByName, links, no_links))
     labelled = firsts.join(labels.withColumnRenamed("node", "text_no"), "text_no", "left").select(

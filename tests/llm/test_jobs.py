@@ -214,6 +214,25 @@ def test_op5(spark, folder, rows):
     assert dict(zip(found.doc_id, found.class_id)) == expected
 
 
+@pytest.mark.parametrize("block", [near.BLOCK, 2000])
+def test_op5_compares_large_buckets_as_a_whole(spark, monkeypatch, block):
+    """Copies of one text with more and more words changed share buckets, many below the limit: every link is found,
+    and pairs whose texts are fetched stay in proportion to the texts."""
+    rng, fetched, verify = np.random.default_rng(5), [], near._verify
+    monkeypatch.setattr(near, "BLOCK", block, raising=False)
+    monkeypatch.setattr(near, "_verify", lambda pairs, *more: fetched.append(pairs.count()) or verify(pairs, *more))
+    words = [f"w{i}" for i in range(120)]
+    texts = [(0, " ".join(words))]
+    for d in range(1, 300):
+        places = rng.choice(len(words), rng.integers(1, 9), replace=False)
+        texts.append((d, " ".join(f"{w}x{rng.integers(40)}" if i in places else w for i, w in enumerate(words))))
+    found = near.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
+    expected = brute_classes(texts)
+    assert 10 < len(set(expected.values())) < 250
+    assert {r.doc_id: r.class_id for r in found.collect()} == expected
+    assert len(fetched) <= near.FEW and sum(fetched) < 10 * len(texts)
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1060)]
