@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pillflow.llm.common import stored, texts_of
+from pillflow.llm.common import drop_worker_cache, stored, texts_of
 
 #: Labelled texts that word forms and the classifier are learned from, at most; chosen by a hash of their number.
 SAMPLE = 20_000
@@ -362,6 +362,7 @@ def _vote_sums(documents: DataFrame, *lists: np.ndarray) -> tuple[int, np.ndarra
     m = VOTERS + _PATTERNS
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drop_worker_cache()
         reader, total, n = Reader(*lists), np.zeros((m, m), np.int64), 0
         for batch in texts_of(batches):
             votes = np.array([reader.look(t)[1] for t in batch["text"]], np.int64).reshape(-1, m)

@@ -6,13 +6,14 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pillflow.llm import langid, near, suffixes, toxicity
+from pillflow.llm import common, langid, near, suffixes, toxicity
 from pillflow.llm.components import components
 from pillflow.llm.queries import ORACLE_SQL, QUERIES
 
@@ -365,6 +366,37 @@ def test_pipeline(spark, folder, rows):
     check_packed(stages["packing"](spark, cut, folder).toPandas(), [(r.doc_id, r.text) for r in cut.collect()])
 
 
+def test_pipeline_hands_texts_over_in_small_batches(spark, rows):
+    """A Python task gets a few MB at once, and keeps nothing that another step has loaded."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    many = spark.range(4000).select("id", F.repeat(F.lit("text "), 1000).alias("text")).coalesce(1)
+
+    def look(batches):
+        for step in ("one", "two"):
+            common.worker_cache(step)["data"] = step
+        held = [sorted(common._held())]
+        common.drop_worker_cache()
+        held.append(sorted(common._held()))
+        for batch in batches:
+            yield pd.DataFrame({"n": [int(batch["text"].str.len().sum())], "held": [str(held)]})
+
+    def seen():
+        return many.mapInPandas(look, "n long, held string").collect()
+
+    before = spark.conf.getAll.get(setting)
+    try:
+        spark.conf.unset(setting)
+        dict(corpus_pipeline.STAGES)["near_duplicates"](spark, spark.createDataFrame(rows, DOCUMENTS).where("doc_id < 3"), "")
+        found = seen()
+        assert sum(r.n for r in found) == 20_000_000 and max(r.n for r in found) < 5_000_000
+        assert {r.held for r in found} == {"[['two'], []]"}
+        spark.conf.set(setting, "1m")
+        common.small_batches(spark)
+        assert max(r.n for r in seen()) < 1_500_000
+    finally:
+        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+
+
 def test_pipeline_of_nothing(spark, empty):
     assert not corpus_pipeline.run(spark, empty).collect()
 
