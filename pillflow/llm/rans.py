@@ -110,20 +110,27 @@ class Table:
         return ids
 
 
+def _counted(ids: list[bytes]) -> bytes:
+    """The distinct ids of some documents, and how often each occurs, as pairs of unsigned 64-bit numbers."""
+    total = np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << BITS)
+    seen = np.flatnonzero(total)
+    return np.stack([seen, total[seen]], axis=1).astype("<u8").tobytes()
+
+
 def count_tokens(tokens: DataFrame) -> DataFrame:
-    """``token``, ``n`` over all rows of ``ids`` (unsigned 16-bit, little-endian)."""
+    """``token``, ``n`` over all rows, from the ``counts`` that ``tokenize`` writes beside the ids."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            for ids in batch["ids"]:
-                total += np.bincount(np.frombuffer(ids, "<u2"), minlength=1 << BITS) if len(ids) > 1 << 17 else 0
-            small = b"".join([ids for ids in batch["ids"] if len(ids) <= 1 << 17])
-            total += np.bincount(np.frombuffer(small, "<u2"), minlength=1 << BITS)
+            for raw in batch["counts"]:
+                token, n = np.frombuffer(raw, "<u8").reshape(-1, 2).T.astype(np.int64)
+                total[token] += n  # each token once in a row
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"token": seen, "n": total[seen]})
 
-    return tokens.select("ids").mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = tokens.where("counts is not null").select("counts")
+    return counted.mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def shared_table(counts: DataFrame) -> Table:
@@ -227,7 +234,8 @@ def starts_of(documents: DataFrame, blocks: DataFrame, id_type: str = "long") ->
 
 
 def tokenize(documents: DataFrame, path: str, end_id: int) -> DataFrame:
-    """``slice``, ``place``, ``doc_id``, ``ids`` (unsigned 16-bit) in ascending order of ``doc_id``; slices rise.
+    """``slice``, ``place``, ``doc_id``, ``ids`` (unsigned 16-bit) in ascending order of ``doc_id``; slices rise. The
+    first row of a batch holds in ``counts`` how often each token occurs in the batch, so that the ids aren't read for it.
 
     The sorted rows are written, so that a lost executor cannot move the cuts between slices.
     """
@@ -236,10 +244,11 @@ def tokenize(documents: DataFrame, path: str, end_id: int) -> DataFrame:
         end = np.array([end_id], "<u2").tobytes()
         for batch in texts_of(batches):
             ids = [np.frombuffer(raw, "<u4").astype("<u2").tobytes() + end for raw in encoder.all_ids(list(batch["text"]))]
-            yield pd.DataFrame({"slice": part, "place": np.arange(place, place + len(ids)), "doc_id": batch["doc_id"], "ids": ids})
+            counts = [_counted(ids), *[None] * (len(ids) - 1)] if ids else []
+            yield pd.DataFrame({"slice": part, "place": np.arange(place, place + len(ids)), "doc_id": batch["doc_id"], "ids": ids, "counts": counts})
             place += len(ids)
 
     rows = documents.select("doc_id", "text")
     parts = max(1, rows.rdd.getNumPartitions())
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    return stored(with_text_id(ordered, "text").mapInPandas(encode, "slice int, place int, doc_id string, ids binary"), "tokens", compression="zstd")
+    return stored(with_text_id(ordered, "text").mapInPandas(encode, "slice int, place int, doc_id string, ids binary, counts binary"), "tokens", compression="zstd")

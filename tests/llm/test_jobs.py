@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pillflow.llm import common, langid, near, suffixes, toxicity
+from pillflow.llm import common, langid, near, rans, suffixes, toxicity
 from pillflow.llm.components import components
 from pillflow.llm.queries import ORACLE_SQL, QUERIES
 
@@ -147,6 +147,17 @@ def test_op2(spark, folder, rows):
     assert found.ids_crc32.tolist() == [crc(x) for x in ids]
 
 
+def test_op2_counts_tokens_without_reading_them_again(spark, folder, rows):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokens = rans.tokenize(spark.read.parquet(f"{folder}/documents.parquet"), path, end_id=2)
+    counts = rans.count_tokens(tokens)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "counts:binary" in plan and "ids:binary" not in plan
+    known = Tokenizer.from_file(path)
+    ids = [i for r in rows for i in [*known.encode(r[1] or "", add_special_tokens=False).ids, 2]]
+    assert {r.token: r.n for r in counts.collect()} == Counter(ids)
+
+
 def test_op3(spark, folder, rows):
     found = result(spark, "op3_bloom_languages", folder)
     texts = text_of(rows)
